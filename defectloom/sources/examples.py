@@ -1,0 +1,20 @@
+"""Four snippets to try a classifier on."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Name, code, expected label.
+EXAMPLES = [
+    ("Buggy Division by Zero", "def buggy_function():\n    return 1 / 0", "buggy"),
+    ("Clean Function", "def clean_function(x, y):\n    return x + y", "clean"),
+    ("Buggy List Access", "def buggy_list_access(lst):\n    return lst[10]", "buggy"),
+    (
+        "Clean List Access",
+        "def clean_list_access(lst, index):\n    if 0 <= index < len(lst):\n"
+        "        return lst[index]\n    return None",
+        "clean",
+    ),
+]
+
+
+def examples(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EXAMPLES, "name string, code string, expected string")
