@@ -20,7 +20,8 @@ def top_authors(commits: DataFrame, as_of: datetime) -> DataFrame:
 
     Ties go to the first name. ``week_author`` is null without a commit in the window.
     """
-    since = F.lit(as_of) - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")
+    until = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    since = until - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")
     per_author = commits.groupBy("project", "bug", "file", "author").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") >= since).alias("n_week")
     )

@@ -20,26 +20,33 @@ def confusion(preds: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def label_metrics(counts: DataFrame, by: list[str] = ()) -> DataFrame:
-    """tp, fp, fn, precision, recall and F1 per label found in truth or prediction."""
-    n = F.col("n")
+    """tp, fp, fn, precision, recall and F1 per label found in truth or prediction.
+
+    The summed confidence goes with the true label, so that it counts once.
+    """
+    n, none = F.col("n"), F.lit(0).cast("long")
     hit = F.col("is_buggy") == F.col("yhat")
     as_truth = F.struct(
         F.col("is_buggy").alias("label"),
-        F.when(hit, n).otherwise(0).alias("tp"),
-        F.lit(0).cast("long").alias("fp"),
-        F.when(hit, 0).otherwise(n).alias("fn"),
+        F.when(hit, n).otherwise(none).alias("tp"),
+        none.alias("fp"),
+        F.when(hit, none).otherwise(n).alias("fn"),
+        F.col("score_sum"),
+        F.col("score_n"),
     )
     as_guess = F.struct(
         F.col("yhat").alias("label"),
-        F.lit(0).cast("long").alias("tp"),
-        F.when(hit, 0).otherwise(n).alias("fp"),
-        F.lit(0).cast("long").alias("fn"),
+        none.alias("tp"),
+        F.when(hit, none).otherwise(n).alias("fp"),
+        none.alias("fn"),
+        F.lit(None).cast("double").alias("score_sum"),
+        none.alias("score_n"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return (
         counts.select(*by, F.inline(F.array(as_truth, as_guess)))
         .groupBy(*by, "label")
-        .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "score_sum", "score_n")])
         .withColumns(
             {
                 "precision": safe_ratio(tp, tp + fp),
@@ -67,21 +74,10 @@ def class_metrics(counts: DataFrame) -> DataFrame:
 def summary_metrics(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     """Accuracy, macro scores, mean confidence and class counts per group.
 
-    The macro mean runs over the labels present in truth or prediction of the group. The
-    label rows and the totals are summed in one grouping.
+    The macro mean runs over the labels present in truth or prediction of the group.
     """
-    per_label = label_metrics(counts, by).select(
-        *by, "precision", "recall", "f1", "tp", "fn", "label"
-    )
-    scores = counts.groupBy(*by).agg(
-        F.sum("score_sum").alias("score_sum"), F.sum("score_n").alias("score_n")
-    )
-    empty = F.lit(None)
-    rows = per_label.withColumns(
-        {"score_sum": empty.cast("double"), "score_n": empty.cast("long")}
-    ).unionByName(scores, allowMissingColumns=True)
     truth = F.col("tp") + F.col("fn")
-    return rows.groupBy(*by).agg(
+    return label_metrics(counts, by).groupBy(*by).agg(
         F.sum(truth).alias("samples"),
         safe_ratio(F.sum("tp"), F.sum(truth)).alias("accuracy"),
         F.avg("precision").alias("precision_macro"),

@@ -20,14 +20,11 @@ def default_buckets(df: DataFrame) -> int:
 
 def _cut_points(keys: DataFrame, names: list[str], buckets: int):
     """About ``buckets`` evenly spread keys, in order, as a one-value subquery."""
-    wanted = buckets * PER_BUCKET
     rows = keys.agg(F.count(F.lit(1))).scalar()
     place = F.xxhash64(*names).bitwiseAND(HASH_SPAN - 1) / F.lit(float(HASH_SPAN))
-    sample = keys.where(place * rows < wanted)
-    ordered = sample.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("keys"))
-    return ordered.select(
-        F.filter("keys", lambda _, i: i % PER_BUCKET == PER_BUCKET - 1)
-    ).scalar()
+    sample = keys.where(place * rows < buckets * PER_BUCKET)
+    every = f"filter(sort_array(collect_list(struct(*))), (k, i) -> i % {PER_BUCKET} = {PER_BUCKET - 1})"
+    return sample.agg(F.expr(every)).scalar()
 
 
 def with_position(
@@ -39,31 +36,31 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based place of each row in ``order``, counted anew in every ``within`` group.
 
-    ``within`` and ``order`` together must identify a row and must not be null.
+    ``within`` and ``order`` together must identify a row and must not be null. ``df`` is
+    read several times, mostly its keys alone: write it out first if it is costly to make.
     """
     within = within or []
     names = [*within, *order]
     buckets = buckets or default_buckets(df)
     keys = df.select(*names)
+    cuts = _cut_points(keys, names, buckets)
     # The sample is binomial around 16 keys per bucket, so four times the number of buckets
     # is far outside what it can give.
     limit = 4 * buckets
+    key = f"struct({', '.join(f'`{n}`' for n in names)})"
 
     def bucketed(table: DataFrame) -> DataFrame:
-        return table.withColumn("_cuts", _cut_points(keys, names, buckets)).withColumn(
-            "_bucket", count_at_most(F.col("_cuts"), F.struct(*names), limit)
-        ).drop("_cuts")
+        found = count_at_most("_cuts", key, limit)
+        return table.withColumn("_cuts", cuts).select(*table.columns, found.alias("_bucket"))
 
     group = [*within, "_bucket"]
     sizes = bucketed(keys).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = bucketed(df).withColumn(
-        "_local", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1
-    )
+    local = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    numbered = bucketed(df).withColumn("_local", local - 1)
     if not within:
         # One row per bucket: bounded by ``limit`` whatever the size of the table.
         offsets = F.broadcast(offsets)
-    return numbered.join(offsets, group).withColumn(
-        into, (F.col("_offset") + F.col("_local")).cast("long")
-    ).drop("_bucket", "_local", "_offset")
+    place = (F.col("_offset") + F.col("_local")).cast("long").alias(into)
+    return numbered.join(offsets, group).select(*df.columns, place)

@@ -1,4 +1,9 @@
-"""Train / val / test by project, so that no project is in two splits."""
+"""Train / val / test by project, so that no project is in two splits.
+
+Projects are put in an order and cut into three ranges. Two project keys describe the whole
+split; they are computed once, over the distinct projects, and every row is compared with
+them. So the split moves no rows, and filters on it reach the scan.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,42 +16,46 @@ def check_ratios(train: float, val: float, test: float) -> None:
         raise ValueError(f"ratios must sum to 1.0, got {train + val + test}")
 
 
-def _last_keys(keys: DataFrame, order: list[str], train: float, val: float) -> Column:
-    """Last train and last val key, as a subquery: the splits are ranges of the key order."""
+def _last_keys(keys: DataFrame, train: float, val: float) -> Column:
+    """Last train key and last val key, as a subquery."""
     total = keys.agg(F.count(F.lit(1))).scalar()
     train_end = (F.lit(train) * total).cast("int")
     val_end = train_end + (F.lit(val) * total).cast("int")
-    key = F.struct(*order)
-    return (
-        with_position(keys, order)
-        .agg(
+    key = F.struct(*keys.columns)
+    ends = with_position(keys, keys.columns).agg(
+        F.struct(
             F.max(F.when(F.col("pos") < train_end, key)).alias("train"),
             F.max(F.when(F.col("pos") < val_end, key)).alias("val"),
         )
-        .select(F.struct("train", "val"))
-        .scalar()
     )
+    return ends.scalar()
 
 
-def _range_split(df: DataFrame, members: DataFrame, order: dict[str, Column], train, val) -> Column:
-    keys = members.select(*[expr.alias(name) for name, expr in order.items()]).distinct()
-    last = _last_keys(keys, list(order), train, val)
-    key = F.struct(*[expr.alias(name) for name, expr in order.items()])
+def _range_split(members: DataFrame, order: list[Column], train: float, val: float) -> Column:
+    last = _last_keys(members.select(*order).distinct(), train, val)
+    key = F.struct(*order)
     return F.when(key <= last["train"], "train").when(key <= last["val"], "val").otherwise("test")
 
 
 def sorted_split(
-    df: DataFrame, train: float = 0.7, val: float = 0.15, main_source: str | None = None
+    df: DataFrame,
+    train: float = 0.7,
+    val: float = 0.15,
+    main_source: str | None = None,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Projects in name order: the first 70 % train, the next 15 % val, the rest test.
 
     With ``main_source`` only its rows are split; rows of other sources are held out as
-    ``eval``. The split is a range test against two names, so no row moves between tasks.
+    ``eval``. ``members`` is the table whose projects are counted, when that is not ``df``.
     """
-    members = df if main_source is None else df.where(F.col("source") == main_source)
-    split = _range_split(df, members, {"project": F.col("project")}, train, val)
-    if main_source is not None:
-        split = F.when(F.col("source") == main_source, split).otherwise("eval")
+    members = df if members is None else members
+    if main_source is None:
+        split = _range_split(members, [F.col("project")], train, val)
+    else:
+        is_main = F.col("source") == main_source
+        split = _range_split(members.where(is_main), [F.col("project")], train, val)
+        split = F.when(is_main, split).otherwise("eval")
     return df.withColumn("split", split)
 
 
@@ -55,8 +64,8 @@ def seeded_split(
 ) -> DataFrame:
     """Projects in a seeded random order, with the ratios as given."""
     check_ratios(train, val, test)
-    order = {"draw": shuffle_key(seed, F.col("project")), "project": F.col("project")}
-    return df.withColumn("split", _range_split(df, df, order, train, val))
+    order = [shuffle_key(seed, F.col("project")).alias("draw"), F.col("project")]
+    return df.withColumn("split", _range_split(df, order, train, val))
 
 
 def leaking_projects(df: DataFrame) -> DataFrame:

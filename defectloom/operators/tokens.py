@@ -1,13 +1,11 @@
 """Code tokens, a vocabulary of bounded size, id sequences and padded batches.
 
-A token table of all texts is never shuffled as rows: counts are summed on the map side, and
-encoding looks each token up in the sorted vocabulary, which holds ``vocab_size`` entries at
-most and reaches the tasks as a constant.
+Frequent tokens are no hot keys here: counts are summed on the map side, and encoding joins
+with the vocabulary as a broadcast, which holds ``vocab_size`` entries at most.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from defectloom.functions.lookup import count_at_most
 from defectloom.operators.positions import with_position
 
 # Token pattern, marker ids and limits.
@@ -70,30 +68,29 @@ def sample_token_report(
 
 
 def encode(
-    df: DataFrame,
-    vocab: DataFrame,
-    code: str = "code",
-    max_length: int = MAX_LENGTH,
-    vocab_size: int = VOCAB_SIZE,
+    df: DataFrame, vocab: DataFrame, code: str = "code", max_length: int = MAX_LENGTH
 ) -> DataFrame:
-    """``input_ids`` with begin and end marker, cut to ``max_length``, and the mask."""
-    entries = F.sort_array(F.collect_list(F.struct("token", "token_id")))
-    table = vocab.agg(entries.alias("e")).select(
-        F.struct(F.col("e.token").alias("tokens"), F.col("e.token_id").alias("ids"))
-    ).scalar()
-    kept = F.slice(tokenise(code), 1, max_length - 2)
-
-    def token_id(token):
-        tokens, ids = F.col("_vocab.tokens"), F.col("_vocab.ids")
-        at = count_at_most(tokens, token, vocab_size) - 1
-        return F.when((at >= 0) & (F.get(tokens, at) == token), F.get(ids, at)).otherwise(UNK)
+    """``input_ids`` with begin and end marker, cut to ``max_length``, and the mask.
 
-    ids = F.concat(F.array(F.lit(BOS)), F.transform(kept, token_id), F.array(F.lit(EOS)))
-    return (
-        df.withColumn("_vocab", table)
-        .withColumn("input_ids", ids)
-        .withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
-        .drop("_vocab")
+    Texts are cut before they are taken apart, so a text gives ``max_length`` tokens at most.
+    The list of a text is put together on the map side; one row per text is shuffled. The
+    columns other than ``code`` stay and must identify a row.
+    """
+    keep = [name for name in df.columns if name != code]
+    kept = F.slice(tokenise(code), 1, max_length - 2)
+    # The vocabulary is cut to a fixed size when it is built.
+    ids = F.broadcast(vocab.select("token", "token_id"))
+    found = df.select(*keep, F.posexplode_outer(kept).alias("at", "token")).join(
+        ids, "token", "left"
+    )
+    entry = F.when(
+        F.col("at").isNotNull(), F.struct("at", F.coalesce("token_id", F.lit(UNK)).alias("id"))
+    )
+    listed = found.groupBy(*keep).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+    return listed.select(
+        *keep,
+        F.concat(F.array(F.lit(BOS)), F.col("listed.id"), F.array(F.lit(EOS))).alias("input_ids"),
+        F.array_repeat(F.lit(1), F.size("listed") + 2).alias("attention_mask"),
     )
 
 

@@ -54,6 +54,13 @@ def variant_rows(samples: DataFrame, n: int = 3) -> DataFrame:
     return fan_out(clean_only(samples), n)
 
 
+def spread(samples: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: taking a tree apart costs far more than moving its text."""
+    spark = samples.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return samples.repartition(max(parts, spark.sparkContext.defaultParallelism), "id")
+
+
 def label_variants(variants: DataFrame) -> DataFrame:
     """New ids, pair ids, source and label for mutated rows."""
     return variants.withColumns(
@@ -74,6 +81,8 @@ def generate_variants(
     ``ast`` mutates the syntax tree and falls back to text where the code does not parse;
     ``text`` takes the fallback for every row.
     """
+    if mutator == "ast":
+        samples = spread(samples)
     rows = variant_rows(samples, n)
     code = text_mutation(F.col("code"), seed)
     if mutator == "ast":

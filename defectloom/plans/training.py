@@ -28,20 +28,27 @@ def of_split(rows: DataFrame, split: str) -> DataFrame:
     return rows.where(F.col("split") == split).drop("split")
 
 
-def enlarged_train(rows: DataFrame, settings: TrainSettings, mutator: str = "ast") -> DataFrame:
-    """The train split with its synthetic defects, in a seeded random order."""
+def enlarged_train(
+    rows: DataFrame, settings: TrainSettings, path: str, mutator: str = "ast"
+) -> DataFrame:
+    """The train split with its synthetic defects, in a seeded random order.
+
+    The merged table is written to ``path`` first: mutants are made once, and the order is
+    found from the ids alone.
+    """
     train = of_split(rows, "train")
     synthetic = generate_variants(train, settings.n_variants, settings.seed, mutator)
-    return shuffle_rows(merge(train, synthetic), settings.seed)
+    merge(train, synthetic).write.mode("overwrite").parquet(path)
+    return shuffle_rows(rows.sparkSession.read.parquet(path), settings.seed)
 
 
 def encoded_rows(rows: DataFrame, settings: TrainSettings) -> DataFrame:
     """Model inputs of the train split: augmented, cut into tokens, as ids with label."""
     train = of_split(rows, "train")
     vocab = vocabulary(train, "code", settings.vocab_size)
-    augmented = train.withColumn("code", augment(F.col("code"), settings.seed))
-    encoded = encode(augmented, vocab, "code", settings.max_length, settings.vocab_size)
-    return encoded.select("id", "input_ids", "attention_mask", F.col("is_buggy").alias("labels"))
+    augmented = train.select("id", "is_buggy", augment(F.col("code"), settings.seed).alias("code"))
+    encoded = encode(augmented, vocab, "code", settings.max_length)
+    return encoded.withColumnRenamed("is_buggy", "labels")
 
 
 def train(rows: DataFrame, settings: TrainSettings) -> PipelineModel:
