@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from defectloom.functions.bind import bind
+
 
 def add_log_weights(logits, weights) -> Column:
     """Shift every logit by the logarithm of its class weight."""
@@ -10,10 +12,16 @@ def add_log_weights(logits, weights) -> Column:
 
 
 def softmax(logits) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda z: F.exp(z - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda s, e: s + e)
-    return F.transform(exps, lambda e: e / total)
+    def powers(values):
+        return bind(
+            F.array_max(values), lambda top: F.transform(values, lambda z: F.exp(z - top))
+        )
+
+    def normalised(exps):
+        total = F.aggregate(exps, F.lit(0.0), lambda s, e: s + e)
+        return bind(total, lambda t: F.transform(exps, lambda e: e / t))
+
+    return bind(bind(logits, powers), normalised)
 
 
 def argmax(values) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
+from defectloom.functions.bind import bind
 from defectloom.schema import MAX_CHARS
 
 # The characters Python's str.strip and \s take for white space. Spark's trim
@@ -44,11 +45,16 @@ def parse_kv(text) -> Column:
             ).alias("value"),
         ),
     )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    )
-    return F.map_from_arrays(keys, last)
+    def last_per_key(found):
+        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
+        return F.map_from_arrays(
+            keys,
+            F.transform(
+                keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]
+            ),
+        )
+
+    return bind(entries, last_per_key)
 
 
 def patch_code(patch, keep: str = "+- ") -> Column:
@@ -57,14 +63,18 @@ def patch_code(patch, keep: str = "+- ") -> Column:
     ``keep`` names the line marks that stay: all three for the merged text, ``"- "`` for the
     side before the change, ``"+ "`` for the side after it.
     """
-    lines = lines_of(patch)
-    header_ends = F.transform(
-        lines, lambda line, i: F.when(F.rlike(line, F.lit(HUNK_HEADER)), i + 1).otherwise(0)
-    )
-    hunk = F.slice(lines, F.array_max(header_ends) + 1, F.size(lines))
     marks = [F.lit(mark) for mark in keep]
+
+    def last_hunk(lines):
+        header_ends = F.transform(
+            lines, lambda line, i: F.when(F.rlike(line, F.lit(HUNK_HEADER)), i + 1).otherwise(0)
+        )
+        return F.slice(lines, F.array_max(header_ends) + 1, F.size(lines))
+
     code = F.transform(
-        F.filter(hunk, lambda line: F.left(line, F.lit(1)).isin(*marks)),
+        F.filter(
+            bind(lines_of(patch), last_hunk), lambda line: F.left(line, F.lit(1)).isin(*marks)
+        ),
         lambda line: F.substr(line, F.lit(2)),
     )
     return F.nullif(F.array_join(code, "\n"), F.lit(""))
@@ -76,20 +86,26 @@ def function_window(code, line_no, context: int = 15) -> Column:
     The end is exclusive and is looked for from ``line_no`` on, so a number that sits on a
     block start gives ''. Without a block start the window is ``context`` lines either way.
     """
-    lines = lines_of(code)
-    starts = F.filter(
-        F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(BLOCK_START)), i)),
-        lambda i: i.isNotNull(),
-    )
-    begin = F.coalesce(
-        F.array_max(F.filter(starts, lambda i: i <= line_no)),
-        F.greatest(F.lit(0), line_no - context),
-    )
-    end = F.coalesce(
-        F.array_min(F.filter(starts, lambda i: i >= line_no)),
-        F.least(F.size(lines), line_no + context),
-    )
-    return F.array_join(F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0))), "\n")
+
+    def window(lines):
+        starts = F.filter(
+            F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(BLOCK_START)), i)),
+            lambda i: i.isNotNull(),
+        )
+        return bind(starts, lambda found: cut(lines, found))
+
+    def cut(lines, starts):
+        begin = F.coalesce(
+            F.array_max(F.filter(starts, lambda i: i <= line_no)),
+            F.greatest(F.lit(0), line_no - context),
+        )
+        end = F.coalesce(
+            F.array_min(F.filter(starts, lambda i: i >= line_no)),
+            F.least(F.size(lines), line_no + context),
+        )
+        return F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+    return F.array_join(bind(lines_of(code), window), "\n")
 
 
 def function_name(code) -> Column:

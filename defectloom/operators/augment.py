@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
+from defectloom.functions.bind import bind
 from defectloom.functions.draws import chance, pick
 from defectloom.functions.text import lines_of
 
@@ -38,16 +39,16 @@ def add_whitespace(code, seed: int = 42) -> Column:
 def add_comment(code, seed: int = 42) -> Column:
     """Now and then, a comment line among the first lines."""
     row = F.col("id")
-    lines = lines_of(code)
-    places = F.least(F.size(lines), F.lit(LAST_COMMENT_LINE)) + 1
-    at = pick(places, seed, row, "place")
     comment = F.element_at(
         F.array(*[F.lit(c) for c in COMMENTS]), pick(len(COMMENTS), seed, row, "text") + 1
     )
+
+    def inserted(lines):
+        places = F.least(F.size(lines), F.lit(LAST_COMMENT_LINE)) + 1
+        return F.array_insert(lines, pick(places, seed, row, "place") + 1, comment)
+
     chosen = chance(GATE, seed, row, "gate") & chance(P_COMMENT, seed, row, "comment")
-    return F.when(
-        chosen, F.array_join(F.array_insert(lines, at + 1, comment), "\n")
-    ).otherwise(code)
+    return F.when(chosen, F.array_join(bind(lines_of(code), inserted), "\n")).otherwise(code)
 
 
 def augment(code, seed: int = 42) -> Column:

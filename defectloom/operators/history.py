@@ -31,7 +31,7 @@ def early_stop(history: DataFrame, patience: int = 3, threshold: float = 0.001)
     leading = with_position(history.select("run_id", "step", "f1"), ["step"], ["run_id"]).where(
         F.col("pos") < bound
     )
-    steps = F.array_sort(F.collect_list(F.struct("step", "f1")))
+    steps = F.sort_array(F.collect_list(F.struct("step", "f1")))
     start = F.struct(
         F.lit(None).cast("double").alias("best"),
         F.lit(0).alias("wait"),

@@ -6,6 +6,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from defectloom.functions.bind import bind
 from defectloom.functions.scores import add_log_weights, argmax, softmax
 from defectloom.functions.text import label_text
 from defectloom.operators.metrics import class_weights
@@ -60,14 +61,17 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def score_logits(logits, class_prior=None) -> Column:
     """Struct of probabilities, class, confidence and label text; optional class weights."""
     shifted = logits if class_prior is None else add_log_weights(logits, class_prior)
-    p = softmax(shifted)
-    yhat = argmax(p)
-    return F.struct(
-        p.alias("probabilities"),
-        yhat.alias("yhat"),
-        F.array_max(p).alias("score"),
-        label_text(yhat).alias("label"),
-    )
+
+    def outcome(p):
+        yhat = argmax(p)
+        return F.struct(
+            p.alias("probabilities"),
+            yhat.alias("yhat"),
+            F.array_max(p).alias("score"),
+            label_text(yhat).alias("label"),
+        )
+
+    return bind(softmax(shifted), outcome)
 
 
 def save(model: PipelineModel, path: str) -> None:

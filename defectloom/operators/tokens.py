@@ -83,13 +83,13 @@ def encode(
     found = df.select(*keep, F.posexplode_outer(kept).alias("at", "token")).join(
         ids, "token", "left"
     )
-    entry = F.when(
-        F.col("at").isNotNull(), F.struct("at", F.coalesce("token_id", F.lit(UNK)).alias("id"))
-    )
-    listed = found.groupBy(*keep).agg(F.array_sort(F.collect_list(entry)).alias("listed"))
+    # Place and id in one number, so that the list sorts as plain numbers; null without tokens.
+    entry = F.shiftleft(F.col("at").cast("long"), 32) + F.coalesce("token_id", F.lit(UNK))
+    listed = found.groupBy(*keep).agg(F.sort_array(F.collect_list(entry)).alias("listed"))
+    ids = F.transform("listed", lambda e: e.bitwiseAND(0xFFFFFFFF).cast("int"))
     return listed.select(
         *keep,
-        F.concat(F.array(F.lit(BOS)), F.col("listed.id"), F.array(F.lit(EOS))).alias("input_ids"),
+        F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))).alias("input_ids"),
         F.array_repeat(F.lit(1), F.size("listed") + 2).alias("attention_mask"),
     )
 

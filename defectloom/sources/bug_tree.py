@@ -17,9 +17,10 @@ def scan_bug_tree(spark: SparkSession, root: str) -> DataFrame:
     One scan reads both files of a bug; a file that is not UTF-8 counts as missing.
     """
     require_dirs(spark, root, ["projects"])
-    files = spark.read.text(
+    texts = spark.read.text(
         f"{root}/projects/*/bugs/*", wholetext=True, pathGlobFilter="bug[._]*"
-    ).select(
+    ).where(F.is_valid_utf8("value"))
+    files = texts.select(
         F.regexp_extract("_metadata.file_path", BUG_PATH, 1).alias("project"),
         F.regexp_extract("_metadata.file_path", BUG_PATH, 2).alias("bug"),
         F.col("_metadata.file_name").alias("file"),
@@ -30,9 +31,7 @@ def scan_bug_tree(spark: SparkSession, root: str) -> DataFrame:
         return F.max(F.when(F.col("file") == name, F.col("text")))
 
     return (
-        files.where(
-            (F.col("bug") != "") & F.col("file").isin(INFO, PATCH) & F.is_valid_utf8("text")
-        )
+        files.where((F.col("bug") != "") & F.col("file").isin(INFO, PATCH))
         .groupBy("project", "bug")
         .agg(text_of(INFO).alias("info"), text_of(PATCH).alias("patch"))
         .where("info IS NOT NULL")
