@@ -45,6 +45,12 @@ def length_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def wide_statistics(df: DataFrame) -> DataFrame:
+    """Statistics and length profile per split in one row; both sides hold a row per split."""
+    lengths = length_profile(df).select("split", "median_length", "min_length", "max_length")
+    return split_statistics(df).join(lengths, "split")
+
+
 def length_bands(stats: DataFrame) -> DataFrame:
     return stats.select("split", length_band(F.col("avg_length")).alias("band"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from defectloom.operators.positions import with_position
 
 # Token pattern, marker ids and limits.
-TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\t-\r A-Za-z0-9_]"
+TOKEN = r"[A-Za-z_]\w*|\d+|[^\w\t-\r ]"
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 FIRST_ID = 4
 MAX_LENGTH = 512
@@ -34,6 +34,7 @@ def vocabulary(df: DataFrame, code: str = "code", vocab_size: int = VOCAB_SIZE)
 
     Tokens beyond ``vocab_size`` are encoded as unknown, as with any fixed vocabulary.
     """
+    # The window sees ``vocab_size`` rows at most.
     top = token_counts(df, code).orderBy(F.desc("n"), "token").limit(vocab_size)
     rank = F.row_number().over(W.orderBy(F.desc("n"), "token"))
     return top.select("token", "n", (rank + FIRST_ID - 1).alias("token_id"))

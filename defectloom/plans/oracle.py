@@ -326,6 +326,27 @@ STAT_LINES = f"""SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
        '  Buggy: ' || sum(buggy) FILTER (split = 'eval') || ', Clean: ' || sum(clean) FILTER (split = 'eval')]) AS lines
     FROM stats) l) u"""
 
+WIDE = (
+    STATS
+    + """, lengths AS (
+  SELECT split, median(length(code)) AS median_length, CAST(min(length(code)) AS INTEGER) AS min_length,
+         CAST(max(length(code)) AS INTEGER) AS max_length
+  FROM split_samples GROUP BY split),
+wide AS (SELECT * FROM stats JOIN lengths USING (split))"""
+)
+
+DETAIL_LINES = f"""SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
+  SELECT unnest(lines) AS value, generate_subscripts(lines, 1) - 1 AS line_no FROM (
+    SELECT list_concat([{RULE_1}, 'DETAILED STATISTICS', {RULE_1}], flatten(list(
+      ['', upper(split) || ' SPLIT:', '  Total samples: ' || format('{{:,}}', samples),
+       '  Buggy samples: ' || format('{{:,}}', buggy) || printf(' (%.1f', buggy_ratio * 100) || '%)',
+       '  Clean samples: ' || format('{{:,}}', clean) || printf(' (%.1f', (1 - buggy_ratio) * 100) || '%)',
+       '  Projects: ' || projects, '  Code length statistics:',
+       printf('    Average: %.0f characters', avg_length), printf('    Median: %.0f characters', median_length),
+       '    Min: ' || min_length || ' characters', '    Max: ' || max_length || ' characters']
+      ORDER BY list_position(['train', 'val', 'test', 'eval'], split)))) AS lines
+    FROM wide) l) u"""
+
 PODIUM = "ORDER BY bugs DESC, name DESC LIMIT 3"
 PAGE_NAMES = "'Name | Bugs Data | Verified Bugs Data', '--- | --- | --- '"
 PAGE = f"""SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
@@ -370,6 +391,7 @@ SELECT '{{' || string_agg('"' || split || '":{{"samples":' || samples || ',"bugg
 SELECT split, samples, buggy, clean, CASE WHEN split = 'eval' THEN NULL ELSE projects END AS projects,
   round(avg_length, 6) AS avg_length FROM stats""",
     "stats_report_lines": f"WITH {STATS} {STAT_LINES}",
+    "stats_detail_lines": f"WITH {WIDE} {DETAIL_LINES}",
     "testcases_normalised": """SELECT p_partkey AS id,
   CASE p_size % 3 WHEN 0 THEN '[' || p_size || ']' WHEN 1 THEN '[' || p_size || ',"' || p_name || '"]'
        ELSE '["' || p_name || '"]' END AS input,
@@ -422,6 +444,9 @@ SELECT stem, path FROM defects WHERE stem NOT IN (SELECT stem FROM fixes)""",
     "clean_only": f"WITH {SAMPLES} SELECT id, source, project, pair_id FROM samples WHERE is_buggy = 0",
     "request_rules": f"""SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents""",
+    "stream_verdicts": f"""SELECT id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, reason IS NULL AS scored
+FROM (SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
+  WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents) d""",
     "batch_size_rule": f"""WITH {BATCHED}
 SELECT batch_id, count(*) AS n, count(*) BETWEEN 1 AND 100 AS accepted FROM batched GROUP BY batch_id""",
     "accepted_batches": f"""WITH {BATCHED}
@@ -437,6 +462,9 @@ SELECT split, samples, buggy, clean, projects, round(avg_length, 6) AS avg_lengt
     "length_profile": """SELECT lang AS split, count(*) AS samples, round(avg(length(text)), 6) AS avg_length,
   round(median(length(text)), 6) AS median_length, CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length,
   round(count(*) FILTER (n_chars % 2 = 1)::DOUBLE / count(*), 6) AS buggy_ratio FROM documents GROUP BY lang""",
+    "wide_stats": f"""WITH {WIDE}
+SELECT split, samples, buggy, clean, projects, round(avg_length, 6) AS avg_length, round(buggy_ratio, 6) AS buggy_ratio,
+  round(median_length, 6) AS median_length, min_length, max_length FROM wide""",
     "length_bands": f"""WITH {STATS}
 SELECT split, CASE WHEN avg_length <= 0 THEN NULL WHEN avg_length < 500 THEN 'short' WHEN avg_length < 1000 THEN 'medium' ELSE 'long' END AS band FROM stats""",
     "balance_bands": f"""WITH {STATS}

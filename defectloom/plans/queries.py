@@ -116,6 +116,11 @@ def stats_report_lines(spark, sf):
     return reports.stats_report(profile.split_statistics(split_samples(spark, sf)))
 
 
+@query
+def stats_detail_lines(spark, sf):
+    return reports.detail_report(profile.wide_statistics(split_samples(spark, sf)))
+
+
 @query
 def testcases_normalised(spark, sf):
     return test_cases.normalise_test_cases(B.test_case_lines(spark, sf))
@@ -269,6 +274,12 @@ def length_profile(spark, sf):
     return rounded(profile.length_profile(rows), "avg_length", "median_length", "buggy_ratio")
 
 
+@query
+def wide_stats(spark, sf):
+    wide = profile.wide_statistics(split_samples(spark, sf))
+    return rounded(wide, "avg_length", "median_length", "buggy_ratio")
+
+
 @query
 def length_bands(spark, sf):
     return profile.length_bands(profile.split_statistics(split_samples(spark, sf)))
@@ -596,7 +607,9 @@ def batches(spark, sf):
 
 @query
 def pad_batches(spark, sf):
-    return tokens.pad_batches(tokens.batches(encode(spark, sf), BATCH))
+    rows = B.corpus(spark, sf).select("id", "code")
+    placed = tokens.batches(rows, BATCH)
+    return tokens.pad_batches(tokens.encode(placed, tokens.vocabulary(rows)))
 
 
 @query
@@ -619,8 +632,8 @@ def train_and_evaluate(spark, sf):
     return training.evaluate(training.train(rows, SETTINGS), rows)
 
 
-@query
-def stream_score(spark, sf):
+def streamed(spark, sf) -> DataFrame:
+    """All documents, scored as a stream by a model fitted on the train split."""
     fitted = training.train(written_splits(spark, sf), SETTINGS)
     documents = B.table(spark, sf, "documents")
     # A pattern, so that the table may be one file or a folder of files.
@@ -629,3 +642,17 @@ def stream_score(spark, sf):
     root = work_dir(spark)
     scoring.start_scoring(requests, fitted, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@query
+def stream_score(spark, sf):
+    return streamed(spark, sf)
+
+
+@query
+def stream_verdicts(spark, sf):
+    """What the stream decides without the model, and that the model scored the rest."""
+    scored = F.col("label").isin("buggy", "clean") & F.col("score").between(0.5, 1)
+    return streamed(spark, sf).select(
+        "id", "status", "reason", F.coalesce(scored, F.lit(False)).alias("scored")
+    )

@@ -42,13 +42,16 @@ def load_stats(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(F.col("key").alias("split"), "value.*")
 
 
+def _split_place():
+    return F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
+
+
 def _rule(mark: str):
     return F.lit(mark * WIDTH)
 
 
 def stats_report(stats: DataFrame) -> DataFrame:
     """The statistics table and its summary as numbered lines of text."""
-    order = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
     is_eval = F.col("split") == "eval"
     ratio = F.format_string("%.3f", safe_ratio(F.col("buggy"), F.col("samples")))
     # Half to even, as C's printf does.
@@ -68,7 +71,9 @@ def stats_report(stats: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(chosen, F.col(name))), F.lit(0))
 
     gathered = stats.agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))).alias("rows"),
+        F.sort_array(
+            F.collect_list(F.struct(_split_place().alias("o"), line.alias("line")))
+        ).alias("rows"),
         *[total(name, ~is_eval).alias(name) for name in ("samples", "buggy", "clean")],
         *[total(name, is_eval).alias(f"eval_{name}") for name in ("samples", "buggy", "clean")],
     )
@@ -90,6 +95,34 @@ def stats_report(stats: DataFrame) -> DataFrame:
     return gathered.select(F.posexplode(lines).alias("line_no", "value"))
 
 
+def detail_report(wide: DataFrame) -> DataFrame:
+    """The wide statistics of every split as numbered lines of text."""
+    ratio = F.col("buggy_ratio")
+
+    def whole(name):
+        return F.bround(name, 0).cast("long")
+
+    block = F.array(
+        F.lit(""),
+        F.concat(F.upper("split"), F.lit(" SPLIT:")),
+        F.format_string("  Total samples: %,d", "samples"),
+        F.format_string("  Buggy samples: %,d (%.1f%%)", "buggy", ratio * 100),
+        F.format_string("  Clean samples: %,d (%.1f%%)", "clean", (1 - ratio) * 100),
+        F.format_string("  Projects: %d", "projects"),
+        F.lit("  Code length statistics:"),
+        F.format_string("    Average: %d characters", whole("avg_length")),
+        F.format_string("    Median: %d characters", whole("median_length")),
+        F.format_string("    Min: %d characters", "min_length"),
+        F.format_string("    Max: %d characters", "max_length"),
+    )
+    rows = F.sort_array(F.collect_list(F.struct(_split_place().alias("o"), block.alias("lines"))))
+    head = F.array(_rule("="), F.lit("DETAILED STATISTICS"), _rule("="))
+    gathered = wide.agg(rows.alias("rows"))
+    return gathered.select(
+        F.posexplode(F.concat(head, F.flatten("rows.lines"))).alias("line_no", "value")
+    )
+
+
 def leaderboard_page(
     title: str, all_time: DataFrame, week: DataFrame, totals: DataFrame
 ) -> DataFrame:

@@ -105,7 +105,8 @@ class Fixed(random.Random):
 
 
 def apply(name, code):
-    return ast.unparse(mutate_ast.PATTERNS[name](ast.parse(code), Fixed()))
+    tree = mutate_ast.PATTERNS[name](ast.parse(code), Fixed())
+    return ast.unparse(tree)
 
 
 @pytest.mark.parametrize(
