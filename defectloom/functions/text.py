@@ -20,9 +20,18 @@ def lines_of(text) -> Column:
     return F.split(text, "\n")
 
 
+def trim_both(text, chars: str) -> Column:
+    """``text`` without the characters of a regex class at either end.
+
+    The look-behind lets a run inside the text be passed over at once, so long runs cost no
+    more than other text.
+    """
+    return F.regexp_replace(text, rf"\A[{chars}]++|(?<![{chars}])[{chars}]++\z", "")
+
+
 def strip(text) -> Column:
     """``str.strip()``."""
-    return F.regexp_replace(text, rf"\A[{PY_SPACE}]+|[{PY_SPACE}]+\z", "")
+    return trim_both(text, PY_SPACE)
 
 
 def is_blank(text) -> Column:
@@ -40,9 +49,7 @@ def parse_kv(text) -> Column:
         F.filter(lines_of(text), lambda line: F.instr(line, "=") > 0),
         lambda line: F.struct(
             strip(F.substring_index(line, "=", 1)).alias("key"),
-            F.regexp_replace(
-                strip(F.substr(line, F.instr(line, "=") + 1)), r'\A"+|"+\z', ""
-            ).alias("value"),
+            trim_both(strip(F.substr(line, F.instr(line, "=") + 1)), '"').alias("value"),
         ),
     )
     def last_per_key(found):

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from defectloom.functions.text import balance_band, length_band, safe_ratio
+from defectloom.schema import SPLITS
 
 
 def _label_counts():
@@ -26,6 +27,13 @@ def split_statistics(df: DataFrame) -> DataFrame:
     )
 
 
+def with_all_splits(stats: DataFrame) -> DataFrame:
+    """A row for every split: zero counts and no mean for one without rows."""
+    names = stats.sparkSession.createDataFrame([(name,) for name in SPLITS], "split string")
+    counts = ["samples", "buggy", "clean", "projects", "buggy_ratio"]
+    return names.join(stats, "split", "left").fillna(0, counts)
+
+
 def length_profile(df: DataFrame) -> DataFrame:
     """Mean, interpolated median, shortest and longest code per split.
 

@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from defectloom.operators.profile import split_statistics
+from defectloom.operators.profile import split_statistics, with_all_splits
 from defectloom.operators.splits import sorted_split
 from defectloom.sources.bug_tree import bug_tree_samples, scan_bug_tree
 from defectloom.sources.code_dirs import code_dir_samples
@@ -40,5 +40,6 @@ def prepare(spark: SparkSession, settings: DataSettings) -> DataFrame:
     table = f"{settings.out}/splits"
     save_splits(rows, table)
     written = spark.read.parquet(table)
-    save_text(stats_json(split_statistics(written)), f"{settings.out}/stats")
+    stats = with_all_splits(split_statistics(written))
+    save_text(stats_json(stats), f"{settings.out}/stats")
     return written

@@ -1,15 +1,17 @@
 """Enlarge, train, evaluate."""
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from datetime import datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from defectloom.operators.augment import augment
 from defectloom.operators.metrics import attach_predictions, evaluation_report
-from defectloom.operators.model import fit, predict
+from defectloom.operators.model import describe, fit, predict, save
 from defectloom.operators.tokens import encode, vocabulary
 from defectloom.operators.variants import generate_variants, merge, shuffle_rows
+from defectloom.sources.reports import model_card, save_text
 
 
 @dataclass(frozen=True)
@@ -52,11 +54,12 @@ def encoded_rows(rows: DataFrame, settings: TrainSettings) -> DataFrame:
 
 
 def train(rows: DataFrame, settings: TrainSettings) -> PipelineModel:
-    return fit(
-        of_split(rows, "train"),
-        n_features=settings.n_features,
-        iterations=settings.iterations,
-    )
+    """Fit on the train split as it is."""
+    return fit_rows(of_split(rows, "train"), settings)
+
+
+def fit_rows(rows: DataFrame, settings: TrainSettings) -> PipelineModel:
+    return fit(rows, n_features=settings.n_features, iterations=settings.iterations)
 
 
 def score_table(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -68,3 +71,19 @@ def score_table(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def evaluate(model: PipelineModel, rows: DataFrame) -> DataFrame:
     facts = rows.select("id", "split", "project", "is_buggy")
     return evaluation_report(attach_predictions(facts, score_table(model, rows)))
+
+
+def run(rows: DataFrame, settings: TrainSettings, out: str) -> DataFrame:
+    """Enlarge, train, evaluate; writes training table, model, report and card below ``out``.
+
+    ``rows`` is the written split table. Returns the written evaluation report.
+    """
+    spark = rows.sparkSession
+    model = fit_rows(enlarged_train(rows, settings, f"{out}/train"), settings)
+    save(model, f"{out}/model")
+    evaluate(model, rows).write.mode("overwrite").json(f"{out}/evaluation")
+    report = spark.read.json(f"{out}/evaluation")
+    test = report.where("section = 'test'").drop("section", "name")
+    card = model_card(test, describe(model), asdict(settings), datetime.now().isoformat())
+    save_text(card, f"{out}/model_card")
+    return report

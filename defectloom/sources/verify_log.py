@@ -2,13 +2,15 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from defectloom.functions.text import trim_both
+
 
 def verified_ids(lines: DataFrame) -> DataFrame:
     """Distinct ``project, bug`` of the lines that are not empty and do not start ``PASS:``.
 
     The bug is the text before ``(``, after the last ``/`` and before the first blank.
     """
-    line = F.regexp_replace("line", r"\A[ \t]+|[ \t]+\z", "")
+    line = trim_both("line", r" \t")
     name = F.substring_index(F.substring_index(line, "(", 1), "/", -1)
     return (
         lines.where((line != "") & ~F.startswith(line, F.lit("PASS:")))

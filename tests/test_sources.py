@@ -114,6 +114,9 @@ def test_prepare_writes_splits_and_statistics(spark, bug_root, code_root, tmp_pa
     stats = {r["split"]: r for r in reports.load_stats(spark, f"{out}/stats").collect()}
     assert stats["eval"]["samples"] == 4 and stats["eval"]["projects"] is None
     assert sum(r["samples"] for r in stats.values()) == table.count() == 9
+    # Two projects: none for train and val, which stay in the statistics.
+    assert sorted(stats) == ["eval", "test", "train", "val"]
+    assert (stats["val"]["samples"], stats["val"]["avg_length"]) == (0, None)
     assert set(samples.load_split(spark, f"{out}/splits", "eval").columns) == set(SAMPLE.names)
 
 

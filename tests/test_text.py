@@ -17,6 +17,11 @@ def test_strip_is_python_strip(spark):
     assert column(spark, values, X.is_blank("t")) == [not v.strip() for v in values]
 
 
+def test_strip_passes_long_runs(spark):
+    value = "a" + " " * 200_000 + "b" + "\n" * 200_000
+    assert column(spark, [value], X.strip("t")) == [value.strip()]
+
+
 def test_parse_kv(spark):
     block = 'a = "1"\nno line\n  b=x=y  \na=""2""\n=empty\nc=\n'
     got = column(spark, [block, "", "plain"], X.parse_kv("t"))

@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -125,6 +126,12 @@ def test_training_job(spark, tmp_path):
     merged = training.enlarged_train(df, settings, str(tmp_path / "train"))
     assert merged.count() == 30 + 15 * 3
     assert sorted(r["pos"] for r in merged.select("pos").collect()) == list(range(75))
-    report = training.evaluate(training.train(df, settings), df).collect()
+    report = training.run(df, settings, str(tmp_path / "run")).collect()
     assert {r["section"] for r in report} == {"test", "project", "held_out"}
-    assert all(r["accuracy"] == 1.0 for r in report)
+    assert all(r["samples"] > 0 and 0 <= r["f1_macro"] <= 1 for r in report)
+    card = json.loads(spark.read.text(str(tmp_path / "run" / "model_card")).first()[0])
+    assert card["training_config"]["seed"] == 42 and card["metrics"]["samples"] == 30
+    again = model.load(str(tmp_path / "run" / "model"))
+    assert training.score_table(again, df).count() == 60
+    plain = training.evaluate(training.train(df, settings), df).collect()
+    assert all(r["accuracy"] == 1.0 for r in plain)
