@@ -41,41 +41,58 @@ def top_authors(commits: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def owners(tops: DataFrame, files: tuple[str, ...]) -> DataFrame:
-    """Owner per bug: the top author of the first of ``files`` that exists.
+def owners(tops: DataFrame) -> DataFrame:
+    """Owner per bug: the top author of the first of its files that exists.
 
-    A later file counts only when the earlier ones are missing, not when they were quiet
-    during the week.
+    The files are asked in two orders, for all bugs (``owner``) and for verified ones
+    (``checked_owner``). A later file counts only when the earlier ones are missing, not when
+    they were quiet during the week.
     """
-    rank = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("file"))
+
+    def first_of(files):
+        rank = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("file"))
+        return F.min(F.struct(rank.alias("rank"), "author", "week_author"))
+
     return (
-        tops.where(F.col("file").isin(*files))
+        tops.where(F.col("file").isin(*BUG_FILES))
         .groupBy("project", "bug")
-        .agg(F.min(F.struct(rank.alias("rank"), "author", "week_author")).alias("first"))
+        .agg(first_of(BUG_FILES).alias("a"), first_of(VERIFIED_FILES).alias("c"))
         .select(
             "project",
             "bug",
-            F.col("first.author").alias("owner"),
-            F.col("first.week_author").alias("week_owner"),
+            F.col("a.author").alias("owner"),
+            F.col("a.week_author").alias("week_owner"),
+            F.col("c.author").alias("checked_owner"),
+            F.col("c.week_author").alias("checked_week_owner"),
         )
     )
 
 
-def verified_owners(tops: DataFrame, verified: DataFrame) -> DataFrame:
-    """Owners of the verified bugs; ``verified`` holds distinct ``project, bug``."""
-    return owners(tops, VERIFIED_FILES).join(verified, ["project", "bug"], "left_semi")
+def mark_verified(bug_owners: DataFrame, verified: DataFrame) -> DataFrame:
+    """Owners with a flag for the bugs in ``verified``, distinct ``project, bug``."""
+    flagged = verified.select("project", "bug", F.lit(True).alias("verified"))
+    return bug_owners.join(flagged, ["project", "bug"], "left").withColumn(
+        "verified", F.coalesce("verified", F.lit(False))
+    )
 
 
-def contributor_counts(bug_owners: DataFrame, verified: DataFrame, column: str) -> DataFrame:
-    """Bugs and verified bugs per owner named in ``column``, missing verified counts as 0."""
-    bugs = bug_owners.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("bugs"))
-    checked = verified.groupBy(F.col(column).alias("name")).agg(
-        F.count(F.lit(1)).alias("verified")
+def contributor_counts(board: DataFrame, week: bool = False) -> DataFrame:
+    """Bugs and verified bugs per name, 0 without a verified one; all time or last week."""
+    owner, checked = ("week_owner", "checked_week_owner") if week else ("owner", "checked_owner")
+    credits = F.array(
+        F.struct(F.col(owner).alias("name"), F.lit(1).alias("bug"), F.lit(0).alias("ok")),
+        F.struct(
+            F.when(F.col("verified"), F.col(checked)).alias("name"),
+            F.lit(0).alias("bug"),
+            F.lit(1).alias("ok"),
+        ),
     )
     return (
-        bugs.where("name IS NOT NULL")
-        .join(checked, "name", "left")
-        .select("name", "bugs", F.coalesce("verified", F.lit(0)).alias("verified"))
+        board.select(F.inline(credits))
+        .where("name IS NOT NULL")
+        .groupBy("name")
+        .agg(F.sum("bug").alias("bugs"), F.sum("ok").alias("verified"))
+        .where("bugs > 0")
     )
 
 
@@ -84,8 +101,7 @@ def podium(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("bugs"), F.desc("name")).limit(PODIUM)
 
 
-def totals(bug_owners: DataFrame, verified: DataFrame) -> DataFrame:
-    both = bug_owners.select(F.lit(0).alias("v")).unionAll(verified.select(F.lit(1).alias("v")))
-    return both.agg(
-        F.count_if(F.col("v") == 0).alias("bugs"), F.count_if(F.col("v") == 1).alias("verified")
+def totals(board: DataFrame) -> DataFrame:
+    return board.agg(
+        F.count(F.lit(1)).alias("bugs"), F.count_if(F.col("verified")).alias("verified")
     )

@@ -46,8 +46,9 @@ def vocab_total(df: DataFrame, code: str = "code") -> DataFrame:
 
 def token_stats(df: DataFrame, code: str = "code", max_length: int = MAX_LENGTH) -> DataFrame:
     """Tokens per text with both markers, over all rows."""
-    n = F.size(tokenise(code)) + 2
-    return df.agg(
+    n = F.col("n")
+    # Taken apart once per text, then summed.
+    return df.select((F.size(tokenise(code)) + 2).alias("n")).agg(
         F.count(F.lit(1)).alias("texts"),
         F.sum(n).alias("tokens"),
         F.avg(n).alias("avg_tokens"),

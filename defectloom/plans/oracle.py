@@ -514,7 +514,9 @@ walk AS (
 SELECT run_id, stopped AS stop_step, round(best, 6) AS best_f1 FROM walk
 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY pos DESC) = 1""",
     "top_author": f"WITH {TOPS} SELECT project, bug, file, author, week_author FROM tops",
-    "owner_fallback": f"WITH {BOARD} SELECT project, bug, owner, week_owner FROM owners",
+    "owner_fallback": f"""WITH {BOARD}
+SELECT o.project, o.bug, o.owner, o.week_owner, c.owner AS checked_owner, c.week_owner AS checked_week_owner
+FROM owners o JOIN check_owners c USING (project, bug)""",
     "contributors": f"WITH {BOARD}, {contributors('a', 'owner')} SELECT * FROM a",
     "leaderboard_all": f"WITH {BOARD}, {contributors('a', 'owner')} SELECT * FROM a {PODIUM}",
     "leaderboard_week": f"WITH {BOARD}, {contributors('w', 'week_owner')} SELECT * FROM w {PODIUM}",

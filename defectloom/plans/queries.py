@@ -397,13 +397,10 @@ def early_stop(spark, sf):
 # Leaderboard
 
 
-def board(spark, sf):
+def board(spark, sf) -> DataFrame:
     tops = leaderboard.top_authors(B.commits(spark, sf), B.AS_OF)
     verified = verify_log.verified_ids(B.log_lines(spark, sf))
-    return (
-        leaderboard.owners(tops, leaderboard.BUG_FILES),
-        leaderboard.verified_owners(tops, verified),
-    )
+    return leaderboard.mark_verified(leaderboard.owners(tops), verified)
 
 
 @query
@@ -413,28 +410,27 @@ def top_author(spark, sf):
 
 @query
 def owner_fallback(spark, sf):
-    tops = leaderboard.top_authors(B.commits(spark, sf), B.AS_OF)
-    return leaderboard.owners(tops, leaderboard.BUG_FILES)
+    return leaderboard.owners(leaderboard.top_authors(B.commits(spark, sf), B.AS_OF))
 
 
 @query
 def contributors(spark, sf):
-    return leaderboard.contributor_counts(*board(spark, sf), "owner")
+    return leaderboard.contributor_counts(board(spark, sf))
 
 
 @query
 def leaderboard_all(spark, sf):
-    return leaderboard.podium(leaderboard.contributor_counts(*board(spark, sf), "owner"))
+    return leaderboard.podium(leaderboard.contributor_counts(board(spark, sf)))
 
 
 @query
 def leaderboard_week(spark, sf):
-    return leaderboard.podium(leaderboard.contributor_counts(*board(spark, sf), "week_owner"))
+    return leaderboard.podium(leaderboard.contributor_counts(board(spark, sf), week=True))
 
 
 @query
 def leaderboard_totals(spark, sf):
-    return leaderboard.totals(*board(spark, sf))
+    return leaderboard.totals(board(spark, sf))
 
 
 @query

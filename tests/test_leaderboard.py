@@ -24,30 +24,26 @@ def commits(spark):
     return spark.createDataFrame(rows, "project string, bug string, file string, author string, ts timestamp_ntz")
 
 
-def owned(df):
-    return {(r["project"], r["bug"]): (r["owner"], r["week_owner"]) for r in df.collect()}
-
-
 def test_owners(commits):
-    tops = L.top_authors(commits, AS_OF)
-    assert owned(L.owners(tops, L.BUG_FILES)) == {
-        ("p", "1"): ("ann", None), ("p", "2"): ("ann", "cat"), ("q", "1"): ("dan", "dan")
+    got = {(r["project"], r["bug"]): tuple(r)[2:] for r in L.owners(L.top_authors(commits, AS_OF)).collect()}
+    assert got == {
+        ("p", "1"): ("ann", None, "bob", "bob"),
+        ("p", "2"): ("ann", "cat", "ann", "cat"),
+        ("q", "1"): ("dan", "dan", "dan", "dan"),
     }
-    assert owned(L.owners(tops, L.VERIFIED_FILES))[("p", "1")] == ("bob", "bob")
 
 
 def test_counts_and_podium(spark, commits):
-    tops = L.top_authors(commits, AS_OF)
     verified = spark.createDataFrame([("p", "1"), ("q", "1"), ("q", "99")], "project string, bug string")
-    checked = L.verified_owners(tops, verified)
-    owners = L.owners(tops, L.BUG_FILES)
-    counts = L.contributor_counts(owners, checked, "owner")
+    board = L.mark_verified(L.owners(L.top_authors(commits, AS_OF)), verified)
+    counts = L.contributor_counts(board)
+    # bob owns a verified bug only by the second order of files, and no bug by the first.
     assert sorted(map(tuple, counts.collect())) == [("ann", 2, 0), ("dan", 1, 1)]
-    week = L.contributor_counts(owners, checked, "week_owner")
+    week = L.contributor_counts(board, week=True)
     assert sorted(map(tuple, week.collect())) == [("cat", 1, 0), ("dan", 1, 1)]
     assert [r["name"] for r in L.podium(week).collect()] == ["dan", "cat"]
-    assert tuple(L.totals(owners, checked).first()) == (3, 2)
-    page = leaderboard_page("Bugs", L.podium(counts), L.podium(week), L.totals(owners, checked))
+    assert tuple(L.totals(board).first()) == (3, 2)
+    page = leaderboard_page("Bugs", L.podium(counts), L.podium(week), L.totals(board))
     lines = [r["value"] for r in page.orderBy("line_no").collect()]
     assert lines[0] == "# Bugs" and lines[4:6] == ["ann | 2 | 0", "dan | 1 | 1"]
     assert lines[-2:] == ["#### Total data : 3", "#### Total verified bugs data : 2"]
