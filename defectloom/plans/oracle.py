@@ -5,6 +5,7 @@ from defectloom.operators.augment import COMMENTS
 from defectloom.operators.filters import GRAPH_PROGRAMS
 from defectloom.operators.tokens import TOKEN
 from defectloom.operators.variants import REPLACEMENTS
+from defectloom.sources.examples import EXAMPLES
 
 SEED = 42
 SPAN = 1 << 32
@@ -444,6 +445,9 @@ SELECT stem, path FROM defects WHERE stem NOT IN (SELECT stem FROM fixes)""",
     "clean_only": f"WITH {SAMPLES} SELECT id, source, project, pair_id FROM samples WHERE is_buggy = 0",
     "request_rules": f"""SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents""",
+    "examples_table": "SELECT *, true AS scored FROM (VALUES "
+    + ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in EXAMPLES)
+    + ") AS e(name, code, expected)",
     "stream_verdicts": f"""SELECT id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, reason IS NULL AS scored
 FROM (SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents) d""",

@@ -11,7 +11,8 @@ from defectloom.operators import splits, tokens, validate, variants
 from defectloom.operators.mutate_ast import mutate_ast
 from defectloom.plans import bindings as B
 from defectloom.plans import training
-from defectloom.sources import bug_tree, code_dirs, reports, samples, test_cases, verify_log
+from defectloom.sources import bug_tree, code_dirs, examples, reports, samples, test_cases
+from defectloom.sources import verify_log
 from defectloom.streaming import scoring
 from defectloom.workspace import work_dir
 
@@ -640,6 +641,14 @@ def streamed(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+@query
+def examples_table(spark, sf):
+    """The example snippets, scored by a model fitted on the train split."""
+    fitted = training.train(written_splits(spark, sf), SETTINGS)
+    scored = model.predict(fitted, examples.examples(spark))
+    return scored.select("name", "code", "expected", F.col("score").between(0.5, 1).alias("scored"))
+
+
 @query
 def stream_score(spark, sf):
     return streamed(spark, sf)

@@ -1,6 +1,18 @@
 """JSON lines of the form ``[input, expected]``."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from defectloom.operators.filters import is_graph_program
+
+
+def scan_test_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """``program, value``: the lines of one ``<program>.json`` file per program.
+
+    Programs on graphs have no such file; one that turns up is left out.
+    """
+    program = F.regexp_replace("_metadata.file_name", r"\.json\z", "").alias("program")
+    lines = spark.read.text(folder, pathGlobFilter="*.json").select(program, "value")
+    return lines.where(~is_graph_program("program") & (F.trim("value") != ""))
 
 
 def normalise_test_cases(lines: DataFrame) -> DataFrame:

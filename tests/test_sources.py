@@ -134,6 +134,22 @@ def test_test_cases(spark):
         assert json.loads(row["expected"]) == wanted
 
 
+def test_scan_test_cases(spark, tmp_path):
+    put(tmp_path, "gcd.json", "[[1, 2], 1]\n\n[5, 5]\n")
+    put(tmp_path, "detect_cycle.json", "[1, 2]\n")
+    put(tmp_path, "notes.txt", "x")
+    got = cases.normalise_test_cases(cases.scan_test_cases(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.collect())) == [("gcd", "[1,2]", "1"), ("gcd", "[5]", "5")]
+
+
+def test_scan_verify_logs(spark, tmp_path):
+    put(tmp_path, "projects/p1/p1-pass.txt", "bugs/3 (FAIL)\nPASS: bugs/4\n\n")
+    put(tmp_path, "projects/p1/other-pass.txt", "bugs/9\n")
+    put(tmp_path, "projects/p2/p2-pass.txt", "bugs/5\nbugs/5\n")
+    got = verify_log.verified_ids(verify_log.scan_verify_logs(spark, str(tmp_path)))
+    assert sorted(map(tuple, got.collect())) == [("p1", "3"), ("p2", "5")]
+
+
 def test_verified_ids(spark):
     lines = [
         ("p", "bugs/12 (FAIL)"), ("p", "a/b/12(again)"), ("p", "PASS: bugs/3"), ("p", ""), ("p", "  "),
