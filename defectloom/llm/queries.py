@@ -2,8 +2,32 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from defectloom.llm.bpe import decode, encode
 from defectloom.llm.sharding import byte_shards
-from defectloom.llm.tables import table
+from defectloom.llm.tables import table, tokenizer_path
+from defectloom.llm.token_files import read_tokens, write_tokens
+from defectloom.workspace import work_dir
+
+
+def op1_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of the text they decode to."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode(documents, tokenizer_path()).select("doc_id", "ids")
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encoded, tokenizer_path()).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in compressed files, read back with their place in the stream."""
+    path = f"{work_dir(spark)}/tokens"
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_tokens(spark, path).select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"),
+        F.col("crc32").alias("ids_crc32"),
+    )
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +39,8 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_byte_shards": op6_byte_shards}
+QUERIES = {
+    "op1_trie_bpe": op1_trie_bpe,
+    "op2_token_files": op2_token_files,
+    "op6_byte_shards": op6_byte_shards,
+}

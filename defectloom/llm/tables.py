@@ -1,5 +1,6 @@
 """The given tables, read with their known types."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 # The types of the tables, so that a scan starts without reading footers.
@@ -13,3 +14,8 @@ SCHEMAS = {
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path() -> str:
+    """The vocabulary the registered queries encode with."""
+    return public_tokenizers.path("word_bpe_49k.json")
