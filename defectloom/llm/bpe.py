@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from defectloom.llm.pretoken import Memo, Splitter, chunks, read_spec
+from defectloom.llm.pretoken import Memo, Splitter, chunks, groups, read_spec
 
-MEMO_ENTRIES = 500_000
-TRIE_WORDS = 50_000
+CHUNKS, WORDS, PAIRS = 300_000, 200_000, 400_000
+TRIE_WORDS = 20_000
 NEVER = 1 << 60
 
 _encoders: dict[str, "TrieEncoder"] = {}
@@ -52,12 +52,15 @@ class Merges:
         # Letters of plain tokens, and of tokens that end a word without their mark.
         self.plain = {t: k for t, k in self.ids.items() if not t.endswith(self.end)}
         self.ending = {t[:-mark]: k for t, k in self.ids.items() if t.endswith(self.end) and t != self.end}
-        self.plain_tails = {t[k:] for t in self.plain for k in range(len(t))}
-        self.ending_tails = {t[k:] for t in self.ending for k in range(len(t))}
-        self.longest = max(map(len, [*self.plain, *self.ending]))
+        # What a longer token may still grow from: beginnings of plain tokens, and of end tokens
+        # before their last letter.
+        self._starts = {t[:k] for t in self.plain for k in range(len(t) + 1)}
+        self._starts |= {t[:k] for t in self.ending for k in range(len(t))}
+        self._moves: dict[str, tuple] = {}
+        self._closes: dict[str, list] = {}
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._sound: dict[int, bool] = {}
-        self._fits = Memo(2_000_000)
+        self._fits: dict[int, bool] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols that stand at the token's left (0) or right (1) edge while it is built up,
@@ -72,12 +75,37 @@ class Merges:
             known = self._edges[token, side] = list(zip(spine, ends))
         return known
 
+    def move(self, grown: str) -> tuple[str, list]:
+        """For what was left of a prefix and one more letter: what is left now, and the plain
+        tokens that may end there, longest first."""
+        known = self._moves.get(grown)
+        if known is None:
+            left = grown
+            while left not in self._starts:
+                left = left[1:]
+            known = self._moves[grown] = left, self._endings(left, self.plain)
+        return known
+
+    def close(self, grown: str) -> list:
+        """The end tokens that may end a word there, longest first."""
+        known = self._closes.get(grown)
+        if known is None:
+            if len(self._closes) > PAIRS:
+                self._closes.clear()
+            known = self._closes[grown] = self._endings(grown, self.ending)
+        return known
+
+    def _endings(self, text: str, tokens: dict[str, int]) -> list[tuple[int, int]]:
+        some = [(tokens.get(text[k:]), len(text) - k) for k in range(len(text))]
+        return [(token, size) for token, size in some if token is not None and self.sound(token)]
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the letters of both tokens gives just these two tokens."""
         key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
-            self._fits.make_room(1)
+            if len(self._fits) > PAIRS:
+                self._fits.clear()
             known = self._fits[key] = self._stay_apart(left, right)
         return known
 
@@ -129,8 +157,7 @@ class TrieEncoder:
     def __init__(self, spec: str):
         self.splitter = Splitter(spec)
         self.merges = Merges(spec)
-        self.by_word = Memo(MEMO_ENTRIES)
-        self.by_chunk = Memo(MEMO_ENTRIES)
+        self.by_word, self.by_chunk = Memo(WORDS), Memo(CHUNKS)
 
     @classmethod
     def of(cls, spec: str) -> "TrieEncoder":
@@ -152,83 +179,71 @@ class TrieEncoder:
         for word in words:
             node = root
             for letter in word[:-1]:
-                node = node.setdefault(letter, {})
+                below = node.get(letter)
+                if below is None:
+                    below = node[letter] = {}
+                node = below
             # The edge of the last letter with its end mark: two letters never make a plain edge.
             node.setdefault("", []).append(word)
-        m = self.merges
-        plain, ending, plain_tails, ending_tails = m.plain, m.ending, m.plain_tails, m.ending_tails
-        fits, sound, longest = m.fits, m.sound, m.longest
-        last = [0]  # the last token, and its length, of each prefix on the path
-        length = [0]
-        stack = [(root, 0, "")]
+        move, close, known = self.merges.move, self.merges.close, self.merges._fits.get
+        fits = self.merges.fits
+        last, length = [0], [0]  # the last token of each prefix on the path, and its length
+        stack = [(root, 0, "", "")]
         while stack:
-            node, depth, tail = stack.pop()
+            node, depth, before, letter = stack.pop()
+            left = before
             if depth:
+                left, tokens = move(before + letter)
                 del last[depth:], length[depth:]
-                token, size = self._last(tail, depth, last, plain, plain_tails, fits, sound)
+                for token, size in tokens:
+                    if size == depth:
+                        break
+                    ok = known(last[depth - size] << 32 | token)
+                    if fits(last[depth - size], token) if ok is None else ok:
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a letter")
                 last.append(token)
                 length.append(size)
             for letter, below in node.items():
                 if letter:
-                    stack.append((below, depth + 1, (tail + letter)[-longest:]))
-            # Ends first: the states on the path are this node's until the next one is taken.
-            for word in node.get("", ()):
-                at = depth + 1
-                token, size = self._last((tail + word[-1])[-longest:], at, last, ending, ending_tails, fits, sound)
-                ids = [token]
-                at -= size
-                while at:
-                    ids.append(last[at])
-                    at -= length[at]
-                ids.reverse()
-                found[word] = array("I", ids).tobytes()
-
-    @staticmethod
-    def _last(tail, depth, last, tokens, tails, fits, sound):
-        """The last token of a prefix, and its length, from the states of the shorter ones."""
-        size, most = 0, min(depth, len(tail))
-        while size < most and tail[-size - 1 :] in tails:
-            size += 1
-        while size:
-            token = tokens.get(tail[-size:])
-            if token is not None and sound(token) and (size == depth or fits(last[depth - size], token)):
-                return token, size
-            size -= 1
-        raise ValueError("the vocabulary lacks a letter")
+                    stack.append((below, depth + 1, left, letter))
+                    continue
+                # Words that end below this node, one letter further on.
+                for word in below:
+                    at = depth + 1
+                    for token, size in close(left + word[-1]):
+                        if size == at or fits(last[at - size], token):
+                            break
+                    else:
+                        raise ValueError("the vocabulary lacks a letter")
+                    ids = [token]
+                    at -= size
+                    while at:
+                        ids.append(last[at])
+                        at -= length[at]
+                    ids.reverse()
+                    found[word] = array("I", ids).tobytes()
 
     def _parts(self, chunk: str) -> list[str | int]:
         words = self.splitter.words(chunk)
         return self.splitter.parts(chunk) if words is None else words
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of chunks; words not met before are encoded together."""
         parts = {chunk: self._parts(chunk) for chunk in new}
-        words = {w for own in parts.values() for w in own if isinstance(w, str)}
-        self.by_word.make_room(len(words))
-        self.by_word.update(self.words(self.by_word.lacking(words)))
-        of = self.by_word
+        of = self.by_word.of({w for own in parts.values() for w in own if isinstance(w, str)}, self.words)
         return {
-            chunk: b"".join([of[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in own])
+            chunk: of[own[0]] if len(own) == 1 and isinstance(own[0], str)
+            else b"".join([of[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in own])
             for chunk, own in parts.items()
-        }
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text. Works through bounded groups of texts."""
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text or "")
-            if size > 1 << 21:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str | None]) -> list[bytes]:
+        }
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text."""
         parts = [chunks(text) for text in texts]
-        distinct = {""}.union(*parts)
-        self.by_chunk.make_room(len(distinct))
-        self.by_chunk.update(self.learn(self.by_chunk.lacking(distinct)))
-        return [b"".join(map(self.by_chunk.__getitem__, own)) for own in parts]
+        known = self.by_chunk.of({""}.union(*parts), self._learn)
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:
@@ -242,34 +257,24 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", into: str = "ids")
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return id_lists(TrieEncoder.of(spec.value).encode(texts.to_pylist()))
+        encoder = TrieEncoder.of(spec.value)
+        lists = [id_lists(encoder.encode(group)) for group in groups(texts)]
+        return pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
 
     # Marked so that a later function of the ids reads the column and doesn't encode again.
     return df.withColumn(into, ids.asNondeterministic()(F.col(text)))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Add the text of the ids: the tokens as the vocabulary has them, joined by blanks."""
-    spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
-
-    @F.arrow_udf("string")
-    def text(lists: pa.Array) -> pa.Array:
-        names = _names(spec.value)
-        return pa.array([" ".join(map(names.__getitem__, own)) if own else "" for own in lists.to_pylist()])
-
-    return df.withColumn(into, text(F.col(ids)))
-
-
-_tokens: dict[str, dict[int, str]] = {}
-
-
-def _names(spec: str) -> dict[int, str]:
-    if spec not in _tokens:
-        given = json.loads(spec)
-        if given["decoder"] is not None:
-            raise ValueError("only vocabularies without a decoder are known here")
-        _tokens.clear()
-        _tokens[spec] = {k: t for t, k in given["model"]["vocab"].items()} | {
-            t["id"]: t["content"] for t in given["added_tokens"]
-        }
-    return _tokens[spec]
+    """Add the text of the ids: the tokens as the vocabulary has them, joined by blanks.
+
+    The tokens are an array constant, as long as the vocabulary, and an id is a place in it.
+    """
+    given = json.loads(read_spec(tokenizer))
+    if given["decoder"] is not None:
+        raise ValueError("only vocabularies without a decoder are known here")
+    names = {k: t for t, k in given["model"]["vocab"].items()}
+    names |= {t["id"]: t["content"] for t in given["added_tokens"]}
+    tokens = F.split(F.lit("\n".join(names.get(k, "") for k in range(max(names) + 1))), "\n")
+    text = F.array_join(F.transform(F.col(ids), lambda i: F.get(tokens, i)), " ")
+    return df.withColumn(into, F.coalesce(text, F.lit("")))

@@ -1,3 +1,60 @@
 """SQL counterparts of the registered queries, in DuckDB's dialect."""
 
-ORACLE: dict[str, str] = {}
+# Written out here and not shared with the operators, so that a wrong rule shows.
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP8 = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS own,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, list_slice(words, i, i + 7) AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d)
+),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows)
+  WHERE n > 1
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM again, (SELECT unnest(range(8)) AS k) GROUP BY doc_id
+),
+lines AS (
+  SELECT doc_id, source, own, line, regexp_extract_all({_LOWER.format('line')}, '{_WORD}') AS parts
+  FROM (SELECT doc_id, source, own, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '{_WORD}')
+),
+named AS (SELECT *, array_to_string(parts, ' ') AS norm FROM lines),
+hosts AS (SELECT source, count(DISTINCT own) AS docs FROM d GROUP BY source),
+common AS (
+  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT own) AS n FROM named GROUP BY source, norm)
+  JOIN hosts h USING (source) WHERE n >= 20 AND n > 0.1 * docs
+),
+lost AS (
+  SELECT doc_id, sum(len(parts)) AS lost FROM named JOIN common USING (source, norm) GROUP BY doc_id
+),
+repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM named GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(words) AS n_words,
+         length(array_to_string(words, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(words) - coalesce(lost, 0) AS n_left
+  FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)
+),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND n_left >= 0.5 * n_words AS kept, CAST(n_left AS BIGINT) AS n_left
+FROM judged
+"""
+
+ORACLE: dict[str, str] = {
+    "op8_line_frequency": OP8,
+}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from defectloom.functions.lookup import count_at_most
 
 PER_RANGE = 32
-MIN_RANGES, MAX_RANGES, ROWS_PER_RANGE = 64, 4096, 500_000
+MIN_RANGES, MAX_RANGES, ROWS_PER_RANGE = 64, 4096, 100_000
 HASH_SPAN = 1 << 62
 
 

@@ -19,6 +19,7 @@ ASCII_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
 # dotted capital I.
 PLAIN = "[\x21-\x7e¡-¬®-įı-ɏ]+"
 MAX_FILE = 64 << 20
+GROUP_CHARS = 1 << 20
 
 _ascii_words = re.compile(ASCII_WORD).findall
 _words = regex.compile(WORD).findall
@@ -82,20 +83,51 @@ class Splitter:
         return found
 
 
+def groups(texts):
+    """The texts of an Arrow column in groups of bounded size; a long text is a group of its own."""
+    group, size = [], 0
+    for text in texts:
+        text = text.as_py()
+        group.append(text)
+        size += len(text or "")
+        if size > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def chunks(text: str | None) -> list[str]:
     return (text or "").replace("\n", " ").split(" ")
 
 
-class Memo(dict):
-    """Results by key. It is emptied beyond ``limit`` entries, which bounds its memory."""
+class Memo:
+    """Results by key, in two halves: when the young half is full, the old one is forgotten.
+
+    What is asked for again moves to the young half, so frequent keys stay.
+    """
 
     def __init__(self, limit: int):
-        super().__init__()
         self.limit = limit
-
-    def lacking(self, keys) -> list:
-        return [key for key in keys if key not in self]
-
-    def make_room(self, coming: int) -> None:
-        if len(self) + coming > self.limit:
-            self.clear()
+        self.young, self.old = {}, {}
+
+    def of(self, keys, work) -> dict:
+        """A result for each of the distinct ``keys``; ``work`` makes those not known, as a dict."""
+        found, new = {}, []
+        young, old = self.young, self.old
+        for key in keys:
+            value = young.get(key)
+            if value is None:
+                value = old.get(key)
+                if value is None:
+                    new.append(key)
+                    continue
+                young[key] = value
+            found[key] = value
+        if new:
+            made = work(new)
+            found.update(made)
+            young.update(made)
+        if len(young) > self.limit // 2:
+            self.young, self.old = {}, young if len(young) <= self.limit else {}
+        return found

@@ -3,7 +3,7 @@
 Writing cuts the lineage: a lost executor costs the tasks of one step, not the steps before it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.workspace import work_dir
 
@@ -13,3 +13,17 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(df: DataFrame, **own: str) -> DataFrame:
+    """Each row whole in ``row``, with some of its columns beside it under names of ours.
+
+    So no name of the caller's can clash with a working column; ``select("row.*")`` unpacks.
+    """
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("row")
+    return df.select(row, *[F.col(f"`{n}`").alias(name) for name, n in own.items()])
+
+
+def row_marks() -> list[Column]:
+    """Two hashes of a packed row, which together name it: equal rows have equal marks."""
+    return [F.xxhash64("row").alias("_h"), F.xxhash64(F.lit(1), "row").alias("_g")]

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from defectloom.llm.prefix import order_ranges
-from defectloom.llm.pretoken import Memo, Splitter, chunks, read_spec
+from defectloom.llm.pretoken import Memo, Splitter, chunks, groups, read_spec
 
 END_ID = 1
 MAGIC = b"TOKPACK1"
@@ -43,7 +43,7 @@ PACK_DOCS = 65_536
 SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 8 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-MEMO_ENTRIES = 500_000
+CHUNKS, WORDS = 300_000, 200_000
 
 _encoders: dict[str, "LibraryEncoder"] = {}
 
@@ -54,8 +54,7 @@ class LibraryEncoder:
     def __init__(self, spec: str):
         self.splitter = Splitter(spec)
         self.tokenize = self.splitter.library.model.tokenize
-        self.by_word = Memo(MEMO_ENTRIES)
-        self.by_chunk = Memo(MEMO_ENTRIES)
+        self.by_word, self.by_chunk = Memo(WORDS), Memo(CHUNKS)
 
     @classmethod
     def of(cls, spec: str) -> "LibraryEncoder":
@@ -65,30 +64,25 @@ class LibraryEncoder:
             _encoders[spec] = cls(spec)
         return _encoders[spec]
 
-    def _word(self, word: str) -> bytes:
-        ids = self.by_word.get(word)
-        if ids is None:
-            self.by_word.make_room(1)
-            ids = self.by_word[word] = array("I", [t.id for t in self.tokenize(word)]).tobytes()
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self.splitter.words(chunk)
-        if words is None:
-            ids = self.splitter.library.encode(chunk, add_special_tokens=False).ids
-            return array("I", ids).tobytes()
-        return b"".join(map(self._word, words))
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as unsigned 32-bit integers."""
-        parts = chunks(text)
-        known = self.by_chunk
-        known.make_room(len(parts))
-        if len(parts) > known.limit:  # a text too long to remember all of it
-            return b"".join(map(self._chunk, parts))
-        for chunk in known.lacking(set(parts)):
-            known[chunk] = self._chunk(chunk)
-        return b"".join(map(known.__getitem__, parts))
+    def _words(self, new: list[str]) -> dict[str, bytes]:
+        return {word: array("I", [t.id for t in self.tokenize(word)]).tobytes() for word in new}
+
+    def _chunks(self, new: list[str]) -> dict[str, bytes]:
+        parts = {chunk: self.splitter.words(chunk) for chunk in new}
+        of = self.by_word.of({w for own in parts.values() if own for w in own}, self._words)
+        return {
+            chunk: self._whole(chunk) if own is None else b"".join(map(of.__getitem__, own))
+            for chunk, own in parts.items()
+        }
+
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.splitter.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers."""
+        parts = [chunks(text) for text in texts]
+        known = self.by_chunk.of({""}.union(*parts), self._chunks)
+        return [b"".join(map(known.__getitem__, own)) for own in parts]
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
@@ -104,7 +98,8 @@ def train_dictionary(docs: DataFrame, spec, width: int, key: str, text: str) ->
     def serialised(batches):
         encoder = LibraryEncoder.of(spec.value)
         for batch in batches:
-            out = [_narrow(encoder.encode(t), width)[:SAMPLE_BYTES] for t in batch.column(0).to_pylist()]
+            encoded = (ids for group in groups(batch.column(0)) for ids in encoder.encode(group))
+            out = [_narrow(ids, width)[:SAMPLE_BYTES] for ids in encoded]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
     # Repeated keys could put more rows than planned into the sample.
@@ -198,10 +193,10 @@ def write_tokens(
         )
         for batch in batches:
             counts, frames = [], []
-            for text in batch.column("text").to_pylist():
-                ids = encoder.encode(text) + end
-                counts.append(len(ids) // 4)
-                frames.append(packer.compress(_narrow(ids, width)))
+            for group in groups(batch.column("text")):
+                for ids in encoder.encode(group):
+                    counts.append(len(ids) // 4 + 1)
+                    frames.append(packer.compress(_narrow(ids + end, width)))
             columns = [batch.column("_range"), batch.column("key"), pa.array(counts, pa.int64()),
                        pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["_range", "key", "n_ids", "frame"])
