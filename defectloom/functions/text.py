@@ -52,41 +52,75 @@ def parse_kv(text) -> Column:
             trim_both(strip(F.substr(line, F.instr(line, "=") + 1)), '"').alias("value"),
         ),
     )
+
     def last_per_key(found):
-        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
-        return F.map_from_arrays(
-            keys,
-            F.transform(
-                keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["value"]
+        # Sorted by key and place, so the last of a key stands before another key.
+        placed = F.array_sort(
+            F.transform(found, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+        )
+        return bind(
+            placed,
+            lambda all_: F.map_from_entries(
+                F.transform(
+                    F.filter(
+                        all_, lambda e, i: ~F.coalesce(F.get(all_, i + 1)["key"] == e["key"], F.lit(False))
+                    ),
+                    lambda e: F.struct(e["key"], e["value"]),
+                )
             ),
         )
 
     return bind(entries, last_per_key)
 
 
-def patch_code(patch, keep: str = "+- ") -> Column:
-    """Code lines of the last hunk of a unified diff, null when there is none.
+def patch_code(patch, keep: str = "+- ", hunks: str = "all") -> Column:
+    """Code lines of a unified diff, null when there are none.
 
     ``keep`` names the line marks that stay: all three for the merged text, ``"- "`` for the
-    side before the change, ``"+ "`` for the side after it.
+    side before the change, ``"+ "`` for the side after it. ``hunks`` is ``"all"``, or ``"last"``
+    for those below the last header alone.
     """
+    if hunks not in ("all", "last"):
+        raise ValueError(f"unknown hunks: {hunks}")
     marks = [F.lit(mark) for mark in keep]
+    ends = F.array_max if hunks == "last" else _first_positive
 
-    def last_hunk(lines):
+    def below(lines):
         header_ends = F.transform(
             lines, lambda line, i: F.when(F.rlike(line, F.lit(HUNK_HEADER)), i + 1).otherwise(0)
         )
-        return F.slice(lines, F.array_max(header_ends) + 1, F.size(lines))
+        return F.slice(lines, ends(header_ends) + 1, F.size(lines))
 
-    code = F.transform(
-        F.filter(
-            bind(lines_of(patch), last_hunk), lambda line: F.left(line, F.lit(1)).isin(*marks)
-        ),
-        lambda line: F.substr(line, F.lit(2)),
-    )
+    def kept(lines):
+        # A header's own line starts with none of the marks.
+        def stays(line, i):
+            marked = F.left(line, F.lit(1)).isin(*marks)
+            return marked if hunks == "last" else marked & ~_file_header(lines, i)
+
+        return F.transform(F.filter(lines, stays), lambda line: F.substr(line, F.lit(2)))
+
+    code = bind(bind(lines_of(patch), below), kept)
     return F.nullif(F.array_join(code, "\n"), F.lit(""))
 
 
+def _file_header(lines, i) -> Column:
+    """Whether line ``i`` is the ``---`` or ``+++`` line above the first hunk of a further file."""
+
+    def at(k, start):
+        return F.startswith(F.get(lines, k), F.lit(start))
+
+    def hunk(k):
+        return F.rlike(F.get(lines, k), F.lit(HUNK_HEADER))
+
+    old = at(i, "--- ") & at(i + 1, "+++ ") & hunk(i + 2)
+    new = at(i, "+++ ") & at(i - 1, "--- ") & hunk(i + 1)
+    return F.coalesce(old, F.lit(False)) | F.coalesce(new, F.lit(False))
+
+
+def _first_positive(numbers) -> Column:
+    return F.coalesce(F.array_min(F.filter(numbers, lambda n: n > 0)), F.lit(0))
+
+
 def function_window(code, line_no, context: int = 15) -> Column:
     """Lines from the block start at or above ``line_no`` (0-based) up to the next one.
 

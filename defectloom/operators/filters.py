@@ -1,6 +1,6 @@
 """Row rules: labels, request limits, batch limits, program lists."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.functions.text import is_blank
 
@@ -30,38 +30,39 @@ def buggy_only(df: DataFrame) -> DataFrame:
     return df.where("is_buggy = 1")
 
 
-def request_verdict(code) -> Column:
+def request_verdict(code, max_chars: int = MAX_REQUEST_CHARS) -> Column:
     """Why a request is turned away, null when it is accepted."""
     code = F.col(code) if isinstance(code, str) else code
     return (
         F.when(code.isNull() | (F.length(code) < 1), "empty")
-        .when(F.length(code) > MAX_REQUEST_CHARS, "too long")
+        .when(F.length(code) > max_chars, "too long")
         .when(is_blank(code), "blank")
     )
 
 
-def batch_sizes(df: DataFrame, batch: str) -> DataFrame:
+def batch_sizes(df: DataFrame, batch: str, max_batch: int = MAX_BATCH) -> DataFrame:
     """Size of each batch and whether it is allowed."""
     return (
         df.groupBy(batch)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("accepted", F.col("n").between(1, MAX_BATCH))
+        .withColumn("accepted", F.col("n").between(1, max_batch))
     )
 
 
-def accepted_batches(df: DataFrame, batch: str, order: str) -> DataFrame:
-    """Rows of the batches within the limit; ``order`` is unique in a batch.
+def batch_verdicts(df: DataFrame, batch: str, max_batch: int = MAX_BATCH) -> DataFrame:
+    """All rows, with the reason why their batch is turned away or null.
 
-    Spark applies a rank limit before the shuffle, so an oversized batch sends 101 rows per
-    map task, just enough to be seen as oversized, and an allowed one all of its rows.
+    Batches are counted on the map side first, and only the oversized ones are joined back; a
+    missing batch name is a batch.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(batch).orderBy(order)))
-    return (
-        ranked.where(F.col("_rank") <= MAX_BATCH + 1)
-        .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(batch)))
-        .where(F.col("_n") <= MAX_BATCH)
-        .drop("_rank", "_n")
-    )
+    large = batch_sizes(df, batch, max_batch).where(~F.col("accepted"))
+    large = large.select(F.col(batch).alias("_batch"), F.lit("batch too large").alias("reason"))
+    return df.join(large, F.col(batch).eqNullSafe(F.col("_batch")), "left").drop("_batch")
+
+
+def accepted_batches(df: DataFrame, batch: str, max_batch: int = MAX_BATCH) -> DataFrame:
+    """Rows of the batches within the limit; ``batch_verdicts`` has the others with a reason."""
+    return batch_verdicts(df, batch, max_batch).where("reason IS NULL").drop("reason")
 
 
 def is_graph_program(program) -> Column:

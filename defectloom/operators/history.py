@@ -1,54 +1,90 @@
-"""Choices made from the metric history of training runs: (run_id, step, f1)."""
+"""Choices made from the metric history of training runs: (run_id, step, f1).
+
+A score that is not a number never wins and counts as no gain, like a missing one. Rows without
+a step have no place in a run and are left out. A missing run_id is a run of its own.
+"""
 
 from pyspark.sql import DataFrame, functions as F
 
 from defectloom.operators.positions import with_position
+from defectloom.workspace import work_dir
+
+BLOCK = 4096
+
+
+def _scores(history: DataFrame) -> DataFrame:
+    known = F.when(~F.isnan("f1"), F.col("f1"))
+    return history.where("step IS NOT NULL").select(
+        "run_id", F.col("step").cast("long").alias("step"), known.cast("double").alias("f1")
+    )
 
 
 def best_step(history: DataFrame) -> DataFrame:
-    """Step with the highest F1 of each run, the earliest on ties."""
-    best = F.max(F.struct("f1", (-F.col("step")).alias("neg_step")))
-    return history.groupBy("run_id").agg(best.alias("b")).select(
+    """Step with the highest F1 of each run, the earliest on ties; null for a run without scores."""
+    scored = F.when(F.col("f1").isNotNull(), F.struct("f1", (-F.col("step")).alias("neg_step")))
+    return _scores(history).groupBy("run_id").agg(F.max(scored).alias("b")).select(
         "run_id", (-F.col("b.neg_step")).alias("step"), F.col("b.f1").alias("f1")
     )
 
 
-def early_stop(history: DataFrame, patience: int = 3, threshold: float = 0.001) -> DataFrame:
+def early_stop(
+    history: DataFrame, patience: int = 3, threshold: float = 0.001, block: int = BLOCK
+) -> DataFrame:
     """Where each run stops: the first step with ``patience`` steps in a row that do not beat
     the best F1 by more than ``threshold``; null when the run goes to its end.
 
-    Every gain raises the best F1 by more than the threshold, so a run can gain at most
-    (max - min) / threshold times and must stop within ``patience`` steps of each gain. Only
-    that many leading steps decide; they are cut out by position before a run is folded, so
-    the list of a run stays small however long the run is.
+    Runs are folded in blocks of bounded length that carry the state on: a block is one list per
+    run, and only runs that have not stopped are read on. A score between 0 and 1 can gain a
+    thousand times at most, so nearly every run ends in its first block; any other goes on to its
+    last step.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    runs = history.groupBy("run_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high"))
-    gains = F.floor((F.col("high") - F.col("low")) / threshold) + 2
-    # One bound for all runs keeps the table of runs out of the join with the history.
-    bound = runs.agg(F.max(gains * patience + 1)).scalar()
-    leading = with_position(history.select("run_id", "step", "f1"), ["step"], ["run_id"]).where(
-        F.col("pos") < bound
-    )
-    steps = F.sort_array(F.collect_list(F.struct("step", "f1")))
+    spark = history.sparkSession
+    base = work_dir(spark)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    rows = kept(_scores(history), "scores")
+    placed = with_position(rows, ["step"], ["run_id"])
+    placed = kept(placed.withColumn("block", F.floor(F.col("pos") / block)), "placed")
     start = F.struct(
         F.lit(None).cast("double").alias("best"),
         F.lit(0).alias("wait"),
         F.lit(None).cast("long").alias("stopped"),
     )
+    # Runs that go on, with how far they got.
+    going = kept(placed.groupBy("run_id").agg(F.max("block").alias("last")), "runs")
+    going = going.withColumn("s", start)
 
     def advance(state, row):
-        better = state["best"].isNull() | (row["f1"] > state["best"] + threshold)
+        better = row["f1"].isNotNull() & (
+            state["best"].isNull() | (row["f1"] > state["best"] + threshold)
+        )
         wait = F.when(better, 0).otherwise(state["wait"] + 1)
         moved = F.struct(
             F.when(better, row["f1"]).otherwise(state["best"]).alias("best"),
             wait.alias("wait"),
-            F.when(wait >= patience, row["step"].cast("long")).alias("stopped"),
+            F.when(wait >= patience, row["step"]).alias("stopped"),
         )
         return F.when(state["stopped"].isNotNull(), state).otherwise(moved)
 
-    folded = leading.groupBy("run_id").agg(F.aggregate(steps, start, advance).alias("s"))
-    return folded.select(
+    ended, at = None, 0
+    while True:
+        some = placed.where(F.col("block") == at).groupBy(F.col("run_id").alias("_run"))
+        some = some.agg(F.sort_array(F.collect_list(F.struct("step", "f1"))).alias("rows"))
+        folded = going.join(some, F.col("run_id").eqNullSafe(F.col("_run"))).select(
+            "run_id", "last", F.aggregate("rows", F.col("s"), advance).alias("s")
+        )
+        folded = kept(folded, f"block{at}")
+        over = (F.col("last") == at) | F.col("s.stopped").isNotNull()
+        done, going = folded.where(over), folded.where(~over)
+        ended = done if ended is None else ended.unionByName(done)
+        at += 1
+        if not going.take(1):
+            break
+    return ended.select(
         "run_id", F.col("s.stopped").alias("stop_step"), F.col("s.best").alias("best_f1")
     )

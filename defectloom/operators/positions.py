@@ -3,7 +3,8 @@
 A window without a partition key sorts the whole table in one task. Here the key range is
 cut into buckets first: the cut points come from a small hashed sample of the keys, every
 bucket is numbered on its own, and the sizes of the buckets before it give its offset. The
-sample only decides where the cuts are; each row is numbered.
+sample only decides where the cuts are; each row is numbered. The number of buckets follows
+the number of rows.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -11,18 +12,21 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from defectloom.functions.lookup import count_at_most
 
 PER_BUCKET = 16
+MIN_BUCKETS, MAX_BUCKETS = 16, 8192
+ROWS_PER_BUCKET = 200_000
 HASH_SPAN = 1 << 62
+# The sample is binomial around 16 keys per bucket, so four times the number of buckets is far
+# outside what it can give.
+LIMIT = 4 * MAX_BUCKETS
 
 
-def default_buckets(df: DataFrame) -> int:
-    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _cut_points(keys: DataFrame, names: list[str], buckets: int):
-    """About ``buckets`` evenly spread keys, in order, as a one-value subquery."""
+def _cut_points(keys: DataFrame, names: list[str], buckets: int | None):
+    """Evenly spread keys, in order, as a one-value subquery."""
     rows = keys.agg(F.count(F.lit(1))).scalar()
+    followed = F.least(F.lit(MAX_BUCKETS), F.ceil(rows / ROWS_PER_BUCKET))
+    wanted = F.greatest(F.lit(MIN_BUCKETS), followed) if buckets is None else F.lit(buckets)
     place = F.xxhash64(*names).bitwiseAND(HASH_SPAN - 1) / F.lit(float(HASH_SPAN))
-    sample = keys.where(place * rows < buckets * PER_BUCKET)
+    sample = keys.where(place * rows < wanted * PER_BUCKET)
     every = f"filter(sort_array(collect_list(struct(*))), (k, i) -> i % {PER_BUCKET} = {PER_BUCKET - 1})"
     return sample.agg(F.expr(every)).scalar()
 
@@ -36,31 +40,35 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based place of each row in ``order``, counted anew in every ``within`` group.
 
-    ``within`` and ``order`` together must identify a row and must not be null. ``df`` is
-    read several times, mostly its keys alone: write it out first if it is costly to make.
+    ``within`` and ``order`` together identify a row. ``df`` is read several times, mostly its
+    keys alone: write it out first if it is costly to make.
     """
     within = within or []
     names = [*within, *order]
-    buckets = buckets or default_buckets(df)
     keys = df.select(*names)
     cuts = _cut_points(keys, names, buckets)
-    # The sample is binomial around 16 keys per bucket, so four times the number of buckets
-    # is far outside what it can give.
-    limit = 4 * buckets
     key = f"struct({', '.join(f'`{n}`' for n in names)})"
 
     def bucketed(table: DataFrame) -> DataFrame:
-        found = count_at_most("_cuts", key, limit)
+        found = count_at_most("_cuts", key, LIMIT)
         return table.withColumn("_cuts", cuts).select(*table.columns, found.alias("_bucket"))
 
     group = [*within, "_bucket"]
     sizes = bucketed(keys).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select(
+        *[F.col(n).alias(f"_of_{n}") for n in within],
+        F.col("_bucket").alias("_of_bucket"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+    )
     local = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     numbered = bucketed(df).withColumn("_local", local - 1)
+    same = F.col("_bucket") == F.col("_of_bucket")
+    for n in within:
+        # A missing group is a group.
+        same = same & F.col(n).eqNullSafe(F.col(f"_of_{n}"))
     if not within:
-        # One row per bucket: bounded by ``limit`` whatever the size of the table.
+        # One row per bucket: bounded by ``LIMIT`` whatever the size of the table.
         offsets = F.broadcast(offsets)
     place = (F.col("_offset") + F.col("_local")).cast("long").alias(into)
-    return numbered.join(offsets, group).select(*df.columns, place)
+    return numbered.join(offsets, same).select(*df.columns, place)

@@ -54,9 +54,23 @@ def length_profile(df: DataFrame) -> DataFrame:
 
 
 def wide_statistics(df: DataFrame) -> DataFrame:
-    """Statistics and length profile per split in one row; both sides hold a row per split."""
-    lengths = length_profile(df).select("split", "median_length", "min_length", "max_length")
-    return split_statistics(df).join(lengths, "split")
+    """Statistics and length profile per split in one row, from one histogram of the table."""
+    n = F.col("n")
+    histogram = df.groupBy("split", "project", "is_buggy", F.length("code").alias("length")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    buggy = F.sum(F.when(F.col("is_buggy") == 1, n).otherwise(0))
+    return histogram.groupBy("split").agg(
+        F.sum(n).alias("samples"),
+        buggy.alias("buggy"),
+        F.sum(F.when(F.col("is_buggy") == 0, n).otherwise(0)).alias("clean"),
+        F.countDistinct("project").alias("projects"),
+        (F.sum(F.col("length") * n) / F.sum(n)).alias("avg_length"),
+        safe_ratio(buggy, F.sum(n)).alias("buggy_ratio"),
+        F.percentile("length", 0.5, n).alias("median_length"),
+        F.min("length").alias("min_length"),
+        F.max("length").alias("max_length"),
+    )
 
 
 def length_bands(stats: DataFrame) -> DataFrame:
@@ -78,8 +92,13 @@ def overall_totals(stats: DataFrame) -> DataFrame:
 
 def extraction_summary(df: DataFrame) -> DataFrame:
     samples, buggy, clean = _label_counts()
+    defect_file = F.when(F.col("is_buggy") == 1, F.col("path"))
     return df.agg(
-        samples, buggy, clean, F.countDistinct("project").alias("projects")
+        samples,
+        buggy,
+        clean,
+        F.countDistinct("project").alias("projects"),
+        F.countDistinct(defect_file).alias("defect_files"),
     ).withColumn("pairs", F.expr("samples div 2"))
 
 

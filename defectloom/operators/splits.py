@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.functions.draws import shuffle_key
 from defectloom.operators.positions import with_position
+from defectloom.workspace import work_dir
 
 
 def check_ratios(train: float, val: float, test: float) -> None:
@@ -32,7 +33,11 @@ def _last_keys(keys: DataFrame, train: float, val: float) -> Column:
 
 
 def _range_split(members: DataFrame, order: list[Column], train: float, val: float) -> Column:
-    last = _last_keys(members.select(*order).distinct(), train, val)
+    # The projects are found once and written: numbering reads them several times.
+    found = members.select(*order).distinct()
+    path = f"{work_dir(found.sparkSession)}/projects"
+    found.write.parquet(path)
+    last = _last_keys(found.sparkSession.read.schema(found.schema).parquet(path), train, val)
     key = F.struct(*order)
     return F.when(key <= last["train"], "train").when(key <= last["val"], "val").otherwise("test")
 

@@ -1,20 +1,24 @@
-"""Code tokens, a vocabulary of bounded size, id sequences and padded batches.
+"""Code tokens, a vocabulary, id windows that hold every token, and padded batches.
 
-Frequent tokens are no hot keys here: counts are summed on the map side, and encoding joins
-with the vocabulary as a broadcast, which holds ``vocab_size`` entries at most.
+Counts are summed on the map side. Encoding looks the most frequent tokens up in a broadcast head
+of the vocabulary, whose size is fixed, and joins only the rare rest with the whole vocabulary, so
+frequent tokens are no hot keys. A text is encoded into windows of bounded length; none of its
+tokens is left out.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from defectloom.operators.positions import with_position
+from defectloom.workspace import work_dir
 
 # Token pattern, marker ids and limits.
 TOKEN = r"[A-Za-z_]\w*|\d+|[^\w\t-\r ]"
 PAD, UNK, BOS, EOS = 0, 1, 2, 3
 FIRST_ID = 4
 MAX_LENGTH = 512
-VOCAB_SIZE = 50_000
 SAMPLE_TEXTS = 5
+# Tokens of the broadcast head, and how long such a token may be.
+HEAD, HEAD_CHARS = 65_536, 64
 
 
 def tokenise(code) -> Column:
@@ -29,15 +33,20 @@ def token_counts(df: DataFrame, code: str = "code") -> DataFrame:
     )
 
 
-def vocabulary(df: DataFrame, code: str = "code", vocab_size: int = VOCAB_SIZE) -> DataFrame:
-    """The most frequent tokens with their ids, by count and then by token.
+def vocabulary(df: DataFrame, code: str = "code", vocab_size: int | None = None) -> DataFrame:
+    """All tokens with their ids, by falling count and then by token.
 
-    Tokens beyond ``vocab_size`` are encoded as unknown, as with any fixed vocabulary.
+    With ``vocab_size`` only that many tokens have an id, and the others are encoded as unknown.
     """
-    # The window sees ``vocab_size`` rows at most.
-    top = token_counts(df, code).orderBy(F.desc("n"), "token").limit(vocab_size)
-    rank = F.row_number().over(W.orderBy(F.desc("n"), "token"))
-    return top.select("token", "n", (rank + FIRST_ID - 1).alias("token_id"))
+    counts = token_counts(df, code).withColumn("_rare", -F.col("n"))
+    # Counted once, numbered from the written table.
+    path = f"{work_dir(df.sparkSession)}/token_counts"
+    counts.write.parquet(path)
+    written = df.sparkSession.read.schema(counts.schema).parquet(path)
+    placed = with_position(written, ["_rare", "token"], into="_place")
+    if vocab_size is not None:
+        placed = placed.where(F.col("_place") < vocab_size)
+    return placed.select("token", "n", (F.col("_place") + FIRST_ID).cast("int").alias("token_id"))
 
 
 def vocab_total(df: DataFrame, code: str = "code") -> DataFrame:
@@ -72,40 +81,50 @@ def sample_token_report(
 def encode(
     df: DataFrame, vocab: DataFrame, code: str = "code", max_length: int = MAX_LENGTH
 ) -> DataFrame:
-    """``input_ids`` with begin and end marker, cut to ``max_length``, and the mask.
+    """Windows of a text's ids, numbered by ``window``, each with begin and end marker and mask.
 
-    Texts are cut before they are taken apart, so a text gives ``max_length`` tokens at most.
-    The list of a text is put together on the map side; one row per text is shuffled. The
-    columns other than ``code`` stay and must identify a row.
+    A window holds ``max_length`` ids at most, so its list is bounded however long the text is; a
+    text without tokens has one window. The columns other than ``code`` stay and must identify a
+    row.
     """
     keep = [name for name in df.columns if name != code]
-    kept = F.slice(tokenise(code), 1, max_length - 2)
-    # The vocabulary is cut to a fixed size when it is built.
-    ids = F.broadcast(vocab.select("token", "token_id"))
-    found = df.select(*keep, F.posexplode_outer(kept).alias("at", "token")).join(
-        ids, "token", "left"
-    )
+    room = max_length - 2
+    toks = tokenise(F.coalesce(F.col(code), F.lit("")))
+    found = df.select(*keep, F.posexplode_outer(toks).alias("at", "token"))
+    frequent = (F.col("token_id") < FIRST_ID + HEAD) & (F.length("token") <= HEAD_CHARS)
+    head = vocab.where(frequent).select("token", "token_id")
+    known = found.join(F.broadcast(head), "token", "left")
+    is_rare = F.col("token_id").isNull() & F.col("token").isNotNull()
+    rare = known.where(is_rare).drop("token_id")
+    tail = vocab.where(~frequent).select("token", "token_id")
+    every = known.where(~is_rare).unionByName(rare.join(tail, "token", "left"))
     # Place and id in one number, so that the list sorts as plain numbers; null without tokens.
     entry = F.shiftleft(F.col("at").cast("long"), 32) + F.coalesce("token_id", F.lit(UNK))
-    listed = found.groupBy(*keep).agg(F.sort_array(F.collect_list(entry)).alias("listed"))
+    window = F.coalesce(F.expr(f"at div {room}"), F.lit(0)).cast("int").alias("window")
+    listed = every.groupBy(*keep, window).agg(F.sort_array(F.collect_list(entry)).alias("listed"))
     ids = F.transform("listed", lambda e: e.bitwiseAND(0xFFFFFFFF).cast("int"))
     return listed.select(
         *keep,
+        "window",
         F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))).alias("input_ids"),
         F.array_repeat(F.lit(1), F.size("listed") + 2).alias("attention_mask"),
     )
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids") -> DataFrame:
-    """Text of the ids, markers and unknown tokens left out, joined by blanks."""
-    by_id = F.sort_array(F.collect_list(F.struct("token_id", "token")))
-    tokens = vocab.agg(by_id.alias("e")).select("e.token").scalar()
-    words = F.transform(
-        F.filter(ids, lambda i: i >= FIRST_ID), lambda i: F.get(F.col("_tokens"), i - FIRST_ID)
-    )
-    return df.withColumn("_tokens", tokens).withColumn(
-        "text", F.array_join(words, " ")
-    ).drop("_tokens")
+    """Text of each row's windows in order, markers and unknown tokens left out, joined by blanks.
+
+    ``df`` has a ``window`` column; those other than it, ``ids`` and the mask identify a text.
+    """
+    keep = [name for name in df.columns if name not in (ids, "window", "attention_mask")]
+    own = df.select(*keep, "window", F.posexplode(ids).alias("at", "token_id"))
+    words = own.where(F.col("token_id") >= FIRST_ID).join(vocab.select("token_id", "token"), "token_id")
+    # Every text has its begin markers, so none without words is lost.
+    marks = own.where(F.col("token_id") == BOS).withColumn("token", F.lit(None).cast("string"))
+    every = words.unionByName(marks)
+    placed = F.when(F.col("token").isNotNull(), F.struct("window", "at", "token"))
+    listed = every.groupBy(*keep).agg(F.sort_array(F.collect_list(placed)).alias("words"))
+    return listed.select(*keep, F.array_join("words.token", " ").alias("text"))
 
 
 def batches(df: DataFrame, batch_size: int, order: list[str] = ("id",)) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.functions.draws import pick, shuffle_key
 from defectloom.operators.filters import clean_only
-from defectloom.operators.mutate_ast import PATTERNS, mutate_ast
+from defectloom.operators.mutations import PATTERNS, mutate
 from defectloom.operators.positions import with_position
 
 # The text replacements, in the order the draw numbers them.
@@ -54,13 +54,6 @@ def variant_rows(samples: DataFrame, n: int = 3) -> DataFrame:
     return fan_out(clean_only(samples), n)
 
 
-def spread(samples: DataFrame) -> DataFrame:
-    """Rows dealt out evenly: taking a tree apart costs far more than moving its text."""
-    spark = samples.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return samples.repartition(max(parts, spark.sparkContext.defaultParallelism), "id")
-
-
 def label_variants(variants: DataFrame) -> DataFrame:
     """New ids, pair ids, source and label for mutated rows."""
     return variants.withColumns(
@@ -73,23 +66,21 @@ def label_variants(variants: DataFrame) -> DataFrame:
     ).drop("variant")
 
 
+def mutated_code(code: Column, seed: int = 42, mutator: str = "patterns") -> Column:
+    """``patterns`` follows the row's plan and falls back to text where nothing of it applies;
+    ``text`` takes the fallback for every row."""
+    if mutator not in ("patterns", "text"):
+        raise ValueError(f"unknown mutator: {mutator}")
+    fallback = text_mutation(code, seed)
+    return fallback if mutator == "text" else F.coalesce(mutate(code, mutation_plan(seed), seed), fallback)
+
+
 def generate_variants(
-    samples: DataFrame, n: int = 3, seed: int = 42, mutator: str = "ast"
+    samples: DataFrame, n: int = 3, seed: int = 42, mutator: str = "patterns"
 ) -> DataFrame:
-    """Synthetic defects of all clean rows.
-
-    ``ast`` mutates the syntax tree and falls back to text where the code does not parse;
-    ``text`` takes the fallback for every row.
-    """
-    if mutator == "ast":
-        samples = spread(samples)
+    """Synthetic defects of all clean rows."""
     rows = variant_rows(samples, n)
-    code = text_mutation(F.col("code"), seed)
-    if mutator == "ast":
-        key = F.concat_ws("|", "id", "variant", F.lit(seed))
-        rows = rows.withColumn("_tree_code", mutate_ast("code", mutation_plan(seed), key))
-        code = F.coalesce("_tree_code", code)
-    return label_variants(rows.withColumn("code", code).drop("_tree_code"))
+    return label_variants(rows.withColumn("code", mutated_code(F.col("code"), seed, mutator)))
 
 
 def merge(train: DataFrame, synthetic: DataFrame) -> DataFrame:

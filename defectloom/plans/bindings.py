@@ -1,9 +1,11 @@
 """The given tables seen as the data model: samples, pairs, patches, commits and so on.
 
-Each binding covers its whole table.
+Each binding covers its whole table, but for ``defects`` and ``fixes``: of a conversation, user
+turns stand for defects and assistant turns for fixes, and system turns are neither.
 """
 
 import posixpath
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -87,11 +89,16 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two embedding values as class logits."""
+    """The sums over both halves of an embedding as class logits."""
+
+    def half(first: str, n: str) -> Column:
+        part = F.expr(f"slice(embedding, {first}, {n})")
+        return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    n = "size(embedding) div 2"
+    both = F.array(half("1", n), half(f"{n} + 1", f"size(embedding) - {n}"))
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"),
-        F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("logits"),
-        (F.col("label") % 2).alias("is_buggy"),
+        F.col("vec_id").alias("id"), both.alias("logits"), (F.col("label") % 2).alias("is_buggy")
     )
 
 
@@ -119,23 +126,22 @@ def _bug(event_id: str = "event_id") -> tuple[Column, Column]:
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as commits: three event types stand for the three files of a bug."""
+    """Events as commits: each event type stands for one file, three of them files of a bug that
+    tell its owner and two that don't."""
     project, bug = _bug()
     file = (
         F.when(F.col("event_type") == "view", "requirements.txt")
         .when(F.col("event_type") == "click", "run_test.sh")
         .when(F.col("event_type") == "error", "bug.info")
+        .when(F.col("event_type") == "signup", "README.md")
+        .otherwise("setup.cfg")
     )
-    return (
-        table(spark, sf_dir, "events")
-        .select(
-            project.alias("project"),
-            bug.alias("bug"),
-            file.alias("file"),
-            F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("author"),
-            "ts",
-        )
-        .where("file IS NOT NULL")
+    return table(spark, sf_dir, "events").select(
+        project.alias("project"),
+        bug.alias("bug"),
+        file.alias("file"),
+        F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("author"),
+        "ts",
     )
 
 
@@ -241,20 +247,28 @@ def python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """Write ``path, content`` rows as files below ``root``, from the tasks."""
+    """Write ``path, content`` rows as files below ``root``, from the tasks.
+
+    A path without a scheme is taken from the file system Spark itself would use for it.
+    """
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Arrow knows the object store by one name only.
+    where = re.sub("^s3[an]://", "s3://", system.makeQualified(path).toString())
 
     def write(rows):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        store, base = fs.FileSystem.from_uri(where)
         made = set()
         for row in rows:
             target = f"{base}/{row['path']}"
             folder = posixpath.dirname(target)
             if folder not in made:
-                system.create_dir(folder, recursive=True)
+                store.create_dir(folder, recursive=True)
                 made.add(folder)
-            with system.open_output_stream(target) as out:
+            with store.open_output_stream(target) as out:
                 out.write(row["content"].encode())
 
     files.foreachPartition(write)

@@ -1,11 +1,31 @@
 """The registered queries as ANSI SQL over the same tables, for a second engine to check."""
 
-from defectloom.functions.text import BLOCK_START, CLASS_NAME, DEF_NAME, HUNK_HEADER, PY_SPACE
-from defectloom.operators.augment import COMMENTS
-from defectloom.operators.filters import GRAPH_PROGRAMS
-from defectloom.operators.tokens import TOKEN
-from defectloom.operators.variants import REPLACEMENTS
-from defectloom.sources.examples import EXAMPLES
+# Patterns and values are written out here once more and not shared with the operators, so that a
+# wrong one shows.
+PY_SPACE = (
+    r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+HUNK_HEADER = r"^@@[^ ]* -?[+-]?[0-9]+(_[0-9]+)*(,[^ ]*)? "
+BLOCK_START = rf"^[{PY_SPACE}]*(def |class )[{PY_SPACE}]*[^{PY_SPACE}]"
+DEF_NAME = rf"def[{PY_SPACE}]+([a-zA-Z_][a-zA-Z0-9_]*)[{PY_SPACE}]*[(]"
+CLASS_NAME = rf"class[{PY_SPACE}]+([a-zA-Z_][a-zA-Z0-9_]*)"
+TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_\t-\r ]"
+COMMENTS = [
+    '# TODO: review this code',
+    '# FIXME: potential issue here',
+    '# NOTE: important implementation',
+    '# BUG: needs investigation',
+]
+GRAPH_PROGRAMS = [
+    "breadth_first_search", "depth_first_search", "detect_cycle", "minimum_spanning_tree",
+    "reverse_linked_list", "shortest_path_length", "shortest_path_lengths", "shortest_paths",
+    "topological_ordering",
+]
+REPLACEMENTS = [
+    ("+", "-"), ("-", "+"), ("==", "!="), ("!=", "=="), ("<", ">"), (">", "<"), ("True", "False"),
+    ("False", "True"), ("return", "# return"), ("if ", "# if "),
+]
+SWAPS = [("+", "-"), ("-", "+"), ("*", "/"), ("/", "*"), ("==", "!="), ("!=", "=="), ("<=", ">="), (">=", "<="), ("<", ">"), (">", "<")]
 
 SEED = 42
 SPAN = 1 << 32
@@ -108,7 +128,8 @@ USABLE = (
 )
 
 LOGITS = """logits AS (
-  SELECT vec_id AS id, embedding[1]::DOUBLE AS z0, embedding[2]::DOUBLE AS z1, label % 2 AS is_buggy
+  SELECT vec_id AS id, list_sum(list_transform(embedding[1:len(embedding) // 2], lambda x: x::DOUBLE)) AS z0,
+         list_sum(list_transform(embedding[len(embedding) // 2 + 1:], lambda x: x::DOUBLE)) AS z1, label % 2 AS is_buggy
   FROM embeddings)"""
 
 
@@ -160,9 +181,9 @@ HISTORY = """history AS (
 COMMITS = """commits AS (
   SELECT 'p' || (event_id // 5 % 7) AS project, CAST(event_id // 5 AS VARCHAR) AS bug,
          CASE event_type WHEN 'view' THEN 'requirements.txt' WHEN 'click' THEN 'run_test.sh'
-              ELSE 'bug.info' END AS file,
+              WHEN 'error' THEN 'bug.info' WHEN 'signup' THEN 'README.md' ELSE 'setup.cfg' END AS file,
          'u' || (user_id % 20) AS author, ts
-  FROM events WHERE event_type IN ('view', 'click', 'error'))"""
+  FROM events)"""
 
 TOPS = f"""{COMMITS}, per_author AS (
   SELECT project, bug, file, author, count(*) AS n, count(*) FILTER (ts >= {WEEK}) AS n_week
@@ -186,7 +207,7 @@ def first_owner(name: str, files: list[str]) -> str:
     return f"""{name} AS (
   SELECT project, bug, author AS owner, week_author AS week_owner
   FROM (SELECT *, row_number() OVER (PARTITION BY project, bug ORDER BY CASE file {rank} END) AS k
-        FROM tops) t WHERE k = 1)"""
+        FROM tops WHERE file NOT IN ('README.md', 'setup.cfg')) t WHERE k = 1)"""
 
 
 BOARD = (
@@ -217,15 +238,16 @@ PATCHES = """patches AS (
 patch_lines AS (
   SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ix
   FROM (SELECT id, string_split(patch, chr(10)) AS ls FROM patches) p),
-""" + f"""last_header AS (
-  SELECT id, max(CASE WHEN regexp_matches(line, '{HUNK_HEADER}') THEN ix ELSE 0 END) AS ix
+""" + f"""headers AS (
+  SELECT id, coalesce(max(ix) FILTER (regexp_matches(line, '{HUNK_HEADER}')), 0) AS last,
+         coalesce(min(ix) FILTER (regexp_matches(line, '{HUNK_HEADER}')), 0) AS first
   FROM patch_lines GROUP BY id)"""
 
 
-def patch_code(marks: str) -> str:
+def patch_code(marks: str, header: str = "first") -> str:
     chosen = ", ".join(f"'{m}'" for m in marks)
     return f"""nullif(coalesce(string_agg(substr(line, 2), chr(10) ORDER BY p.ix)
-      FILTER (p.ix > h.ix AND left(line, 1) IN ({chosen})), ''), '')"""
+      FILTER (p.ix > h.{header} AND left(line, 1) IN ({chosen})), ''), '')"""
 
 
 def mutated(code: str) -> str:
@@ -271,28 +293,132 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all({x}, '{TOKEN}')"
 
 
-def vocabulary(relation: str, size: int) -> str:
+def vocabulary(relation: str, size: int | None = None) -> str:
+    limit = "" if size is None else f"\n  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {size}"
     return f"""vocab AS (
   SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id
   FROM (SELECT token, count(*) AS n FROM (SELECT unnest({tokens('code')}) AS token FROM {relation})
-        GROUP BY token) t
-  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {size})"""
+        GROUP BY token) t{limit})"""
 
 
 def encoded(relation: str, extra: str = "") -> str:
-    """CTE ``encoded``: ids and mask of each row of ``relation``."""
-    return f"""cut AS (
-  SELECT id{extra}, {tokens('code')}[1:510] AS toks FROM {relation}),
-places AS (SELECT id, unnest(toks) AS token, generate_subscripts(toks, 1) AS ix FROM cut),
+    """CTE ``encoded``: ids and mask of each window of 510 tokens of each row of ``relation``."""
+    return f"""cut AS (SELECT id{extra}, {tokens('code')} AS toks FROM {relation}),
+windows AS (
+  SELECT id{extra}, CAST(w AS INTEGER) AS "window" FROM (
+    SELECT id{extra}, unnest(range(greatest(1, (len(toks) + 509) // 510))) AS w FROM cut) c),
+places AS (SELECT id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS ix FROM cut),
 listed AS (
-  SELECT p.id, list(coalesce(v.token_id, 1) ORDER BY p.ix) AS ids
-  FROM places p LEFT JOIN vocab v USING (token) GROUP BY p.id),
+  SELECT p.id, CAST(p.ix // 510 AS INTEGER) AS "window", list(coalesce(v.token_id, 1) ORDER BY p.ix) AS ids
+  FROM places p LEFT JOIN vocab v USING (token) GROUP BY p.id, p.ix // 510),
 encoded AS (
-  SELECT c.id{extra}, CAST([2] || coalesce(l.ids, []) || [3] AS INTEGER[]) AS input_ids,
+  SELECT c.id{extra}, "window", CAST([2] || coalesce(l.ids, []) || [3] AS INTEGER[]) AS input_ids,
          CAST(list_transform([2] || coalesce(l.ids, []) || [3], lambda x: 1) AS INTEGER[])
            AS attention_mask
-  FROM cut c LEFT JOIN listed l USING (id))"""
-
+  FROM windows c LEFT JOIN listed l USING (id, "window"))"""
+
+
+def place(code: str, before: str, target: str, after: str, use) -> str:
+    """``code`` with ``use(target)`` for the first target between the two patterns."""
+    pattern = f"'(?s)^(.*?{before})({target}){after}'"
+    head, hit = (f"regexp_extract({code}, {pattern}, {k})" for k in (1, 2))
+    rest = f"substr({code}, length({head}) + length({hit}) + 1)"
+    return f"CASE WHEN {hit} = '' THEN {code} ELSE {head} || {use(hit)} || {rest} END"
+
+
+def swapped(op: str) -> str:
+    return f"CASE {op} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SWAPS) + " END"
+
+
+def mutant(pattern: str, code: str, step: int) -> str:
+    key = ("id", "variant", step, text(pattern))
+    coin = f"{draw(*key, text('coin'))} % 2 = 0"
+
+    def number(low: int, high: int) -> str:
+        return f"CAST({draw(*key, text('number'))} % {high - low + 1} + {low} AS VARCHAR)"
+
+    name, digits = "[A-Za-z_][A-Za-z0-9_]*", "[0-9]{1,9}"
+    compared = "(?:==|!=|<=|>=|<|>)"
+    line = "(?:^|\\n)[ \\t]*"
+    if pattern == "off_by_one":
+        shift = lambda n: f"CAST(CASE WHEN {coin} THEN CAST({n} AS BIGINT) + 1 ELSE greatest(CAST({n} AS BIGINT) - 1, 0) END AS VARCHAR)"
+        return place(code, "(?:\\brange\\(|\\[)", digits, "[,)\\]]", shift)
+    if pattern == "missing_null_check":
+        return place(code, f"{line}if {name}(?:[.]{name})* ", "is None", ":", lambda _: "'is None or True'")
+    if pattern == "wrong_variable":
+        every = f"regexp_extract_all({code}, '{line}({name}) = ', 1)"
+        names = f"list_filter({every}, lambda x, i: list_position({every}, x) = i)"
+        old, new = (f"{names}[{draw(*key, text(w))} % len({names}) + 1]" for w in ("old", "new"))
+        return f"CASE WHEN len({names}) < 2 THEN {code} ELSE regexp_replace({code}, '\\b' || {old} || '\\b', {new}, 'g') END"
+    if pattern == "wrong_operator":
+        return place(code, " ", f"[+]|-|[*]|/|{compared}", " ", swapped)
+    if pattern == "missing_return":
+        changed = lambda _: f"CASE WHEN {coin} THEN 'pass' ELSE 'return ' || {number(-100, 100)} END"
+        return place(code, "(?:^|\\n)[ \\t]+", "return\\b[^\\n]*", "", changed)
+    if pattern == "wrong_condition":
+        return place(code, f"{line}(?:if|elif|while) [^\\n]*? ", compared, " ", swapped)
+    if pattern == "array_bounds":
+        return place(code, "[A-Za-z0-9_)\\]]\\[", digits, "\\]", lambda _: f"CASE WHEN {coin} THEN {number(-10, -1)} ELSE {number(100, 1000)} END")
+    if pattern == "type_error":
+        return place(code, " (?:[+]|-|[*]|/) ", f"\\b{digits}\\b", "", lambda n: f"""'"error_' || {n} || '"'""")
+    if pattern == "logic_error":
+        return place(code, f"(?:^|\\n)[ \\t]*{name} = ", digits, "(?:\\n|$)", lambda _: number(-100, 100))
+    return place(code, line, f"{name} = [^\\n]*", "", lambda _: "'pass'")
+
+
+PATTERNS = [
+    "off_by_one", "missing_null_check", "wrong_variable", "wrong_operator", "missing_return", "wrong_condition",
+    "array_bounds", "type_error", "logic_error", "missing_initialisation",
+]
+
+
+def mutation_step(step: int) -> str:
+    code = f"code{step - 1}"
+    number = f"{draw('id', 'variant', step, text('pattern'))} % 10"
+    cases = " ".join(f"WHEN {i} THEN {mutant(p, code, step)}" for i, p in enumerate(PATTERNS))
+    return f"step{step} AS (SELECT *, CASE WHEN k < {step} THEN {code} ELSE CASE {number} {cases} END END AS code{step} FROM step{step - 1})"
+
+
+PYTHON_CODE = """python_code AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id, p_type AS source, p_brand AS project, 'part/' || p_partkey AS path,
+    'price_' || p_partkey AS func_name,
+    array_to_string(['def price_' || p_partkey || '(table, qty):', '    limit = ' || p_size, '    total = 0',
+      '    if qty is None:', '        return ' || p_size, '    for i in range(' || p_size || '):',
+      '        total = total + qty * 2', '    if total == limit:', '        total = table[' || p_size % 7 || ']',
+      '    if total < ' || CAST(floor(p_retailprice) AS INTEGER) || ':', '        return -1',
+      '    return total / limit', ''], chr(10)) AS code,
+    0 AS is_buggy, CAST(p_partkey AS VARCHAR) AS pair_id
+  FROM part)"""
+
+MUTATED = f"""{SAMPLES}, {PYTHON_CODE},
+code_rows AS (
+  SELECT * REPLACE ({code_like('code')} AS code) FROM samples UNION ALL BY NAME SELECT * FROM python_code),
+step0 AS (
+  SELECT *, code AS code0, {draw('id', 'variant', text('steps'))} % 3 + 1 AS k
+  FROM (SELECT *, unnest([0, 1, 2]) AS variant FROM code_rows WHERE is_buggy = 0)),
+{mutation_step(1)},
+{mutation_step(2)},
+{mutation_step(3)},
+mutants AS (SELECT *, CASE WHEN code3 <> code0 THEN code3 END AS mutant FROM step3)"""
+
+SOURCE_TREES = """s AS (SELECT s_suppkey AS k, 'nation' || s_nationkey AS nation, CAST(floor(s_acctbal) AS INTEGER) AS b FROM supplier),
+sides AS (SELECT *, 'buggy' AS side, ' - ' AS op, 2 AS c, 'python_programs' AS folder, 1 AS is_buggy FROM s WHERE b > 0
+  UNION ALL SELECT *, 'fixed', ' + ', 3, 'correct_python_programs', 0 FROM s WHERE b > 0),
+from_tree AS (
+  SELECT nation || '_' || k || '_' || side AS id, nation AS project, 'tests/t' || k || '.py' AS path, 'module' AS func_name,
+    'a = 1' || chr(10) || 'b = ' || c || chr(10) || 'def f' || k || '(x):' || chr(10) || '    return x' || op || b AS code,
+    is_buggy, nation || '_' || k AS pair_id FROM sides)"""
+
+JOB_ROWS = f"""{SOURCE_TREES},
+samples AS (
+  SELECT id, 'bug_tree' AS source, project, path, code, is_buggy, pair_id FROM from_tree
+  UNION ALL
+  SELECT 'code_dirs_prog_' || k || '_' || side, 'code_dirs', 'code_dirs', folder || '/prog_' || k || '.py',
+    'def prog_' || k || '(x):' || chr(10) || '    return x' || op || b || chr(10), is_buggy, 'code_dirs_prog_' || k FROM sides),
+{project_split("source = 'bug_tree'", "project", 0.7, 0.15)},
+job_rows AS (
+  SELECT s.*, CASE WHEN s.source = 'code_dirs' THEN 'eval' ELSE p.split END AS split
+  FROM samples s LEFT JOIN project_split p USING (project))"""
 
 VARIANTS = SAMPLES + """, variants AS (
   SELECT s.*, v.variant FROM samples s
@@ -369,7 +495,7 @@ ORACLE: dict[str, str] = {
     "load_samples": f"WITH {SAMPLES} SELECT * FROM samples",
     "roundtrip_parquet": "SELECT doc_id AS id, source AS project, md5(text) AS code_md5 FROM documents",
     "split_sink_roundtrip": f"""WITH {SPLIT_SAMPLES}
-SELECT split, id, project FROM split_samples WHERE split IN ('train', 'eval')""",
+SELECT split, id, project FROM split_samples""",
     "scan_code_dirs": """WITH s AS (SELECT s_suppkey AS k, CAST(floor(s_acctbal) AS INTEGER) AS b FROM supplier),
 sides AS (SELECT k, b, 'buggy' AS side, 'python_programs' AS folder, ' - ' AS op, 1 AS is_buggy FROM s WHERE b > 0
   UNION ALL SELECT k, b, 'fixed', 'correct_python_programs', ' + ', 0 FROM s WHERE b > 0)
@@ -377,13 +503,24 @@ SELECT 'programs_prog_' || k || '_' || side AS id, 'programs' AS source, 'progra
   folder || '/prog_' || k || '.py' AS path, 'prog_' || k AS func_name,
   'def prog_' || k || '(x):' || chr(10) || '    return x' || op || b || chr(10) AS code, is_buggy,
   'programs_prog_' || k AS pair_id FROM sides""",
-    "scan_bug_tree": """WITH s AS (SELECT s_suppkey AS k, 'nation' || s_nationkey AS project, CAST(floor(s_acctbal) AS INTEGER) AS b FROM supplier),
-sides AS (SELECT *, 'buggy' AS side, ' - ' AS op, 1 AS is_buggy FROM s WHERE b > 0
-  UNION ALL SELECT *, 'fixed', ' + ', 0 FROM s WHERE b > 0)
-SELECT project || '_' || k || '_' || side AS id, 'tree' AS source, project,
-  'tests/t' || k || '.py' AS path, 'module' AS func_name,
-  'def f' || k || '(x):' || chr(10) || '    return x' || op || b AS code, is_buggy,
-  project || '_' || k AS pair_id FROM sides""",
+    "scan_bug_tree": f"""WITH {SOURCE_TREES}
+SELECT id, 'tree' AS source, project, path, func_name, code, is_buggy, pair_id FROM from_tree""",
+    "prepare_job": f"WITH {JOB_ROWS} SELECT * FROM job_rows",
+    "prepare_job_stats": f"""WITH {JOB_ROWS}
+SELECT n.split, count(r.id) AS samples, count(*) FILTER (is_buggy = 1) AS buggy, count(*) FILTER (is_buggy = 0) AS clean
+FROM (SELECT unnest(['train', 'val', 'test', 'eval']) AS split) n LEFT JOIN job_rows r USING (split) GROUP BY n.split""",
+    "training_job": f"""WITH {SPLIT_SAMPLES}, {scope_rows().replace('preds', 'split_samples')}
+SELECT section, name, count(*) AS samples, count(*) FILTER (is_buggy = 1) AS buggy_samples, count(*) FILTER (is_buggy = 0) AS clean_samples
+FROM scoped GROUP BY section, name""",
+    "saved_model_scores": f"""WITH {SPLIT_SAMPLES}
+SELECT id, true AS same FROM split_samples WHERE split IN ('test', 'eval')""",
+    "batch_replies": f"""WITH {BATCHED}, judged AS (
+  SELECT id, batch_id, text, row_number() OVER (PARTITION BY batch_id ORDER BY id) - 1 AS slot,
+    CASE WHEN count(*) OVER (PARTITION BY batch_id) > 100 THEN 'batch too large' WHEN length(text) < 1 THEN 'empty'
+      WHEN length(text) > 10000 THEN 'too long' WHEN {strip('text')} = '' THEN 'blank' END AS reason
+  FROM batched JOIN documents ON doc_id = id)
+SELECT batch_id, slot, id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview, reason,
+  reason IS NULL AS scored FROM judged""",
     "stats_json": f"""WITH {STATS}
 SELECT '{{' || string_agg('"' || split || '":{{"samples":' || samples || ',"buggy":' || buggy || ',"clean":' || clean
   || CASE WHEN split = 'eval' THEN '' ELSE ',"projects":' || projects END
@@ -400,7 +537,7 @@ SELECT split, samples, buggy, clean, CASE WHEN split = 'eval' THEN NULL ELSE pro
 FROM part""",
     "verified_ids": f"WITH {VERIFIED} SELECT * FROM verified",
     "model_card": f"""WITH {OVERALL}
-SELECT '{{"created_at": "2024-01-31T00:00:00", "model_name": "defectloom classifier", "task": "sequence-classification", "training_config": {{"max_length": 512, "seed": 42}}, "metrics": '
+SELECT '{{"classes": 2, "created_at": "2024-01-31T00:00:00", "features": 16384, "model_name": "defectloom classifier", "task": "sequence-classification", "training_config": {{"max_length": 512, "seed": 42}}, "metrics": '
   || '{{"samples":' || samples || ',"accuracy":' || round(accuracy, 6) || ',"precision_macro":' || round(precision_macro, 6)
   || ',"recall_macro":' || round(recall_macro, 6) || ',"f1_macro":' || round(f1_macro, 6)
   || ',"avg_confidence":' || round(avg_confidence, 6) || ',"buggy_samples":' || buggy_samples
@@ -416,10 +553,12 @@ entries AS (
   FROM lines WHERE contains(line, '='))
 SELECT id, k, v FROM entries QUALIFY row_number() OVER (PARTITION BY id, k ORDER BY ix DESC) = 1""",
     "patch_last_hunk": f"""WITH {PATCHES}
-SELECT p.id, {patch_code('+- ')} AS code FROM patch_lines p JOIN last_header h USING (id) GROUP BY p.id""",
+SELECT p.id, {patch_code('+- ', 'last')} AS code FROM patch_lines p JOIN headers h USING (id) GROUP BY p.id""",
+    "patch_all_hunks": f"""WITH {PATCHES}
+SELECT p.id, {patch_code('+- ')} AS code FROM patch_lines p JOIN headers h USING (id) GROUP BY p.id""",
     "patch_sides": f"""WITH {PATCHES}
 SELECT p.id, {patch_code('- ')} AS buggy, {patch_code('+ ')} AS fixed
-FROM patch_lines p JOIN last_header h USING (id) GROUP BY p.id""",
+FROM patch_lines p JOIN headers h USING (id) GROUP BY p.id""",
     "function_window": f"""WITH docs AS (
   SELECT doc_id AS id, n_chars % 40 AS n, string_split({code_like('text')}, chr(10)) AS ls FROM documents),
 lines AS (SELECT id, n, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ix FROM docs),
@@ -445,12 +584,11 @@ SELECT stem, path FROM defects WHERE stem NOT IN (SELECT stem FROM fixes)""",
     "clean_only": f"WITH {SAMPLES} SELECT id, source, project, pair_id FROM samples WHERE is_buggy = 0",
     "request_rules": f"""SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents""",
-    "examples_table": "SELECT *, true AS scored FROM (VALUES "
-    + ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in EXAMPLES)
-    + ") AS e(name, code, expected)",
-    "stream_verdicts": f"""SELECT id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, reason IS NULL AS scored
+    "stream_verdicts": f"""SELECT id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, reason IS NULL AS labelled
 FROM (SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents) d""",
+    "batch_verdicts": f"""WITH {BATCHED}
+SELECT id, batch_id, CASE WHEN count(*) OVER (PARTITION BY batch_id) > 100 THEN 'batch too large' END AS reason FROM batched""",
     "batch_size_rule": f"""WITH {BATCHED}
 SELECT batch_id, count(*) AS n, count(*) BETWEEN 1 AND 100 AS accepted FROM batched GROUP BY batch_id""",
     "accepted_batches": f"""WITH {BATCHED}
@@ -479,7 +617,7 @@ SELECT CAST(sum(samples) AS BIGINT) AS samples, CAST(sum(buggy) AS BIGINT) AS bu
   round(sum(buggy)::DOUBLE / sum(samples), 6) AS buggy_ratio FROM stats WHERE split <> 'eval'""",
     "extraction_summary": f"""WITH {SAMPLES}
 SELECT count(*) AS samples, count(*) FILTER (is_buggy = 1) AS buggy, count(*) FILTER (is_buggy = 0) AS clean,
-  count(DISTINCT project) AS projects, count(*) // 2 AS pairs FROM samples""",
+  count(DISTINCT project) AS projects, count(DISTINCT path) FILTER (is_buggy = 1) AS defect_files, count(*) // 2 AS pairs FROM samples""",
     "project_counts": f"WITH {SAMPLES} SELECT project, count(*) AS samples FROM samples GROUP BY project",
     "attach_predictions": f"WITH {PREDS} SELECT id, source, project, is_buggy, yhat, round(score, 6) AS score FROM preds",
     "confusion": f"""WITH {PREDS}
@@ -553,6 +691,12 @@ SELECT id, variant, list_transform(range(1, CAST({draw('id', 'variant', text('st
   lambda j: CAST({draw('id', 'variant', 'j', text('pattern'))} % 10 AS INTEGER)) AS patterns FROM variants""",
     "text_mutation": f"""WITH {CORPUS}, v AS (SELECT id, code, unnest([0, 1, 2]) AS variant FROM corpus)
 SELECT id, variant, md5({mutated('code')}) AS code_md5 FROM v""",
+    "pattern_mutation": f"WITH {MUTATED} SELECT id, variant, md5(mutant) AS code_md5 FROM mutants",
+    "generate_variants": f"""WITH {MUTATED}
+SELECT id || '_bug_' || variant AS id, source || '_synthetic' AS source, project, path, 1 AS is_buggy,
+  pair_id || '_synthetic_' || variant AS pair_id, md5(coalesce(mutant, {mutated('code')})) AS code_md5 FROM mutants""",
+    "single_patterns": f"WITH {PYTHON_CODE}, v AS (SELECT id, 0 AS variant, code FROM python_code) "
+    + " UNION ALL ".join(f"SELECT id, '{p}' AS pattern, {mutant(p, 'code', 1)} AS mutant FROM v" for p in PATTERNS),
     "variant_summary": f"""WITH {SAMPLES}
 SELECT count(*) AS clean_samples, count(*) * 3 AS variants, round(3.0::DOUBLE, 6) AS per_sample FROM samples WHERE is_buggy = 0""",
     "merge_summary": f"""WITH {VARIANTS}, merged AS (
@@ -576,20 +720,17 @@ SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 6) AS
     "token_sample_report": f"""SELECT doc_id AS id, CAST(len({tokens('text')}) + 2 AS INTEGER) AS tokens, len({tokens('text')}) + 2 > 512 AS over_limit
 FROM documents ORDER BY doc_id LIMIT 5""",
     "vocab_size": f"SELECT count(DISTINCT token) AS vocab_size FROM (SELECT unnest({tokens('text')}) AS token FROM documents)",
-    "vocabulary": f"WITH {CORPUS}, {vocabulary('corpus', 50000)} SELECT * FROM vocab",
-    "encode": f"WITH {CORPUS}, {vocabulary('corpus', 50000)}, {encoded('corpus')} SELECT * FROM encoded",
+    "vocabulary": f"WITH {CORPUS}, {vocabulary('corpus')} SELECT * FROM vocab",
+    "encode": f"WITH {CORPUS}, {vocabulary('corpus')}, {encoded('corpus')} SELECT * FROM encoded",
     "encode_small_vocabulary": f"WITH {CORPUS}, {vocabulary('corpus', 200)}, {encoded('corpus')} SELECT * FROM encoded",
-    "decode": f"""WITH {CORPUS}, {vocabulary('corpus', 200)}, {encoded('corpus')},
-words AS (SELECT id, unnest(input_ids) AS token_id, generate_subscripts(input_ids, 1) AS ix FROM encoded),
-texts AS (SELECT w.id, string_agg(v.token, ' ' ORDER BY w.ix) AS text FROM words w JOIN vocab v USING (token_id) GROUP BY w.id)
-SELECT e.id, coalesce(t.text, '') AS text FROM encoded e LEFT JOIN texts t USING (id)""",
+    "decode": f"""SELECT doc_id AS id, array_to_string({tokens('text')}, ' ') AS text FROM documents""",
     "batches": """SELECT id, project, pos // 8 AS batch, CAST(pos % 8 AS INTEGER) AS slot
 FROM (SELECT doc_id AS id, source AS project, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) d""",
-    "pad_batches": f"""WITH {CORPUS}, {vocabulary('corpus', 50000)}, {encoded('corpus')},
-placed AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 8 AS batch, CAST((row_number() OVER (ORDER BY id) - 1) % 8 AS INTEGER) AS slot FROM encoded),
+    "pad_batches": f"""WITH {CORPUS}, {vocabulary('corpus')}, {encoded('corpus')},
+placed AS (SELECT *, (row_number() OVER (ORDER BY id, "window") - 1) // 8 AS batch, CAST((row_number() OVER (ORDER BY id, "window") - 1) % 8 AS INTEGER) AS slot FROM encoded),
 sized AS (SELECT *, max(len(input_ids)) OVER (PARTITION BY batch) AS longest FROM placed)
-SELECT id, list_resize(input_ids, longest, 0) AS input_ids, list_resize(attention_mask, longest, 0) AS attention_mask, batch, slot FROM sized""",
-    "encoded_rows": f"""WITH {SPLIT_SAMPLES}, train AS (SELECT * FROM split_samples WHERE split = 'train'), {vocabulary('train', 50000)},
+SELECT id, "window", list_resize(input_ids, longest, 0) AS input_ids, list_resize(attention_mask, longest, 0) AS attention_mask, batch, slot FROM sized""",
+    "encoded_rows": f"""WITH {SPLIT_SAMPLES}, train AS (SELECT * FROM split_samples WHERE split = 'train'), {vocabulary('train')},
 spaced AS (SELECT id, is_buggy AS labels, {whitespace('code')} AS code FROM train),
 augmented AS (SELECT id, labels, {comment('code')} AS code FROM spaced), {encoded('augmented', ', labels')}
 SELECT * FROM encoded""",

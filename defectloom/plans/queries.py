@@ -1,18 +1,18 @@
 """The registered queries: every operator over the given tables."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from defectloom.functions import text as X
 from defectloom.operators import augment as G
-from defectloom.operators import filters, history, leaderboard, metrics, model, pairs, profile
-from defectloom.operators import splits, tokens, validate, variants
-from defectloom.operators.mutate_ast import mutate_ast
+from defectloom.operators import filters, history, leaderboard, metrics, model, mutations, pairs
+from defectloom.operators import profile, splits, tokens, validate, variants
 from defectloom.plans import bindings as B
-from defectloom.plans import training
-from defectloom.sources import bug_tree, code_dirs, examples, reports, samples, test_cases
-from defectloom.sources import verify_log
+from defectloom.plans import dataset, training
+from defectloom.schema import SPLITS
+from defectloom.sources import bug_tree, code_dirs, reports, samples, test_cases, verify_log
 from defectloom.streaming import scoring
 from defectloom.workspace import work_dir
 
@@ -23,6 +23,7 @@ BATCH = 8
 PREVIEW_BATCH = 100
 METRIC_COLUMNS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "avg_confidence")
 SEED = 42
+FILES_PER_TRIGGER = 64
 SETTINGS = training.TrainSettings()
 
 
@@ -81,9 +82,9 @@ def split_sink_roundtrip(spark, sf):
     samples.save_splits(split_samples(spark, sf), path)
     parts = [
         samples.load_split(spark, path, name).select(F.lit(name).alias("split"), "id", "project")
-        for name in ("train", "eval")
+        for name in SPLITS
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -135,9 +136,10 @@ def verified_ids(spark, sf):
 @query
 def model_card(spark, sf):
     found = metrics.summary_metrics(metrics.confusion(preds(spark, sf)))
+    fitted = training.train(written_splits(spark, sf), SETTINGS)
     return reports.model_card(
         rounded(found, *METRIC_COLUMNS),
-        {"model_name": "defectloom classifier", "task": "sequence-classification"},
+        model.describe(fitted),
         {"max_length": SETTINGS.max_length, "seed": SETTINGS.seed},
         B.AS_OF.isoformat(),
     )
@@ -154,6 +156,12 @@ def parse_kv(spark, sf):
 
 @query
 def patch_last_hunk(spark, sf):
+    code = X.patch_code("patch", hunks="last")
+    return B.patches(spark, sf).select("id", code.alias("code"))
+
+
+@query
+def patch_all_hunks(spark, sf):
     return B.patches(spark, sf).select("id", X.patch_code("patch").alias("code"))
 
 
@@ -183,8 +191,9 @@ def truncate_lines(spark, sf):
 
 @query
 def preview(spark, sf):
-    rows = tokens.batches(B.corpus(spark, sf).select("id", "code"), PREVIEW_BATCH)
-    return rows.select("batch", "slot", "id", X.preview("code").alias("preview"))
+    # Cut before the rows are numbered, so no whole text is moved.
+    short = B.corpus(spark, sf).select("id", X.preview("code").alias("preview"))
+    return tokens.batches(short, PREVIEW_BATCH).select("batch", "slot", "id", "preview")
 
 
 # Pairs
@@ -237,7 +246,12 @@ def batch_size_rule(spark, sf):
 
 @query
 def accepted_batches(spark, sf):
-    return filters.accepted_batches(batched_corpus(spark, sf), "batch_id", "id")
+    return filters.accepted_batches(batched_corpus(spark, sf), "batch_id")
+
+
+@query
+def batch_verdicts(spark, sf):
+    return filters.batch_verdicts(batched_corpus(spark, sf), "batch_id")
 
 
 @query
@@ -350,7 +364,10 @@ def heldout_metrics(spark, sf):
 
 @query
 def project_ranking(spark, sf):
-    return metrics.project_ranking(rounded(project_metrics(spark, sf), "f1_macro"))
+    # Numbering reads its input several times, so the metrics are written first.
+    path = f"{work_dir(spark)}/project_metrics"
+    rounded(project_metrics(spark, sf), "f1_macro").write.parquet(path)
+    return metrics.project_ranking(spark.read.parquet(path))
 
 
 @query
@@ -436,11 +453,16 @@ def leaderboard_totals(spark, sf):
 
 @query
 def leaderboard_page(spark, sf):
+    # Three parts of one page from one computed board.
+    path = f"{work_dir(spark)}/board"
+    board(spark, sf).write.parquet(path)
+    written = spark.read.parquet(path)
+    counts = leaderboard.contributor_counts
     return reports.leaderboard_page(
         "Bugs by contributor",
-        leaderboard_all(spark, sf),
-        leaderboard_week(spark, sf),
-        leaderboard_totals(spark, sf),
+        leaderboard.podium(counts(written)),
+        leaderboard.podium(counts(written, week=True)),
+        leaderboard.totals(written),
     )
 
 
@@ -497,19 +519,40 @@ def text_mutation(spark, sf):
     return rows.select("id", "variant", F.md5(code).alias("code_md5"))
 
 
+def code_rows(spark, sf) -> DataFrame:
+    """Documents with block starts, and small functions."""
+    marked = B.samples(spark, sf).withColumn("code", B.code_like("code"))
+    return marked.unionByName(B.python_code(spark, sf))
+
+
 @query
-def ast_mutation(spark, sf):
-    rows = variants.variant_rows(variants.spread(B.python_code(spark, sf)))
-    key = F.concat_ws("|", "id", "variant", F.lit(SEED))
-    return rows.select(
-        "id", "variant", mutate_ast("code", variants.mutation_plan(SEED), key).alias("code")
+def pattern_mutation(spark, sf):
+    rows = variants.variant_rows(code_rows(spark, sf))
+    code = mutations.mutate(F.col("code"), variants.mutation_plan(SEED), SEED)
+    return rows.select("id", "variant", F.md5(code).alias("code_md5"))
+
+
+@query
+def single_patterns(spark, sf):
+    """Each pattern alone on every small function."""
+    rows = B.python_code(spark, sf).select("id", F.lit(0).alias("variant"), "code")
+    key = (F.col("id"), F.col("variant"), F.lit(1))
+    made = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("pattern"),
+                mutations.mutated_by(name, F.col("code"), SEED, (*key, name)).alias("mutant"),
+            )
+            for name in mutations.PATTERNS
+        ]
     )
+    return rows.select("id", F.explode(made).alias("m")).select("id", "m.pattern", "m.mutant")
 
 
 @query
 def generate_variants(spark, sf):
-    both = B.samples(spark, sf).unionByName(B.python_code(spark, sf))
-    return variants.generate_variants(both, seed=SEED)
+    made = variants.generate_variants(code_rows(spark, sf), seed=SEED)
+    return made.withColumn("code_md5", F.md5("code")).drop("code", "func_name")
 
 
 @query
@@ -575,9 +618,16 @@ def vocabulary(spark, sf):
     return tokens.vocabulary(B.corpus(spark, sf))
 
 
-def encoded_corpus(spark, sf, vocab_size=tokens.VOCAB_SIZE):
+def written_vocabulary(spark, rows, vocab_size=None):
+    """The vocabulary as a job keeps it, since encoding reads it twice."""
+    path = f"{work_dir(spark)}/vocabulary"
+    tokens.vocabulary(rows, vocab_size=vocab_size).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def encoded_corpus(spark, sf, vocab_size=None):
     rows = B.corpus(spark, sf).select("id", "code")
-    vocab = tokens.vocabulary(rows, vocab_size=vocab_size)
+    vocab = written_vocabulary(spark, rows, vocab_size)
     return tokens.encode(rows, vocab), vocab
 
 
@@ -593,8 +643,8 @@ def encode_small_vocabulary(spark, sf):
 
 @query
 def decode(spark, sf):
-    rows, vocab = encoded_corpus(spark, sf, vocab_size=200)
-    return tokens.decode(rows, vocab).select("id", "text")
+    rows, vocab = encoded_corpus(spark, sf)
+    return tokens.decode(rows, vocab)
 
 
 @query
@@ -604,9 +654,12 @@ def batches(spark, sf):
 
 @query
 def pad_batches(spark, sf):
-    rows = B.corpus(spark, sf).select("id", "code")
-    placed = tokens.batches(rows, BATCH)
-    return tokens.pad_batches(tokens.encode(placed, tokens.vocabulary(rows)))
+    path = f"{work_dir(spark)}/windows"
+    encoded_corpus(spark, sf)[0].write.parquet(path)
+    windows = spark.read.parquet(path)
+    # The keys alone are numbered.
+    placed = tokens.batches(windows.select("id", "window"), BATCH, ["id", "window"])
+    return tokens.pad_batches(windows.join(placed, ["id", "window"]))
 
 
 @query
@@ -629,26 +682,79 @@ def train_and_evaluate(spark, sf):
     return training.evaluate(training.train(rows, SETTINGS), rows)
 
 
+@query
+def saved_model_scores(spark, sf):
+    """Whether a saved and loaded model gives each row the score it gave before."""
+    rows = written_splits(spark, sf)
+    fitted = training.train(rows, SETTINGS)
+    path = f"{work_dir(spark)}/model"
+    model.save(fitted, path)
+    before = training.score_table(fitted, rows).select("id", "yhat", "score")
+    after = training.score_table(model.load(path), rows)
+    after = after.select("id", F.col("yhat").alias("_yhat"), F.col("score").alias("_score"))
+    same = (F.col("yhat") == F.col("_yhat")) & (F.abs(F.col("score") - F.col("_score")) < 1e-9)
+    return before.join(after, "id").select("id", same.alias("same"))
+
+
+@query
+def batch_replies(spark, sf):
+    """One reply per row of a batch: place, preview, label and score, or why it has none."""
+    rows = B.corpus(spark, sf).select("id", "lang", "n_chars", "code")
+    batch = F.concat_ws("/", "lang", F.expr("n_chars div 1000"))
+    requests = rows.select("id", batch.alias("batch_id"), "code")
+    fitted = training.train(written_splits(spark, sf), SETTINGS)
+    replies = scoring.batch_replies(requests, fitted, "batch_id")
+    scored = F.col("label").isNotNull()
+    return replies.select("batch_id", "slot", "id", "preview", "reason", scored.alias("scored"))
+
+
+# Whole jobs
+
+
+@query
+def prepare_job(spark, sf):
+    """From two written source trees to the written split table."""
+    root = work_dir(spark)
+    B.write_code_dirs(spark, sf, f"{root}/code")
+    B.write_bug_tree(spark, sf, f"{root}/bugs")
+    settings = dataset.DataSettings(f"{root}/bugs", f"{root}/code", f"{root}/out")
+    return dataset.prepare(spark, settings).drop("func_name")
+
+
+@query
+def prepare_job_stats(spark, sf):
+    """The statistics file that the same job leaves."""
+    root = work_dir(spark)
+    B.write_code_dirs(spark, sf, f"{root}/code")
+    B.write_bug_tree(spark, sf, f"{root}/bugs")
+    dataset.prepare(spark, dataset.DataSettings(f"{root}/bugs", f"{root}/code", f"{root}/out"))
+    stats = reports.load_stats(spark, f"{root}/out/stats")
+    return stats.select("split", "samples", "buggy", "clean")
+
+
+@query
+def training_job(spark, sf):
+    """Enlarge, train and evaluate; the written report without the model's own numbers."""
+    report = training.run(written_splits(spark, sf), SETTINGS, f"{work_dir(spark)}/run")
+    return report.select("section", "name", "samples", "buggy_samples", "clean_samples")
+
+
 def streamed(spark, sf) -> DataFrame:
     """All documents, scored as a stream by a model fitted on the train split."""
     fitted = training.train(written_splits(spark, sf), SETTINGS)
     documents = B.table(spark, sf, "documents")
     # A pattern, so that the table may be one file or a folder of files.
-    arriving = spark.readStream.schema(documents.schema).parquet(f"{sf}/documents.parque[t]")
+    arriving = (
+        spark.readStream.schema(documents.schema)
+        .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+        .parquet(f"{sf}/documents.parque[t]")
+    )
     requests = arriving.select("doc_id", "text").toDF("id", "code")
     root = work_dir(spark)
     scoring.start_scoring(requests, fitted, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
-@query
-def examples_table(spark, sf):
-    """The example snippets, scored by a model fitted on the train split."""
-    fitted = training.train(written_splits(spark, sf), SETTINGS)
-    scored = model.predict(fitted, examples.examples(spark))
-    return scored.select("name", "code", "expected", F.col("score").between(0.5, 1).alias("scored"))
-
-
 @query
 def stream_score(spark, sf):
     return streamed(spark, sf)
@@ -656,8 +762,6 @@ def stream_score(spark, sf):
 
 @query
 def stream_verdicts(spark, sf):
-    """What the stream decides without the model, and that the model scored the rest."""
-    scored = F.col("label").isin("buggy", "clean") & F.col("score").between(0.5, 1)
-    return streamed(spark, sf).select(
-        "id", "status", "reason", F.coalesce(scored, F.lit(False)).alias("scored")
-    )
+    """What the stream decides without the model, and which rows the model gave a label."""
+    labelled = F.col("label").isNotNull() & F.col("score").isNotNull()
+    return streamed(spark, sf).select("id", "status", "reason", labelled.alias("labelled"))

@@ -21,7 +21,7 @@ class TrainSettings:
     seed: int = 42
     n_variants: int = 3
     max_length: int = 512
-    vocab_size: int = 50_000
+    vocab_size: int | None = None
     n_features: int = 1 << 14
     iterations: int = 20
 
@@ -31,7 +31,7 @@ def of_split(rows: DataFrame, split: str) -> DataFrame:
 
 
 def enlarged_train(
-    rows: DataFrame, settings: TrainSettings, path: str, mutator: str = "ast"
+    rows: DataFrame, settings: TrainSettings, path: str, mutator: str = "patterns"
 ) -> DataFrame:
     """The train split with its synthetic defects, in a seeded random order.
 
@@ -45,7 +45,7 @@ def enlarged_train(
 
 
 def encoded_rows(rows: DataFrame, settings: TrainSettings) -> DataFrame:
-    """Model inputs of the train split: augmented, cut into tokens, as ids with label."""
+    """Model inputs of the train split: augmented, cut into tokens, as windows of ids with label."""
     train = of_split(rows, "train")
     vocab = vocabulary(train, "code", settings.vocab_size)
     augmented = train.select("id", "is_buggy", augment(F.col("code"), settings.seed).alias("code"))

@@ -39,17 +39,22 @@ def scan_bug_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bug_tree_samples(
-    tree: DataFrame, source: str, sides: str = "split", max_chars: int | None = None
+    tree: DataFrame,
+    source: str,
+    sides: str = "split",
+    max_chars: int | None = None,
+    hunks: str = "all",
 ) -> DataFrame:
     """Labelled rows from the patches.
 
     ``split`` takes the lines before and after the change, ``same`` the merged text for both
-    labels. The code is cut only when ``max_chars`` is given.
+    labels. The code is cut only when ``max_chars`` is given. ``hunks="last"`` keeps what is below
+    the last header of a patch alone.
     """
     if sides not in ("split", "same"):
         raise ValueError(f"unknown sides: {sides}")
     marks = ("- ", "+ ") if sides == "split" else ("+- ", "+- ")
-    before, after = (patch_code("patch", keep) for keep in marks)
+    before, after = (patch_code("patch", keep, hunks) for keep in marks)
     if max_chars is not None:
         before, after = truncate_lines(before, max_chars), truncate_lines(after, max_chars)
     path = F.coalesce(parse_kv("info")["test_file"], F.lit("unknown"))

@@ -29,7 +29,7 @@ def test_accepted_batches(spark):
         F.when(F.col("id") < 100, "full").when(F.col("id") < 201, "over")
         .when(F.col("id") < 5201, "hot").otherwise("one").alias("b"),
     ).repartition(6)
-    got = filters.accepted_batches(rows, "b", "id").groupBy("b").count().collect()
+    got = filters.accepted_batches(rows, "b").groupBy("b").count().collect()
     assert {r["b"]: r["count"] for r in got} == {"full": 100, "one": 1}
     verdicts = {r["b"]: (r["n"], r["accepted"]) for r in filters.batch_sizes(rows, "b").collect()}
     assert verdicts == {"full": (100, True), "over": (101, False), "hot": (5000, False), "one": (1, True)}
@@ -128,6 +128,54 @@ def test_early_stop_keeps_a_short_list_of_a_long_run(spark):
         history.early_stop(df, 3, 0.0)
 
 
+def test_turned_away_batches_keep_their_rows(spark):
+    sizes = {"a": 1, "b": 100, "c": 101, "d": 5000, None: 102}
+    rows = spark.createDataFrame([(b, i) for b, n in sizes.items() for i in range(n)], "b string, id int")
+    got = {r["b"]: (r["n"], r["reason"]) for r in filters.batch_verdicts(rows, "b").groupBy("b", "reason").agg(F.count("*").alias("n")).collect()}
+    assert got == {b: (n, None if n <= 100 else "batch too large") for b, n in sizes.items()}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_early_stop_with_scores_that_are_none(spark, block):
+    nan, inf = float("nan"), float("inf")
+    slow = [0.01 * min(k, 29) for k in range(100)]
+    runs = {
+        1: slow,
+        2: slow[:40] + [nan] + slow[41:],
+        3: [nan, nan, 0.5, 0.6],
+        4: [nan, nan, nan, 0.5],
+        5: [0.1, inf, 0.5, 0.6, 0.7],
+        6: [0.1, -inf, 0.5, None, None, None, 0.9],
+        None: [0.5, 0.4, 0.4, 0.4],
+        7: [None],
+        8: [float(k) for k in range(50)] + [0.0] * 9,
+    }
+    rows = [(run, step, f1) for run, own in runs.items() for step, f1 in enumerate(own)] + [(1, None, 99.0)]
+    df = spark.createDataFrame(rows, "run_id int, step int, f1 double").repartition(5)
+    got = {r["run_id"]: (r["stop_step"], r["best_f1"]) for r in history.early_stop(df, 3, 0.001, block).collect()}
+
+    def model(own):
+        best, wait = None, 0
+        for step, f1 in enumerate(own):
+            if f1 is not None and f1 == f1 and (best is None or f1 > best + 0.001):
+                best, wait = f1, 0
+            else:
+                wait += 1
+                if wait >= 3:
+                    return step, best
+        return None, best
+
+    assert got == {run: model(own) for run, own in runs.items()}
+    assert got[1] == got[2] == (32, 0.29)
+
+
+def test_best_step_passes_over_scores_that_are_none(spark):
+    rows = [(1, 1, 0.5), (1, 2, float("nan")), (1, 3, 0.9), (1, 4, None), (2, 1, float("nan")), (None, 3, 0.1)]
+    df = spark.createDataFrame(rows, "run_id int, step int, f1 double")
+    got = {tuple(r) for r in history.best_step(df).collect()}
+    assert got == {(1, 3, 0.9), (2, None, None), (None, 3, 0.1)}
+
+
 def test_best_step_takes_the_earliest(spark):
     df = spark.createDataFrame([(1, 10, 0.5), (1, 5, 0.5), (1, 20, 0.1), (2, 1, 0.0)], "run_id int, step int, f1 double")
     assert sorted(map(tuple, history.best_step(df).collect())) == [(1, 5, 0.5), (2, 1, 0.0)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from defectloom.plans.dataset import DataSettings, prepare
 from defectloom.schema import SAMPLE
-from defectloom.sources import bug_tree, code_dirs, examples, layout, reports, samples
+from defectloom.sources import bug_tree, code_dirs, layout, reports, samples
 from defectloom.sources import test_cases as cases
 from defectloom.sources import verify_log
 from defectloom.workspace import work_dir
@@ -51,7 +51,9 @@ def test_code_dirs(spark, code_root):
         "path": f"{code_dirs.DEFECT_DIR}/one.py", "func_name": "one",
         "code": "def one(x):\n    return x\n", "is_buggy": 1, "pair_id": "programs_one",
     }
-    assert rows[0]["code"] == "\n".join(["a = 1"] * 666)
+    assert len(rows[0]["code"]) > 4000 and set(rows[0]["code"].split("\n")) == {"a = 1", ""}
+    cut = code_dirs.code_dir_samples(spark, code_root, "programs", 4000).orderBy("id").first()
+    assert cut["code"] == "\n".join(["a = 1"] * 666)
 
 
 def test_layout_is_checked(spark, tmp_path):
@@ -88,7 +90,9 @@ def test_bug_tree(spark, bug_root):
     tree = bug_tree.scan_bug_tree(spark, bug_root)
     found = {(r["project"], r["bug"]): r["patch"] is not None for r in tree.collect()}
     assert found == {("p1", "1"): True, ("p1", "2"): True, ("p2", "1"): False, ("p2", "7"): True}
-    rows = {r["id"]: r for r in bug_tree.bug_tree_samples(tree, "tree").collect()}
+    whole = {r["id"]: r["code"] for r in bug_tree.bug_tree_samples(tree, "tree").collect()}
+    assert whole["p1_1_buggy"] == "x\ny\nkeep\nold"
+    rows = {r["id"]: r for r in bug_tree.bug_tree_samples(tree, "tree", hunks="last").collect()}
     assert sorted(rows) == [
         "p1_1_buggy", "p1_1_fixed", "p1_2_fixed", "p2_7_buggy", "p2_7_fixed"
     ]
@@ -101,7 +105,7 @@ def test_bug_tree(spark, bug_root):
 
 def test_bug_tree_same_sides(spark, bug_root):
     tree = bug_tree.scan_bug_tree(spark, bug_root)
-    rows = {r["id"]: r["code"] for r in bug_tree.bug_tree_samples(tree, "t", "same", 9).collect()}
+    rows = {r["id"]: r["code"] for r in bug_tree.bug_tree_samples(tree, "t", "same", 9, "last").collect()}
     assert rows["p1_1_buggy"] == rows["p1_1_fixed"] == "keep\nold"
     with pytest.raises(ValueError):
         bug_tree.bug_tree_samples(tree, "t", "both")
@@ -159,12 +163,6 @@ def test_verified_ids(spark):
     assert sorted(map(tuple, got.collect())) == [("p", "12"), ("p", "7"), ("q", "12")]
 
 
-def test_examples(spark):
-    rows = examples.examples(spark)
-    assert rows.columns == ["name", "code", "expected"] and rows.count() == 4
-    assert {r["expected"] for r in rows.collect()} == {"buggy", "clean"}
-
-
 def test_stats_report_of_an_empty_held_out_set(spark):
     stats = spark.createDataFrame(
         [("train", 3, 1, 2, 2, 12.5, 1 / 3)],

@@ -50,10 +50,20 @@ def test_patch_code(spark, rng):
     ]
     patches = ["\n".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(400)]
     for marks in ("+- ", "- ", "+ "):
-        got = column(spark, patches, X.patch_code("t", marks))
+        got = column(spark, patches, X.patch_code("t", marks, "last"))
         assert got == [patch_model(p, marks) for p in patches]
 
 
+def test_all_hunks_of_a_patch(spark):
+    patch = (
+        "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n@@ -9 +9,2 @@ f\n--- d\n+e\n"
+        "diff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n+f\n\\ No newline"
+    )
+    got = [column(spark, [patch], X.patch_code("t", marks))[0] for marks in ("+- ", "- ", "+ ")]
+    assert got == ["a\nb\nc\n-- d\ne\nf", "a\nb\n-- d", "a\nc\ne\nf"]
+    assert column(spark, ["no header\n+a\n-b", "", None], X.patch_code("t")) == ["a\nb", None, None]
+
+
 def window_model(code, n, ctx):
     lines = code.split("\n")
     marks = [i for i, l in enumerate(lines) if l.strip().startswith(("def ", "class "))]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from defectloom.operators import model, tokens
 from defectloom.plans import training
-from defectloom.sources.examples import examples
 from defectloom.streaming.scoring import start_scoring
 
 TEXTS = ["x = x + 1\n\treturn x_1", "é😀 a1 22b", "", "   ", "def f(a):\n    return a[0]", "a " * 700]
@@ -24,35 +23,46 @@ def test_tokenise(corpus):
 
 
 def encode_model(text, ids, limit=512):
-    return [tokens.BOS, *[ids.get(t, tokens.UNK) for t in PATTERN.findall(text)][: limit - 2], tokens.EOS]
+    """All windows of a text."""
+    found = [ids.get(t, tokens.UNK) for t in PATTERN.findall(text)]
+    room = limit - 2
+    return [[tokens.BOS, *found[k : k + room], tokens.EOS] for k in range(0, max(1, len(found)), room)]
 
 
-@pytest.mark.parametrize("size, limit", [(50_000, 512), (3, 512), (50_000, 6)])
-def test_encode_and_decode(corpus, size, limit):
+@pytest.mark.parametrize("size, limit, head", [(None, 512, 65_536), (3, 512, 65_536), (None, 6, 65_536), (None, 6, 2), (3, 6, 2)])
+def test_encode_and_decode(corpus, size, limit, head, monkeypatch):
+    monkeypatch.setattr(tokens, "HEAD", head)
     vocab = tokens.vocabulary(corpus, vocab_size=size)
     ids = {r["token"]: r["token_id"] for r in vocab.collect()}
     assert sorted(ids.values()) == list(range(tokens.FIRST_ID, tokens.FIRST_ID + len(ids)))
+    assert size is None or len(ids) == size
     encoded = tokens.encode(corpus, vocab, max_length=limit)
-    got = {r["id"]: r for r in encoded.collect()}
+    got = {(r["id"], r["window"]): r for r in encoded.collect()}
     words = {i: t for t, i in ids.items()}
     texts = {r["id"]: r["text"] for r in tokens.decode(encoded, vocab).collect()}
+    assert len(got) == sum(len(encode_model(t, ids, limit)) for t in TEXTS)
     for i, text in enumerate(TEXTS):
         want = encode_model(text, ids, limit)
-        assert got[i]["input_ids"] == want and got[i]["attention_mask"] == [1] * len(want)
-        assert texts[i] == " ".join(words[t] for t in want if t in words)
+        for k, window in enumerate(want):
+            assert got[i, k]["input_ids"] == window and got[i, k]["attention_mask"] == [1] * len(window)
+        assert texts[i] == " ".join(words[t] for window in want for t in window if t in words)
+        if size is None:
+            assert texts[i] == " ".join(PATTERN.findall(text))
 
 
 def test_pad_batches(corpus):
     vocab = tokens.vocabulary(corpus)
     encoded = tokens.encode(corpus, vocab)
-    rows = {r["id"]: r for r in tokens.pad_batches(tokens.batches(encoded, 2)).collect()}
-    plain = {r["id"]: r["input_ids"] for r in encoded.collect()}
-    for i, r in rows.items():
-        assert (r["batch"], r["slot"]) == (i // 2, i % 2)
-        longest = max(len(plain[i // 2 * 2]), len(plain[i // 2 * 2 + 1]))
-        gap = longest - len(plain[i])
-        assert r["input_ids"] == plain[i] + [tokens.PAD] * gap
-        assert r["attention_mask"] == [1] * len(plain[i]) + [0] * gap
+    rows = {(r["id"], r["window"]): r for r in tokens.pad_batches(tokens.batches(encoded, 2, ["id", "window"])).collect()}
+    plain = {(r["id"], r["window"]): r["input_ids"] for r in encoded.collect()}
+    order = sorted(plain)
+    for place, name in enumerate(order):
+        r = rows[name]
+        assert (r["batch"], r["slot"]) == (place // 2, place % 2)
+        longest = max(len(plain[n]) for n in order[place // 2 * 2 : place // 2 * 2 + 2])
+        gap = longest - len(plain[name])
+        assert r["input_ids"] == plain[name] + [tokens.PAD] * gap
+        assert r["attention_mask"] == [1] * len(plain[name]) + [0] * gap
 
 
 def test_token_stats(corpus):
@@ -73,8 +83,9 @@ def fitted(spark):
 
 
 def test_predict_save_load(spark, fitted, tmp_path):
-    asked = examples(spark).unionByName(
-        spark.createDataFrame([("n", "return bad / 0", "buggy"), ("n", "return good", "clean")], "name string, code string, expected string")
+    asked = spark.createDataFrame(
+        [("m", "def f(x):\n    return x[10]", "buggy"), ("n", "return bad / 0", "buggy"), ("n", "return good", "clean")],
+        "name string, code string, expected string",
     )
     got = model.predict(fitted, asked)
     assert got.columns == ["name", "code", "expected", "yhat", "score", "label"]
