@@ -9,7 +9,9 @@ find all multipliers at once; each step is one aggregation over the counts of (s
 
 Copies: rates are summed up in order of source, size and a hash, in integers, and a document's
 copies are the whole numbers its rate steps over. It gets its rate rounded up or down, and the
-rounding of a source adds up to the size of its largest document at most.
+rounding of a source adds up to the size of its largest document at most. What is left of a
+source's target is then made up, round by round, by one copy more or less of the document whose
+size comes nearest to it.
 
 Null or empty text: size zero, one copy. Null source: a source of its own, last in order. Null
 doc_id, repeated rows: each row is a document. Empty table: no rows. Other columns are ignored,
@@ -29,6 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1 << 24
 STEPS = 60
 CLOSE = 1e-7
+TOUCHES = 4
 
 
 def n_words(text: str = "text") -> Column:
@@ -130,10 +133,32 @@ def _copies(rows: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     )
     rated = keep(rated, "rated")
     order = ["source", "size", "_h", "_g"]
-    summed = running_sums(rated, order, {"_at": "_rate"})
+    summed = running_sums(rated, order, {"_at": "_rate", "_pos": F.lit(1)})
+    # A document without words has a rate of one, so it has one copy.
     copies = F.expr(f"(_at + _rate) div {UNIT} - _at div {UNIT}")
-    # A rate of zero size counts whole, so it neither gains nor loses a copy.
-    return summed.withColumn("copies", copies).drop("_at", "_rate")
+    mixed = keep(summed.withColumn("copies", copies).drop("_at", "_rate"), "rounded")
+    for _ in range(TOUCHES):
+        touches = keep(_touches(mixed, most), "touches")
+        if not touches.take(1):
+            break
+        changed = F.col("copies") + F.coalesce("_up", F.lit(0))
+        mixed = mixed.join(touches, "_pos", "left").withColumn("copies", changed).drop("_up")
+        mixed = keep(mixed.select("_pos", *rows.columns, "source_size", "target", "copies"), "touched")
+    return mixed.drop("_pos")
+
+
+def _touches(mixed: DataFrame, most: int) -> DataFrame:
+    """For each source one row, by ``_pos``, that brings its words nearer to the target with one
+    copy more or less (``_up``); none for a source that comes no nearer."""
+    taken = F.sum(F.col("size") * F.col("copies"))
+    left = mixed.groupBy("source").agg((F.max("target") - taken).alias("_left"))
+    left = keep(left.withColumnRenamed("source", "_source"), "left")
+    rows = mixed.join(left, F.col("source").eqNullSafe(F.col("_source")))
+    up = F.when(F.col("_left") > 0, 1).otherwise(-1).cast("long")
+    off = F.abs(F.col("_left") - up * F.col("size"))
+    can = (off < F.abs("_left")) & (F.col("copies") + up).between(0, most)
+    best = F.min(F.struct(off.alias("off"), "_h", "_g", "_pos", up.alias("_up"))).alias("best")
+    return rows.where(can).groupBy("source").agg(best).select("best._pos", "best._up")
 
 
 def _narrow(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
