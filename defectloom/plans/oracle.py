@@ -474,6 +474,29 @@ DETAIL_LINES = f"""SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
       ORDER BY list_position(['train', 'val', 'test', 'eval'], split)))) AS lines
     FROM wide) l) u"""
 
+BAND_LINES = f"""SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
+  SELECT unnest(lines) AS value, generate_subscripts(lines, 1) - 1 AS line_no FROM (
+    SELECT list_concat(list_concat(
+      list_concat([{RULE_1}, 'CODE LENGTH ANALYSIS', {RULE_1}], flatten(list(
+        ['', upper(split) || ':', printf('  Average length: %.0f characters', avg_length), printf('  Median length: %.0f characters', median_length),
+         '  Range: ' || min_length || ' - ' || max_length || ' characters', '  Length distribution:',
+         CASE WHEN avg_length < 500 THEN '    Short code (< 500 chars): Likely function-level snippets'
+              WHEN avg_length < 1000 THEN '    Medium code (500-1000 chars): Function or small module'
+              ELSE '    Long code (> 1000 chars): Module or file-level code' END]
+        ORDER BY list_position(['train', 'val', 'test', 'eval'], split)))),
+      ['', {RULE_1}, 'CLASS BALANCE ANALYSIS', {RULE_1}]), flatten(list(
+        ['', upper(split) || ':', printf('  Buggy ratio: %.1f', buggy_ratio * 100) || '%',
+         CASE WHEN buggy_ratio BETWEEN 0.45::DOUBLE AND 0.55::DOUBLE THEN '  Status: Well balanced'
+              WHEN buggy_ratio BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE THEN '  Status: Moderately balanced'
+              WHEN buggy_ratio BETWEEN 0.3::DOUBLE AND 0.7::DOUBLE THEN '  Status: Somewhat imbalanced'
+              ELSE '  Status: Highly imbalanced (consider class weights)' END]
+        ORDER BY list_position(['train', 'val', 'test', 'eval'], split)))) AS lines
+    FROM wide) l) u"""
+
+FIGURES = "'{\"samples\":' || samples" + "".join(
+    f" || ',\"{c}\":' || round({c}, 6)" for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "avg_confidence")
+) + """ || ',"buggy_samples":' || buggy_samples || ',"clean_samples":' || clean_samples || '}'"""
+
 PODIUM = "ORDER BY bugs DESC, name DESC LIMIT 3"
 PAGE_NAMES = "'Name | Bugs Data | Verified Bugs Data', '--- | --- | --- '"
 PAGE = f"""SELECT CAST(line_no AS INTEGER) AS line_no, value FROM (
@@ -530,6 +553,7 @@ SELECT split, samples, buggy, clean, CASE WHEN split = 'eval' THEN NULL ELSE pro
   round(avg_length, 6) AS avg_length FROM stats""",
     "stats_report_lines": f"WITH {STATS} {STAT_LINES}",
     "stats_detail_lines": f"WITH {WIDE} {DETAIL_LINES}",
+    "stats_band_lines": f"WITH {WIDE} {BAND_LINES}",
     "testcases_normalised": """SELECT p_partkey AS id,
   CASE p_size % 3 WHEN 0 THEN '[' || p_size || ']' WHEN 1 THEN '[' || p_size || ',"' || p_name || '"]'
        ELSE '["' || p_name || '"]' END AS input,
@@ -636,6 +660,10 @@ FROM base JOIN macro USING (project)""",
 SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n)::DOUBLE, 6) AS weight FROM c""",
     "evaluation_report": f"""WITH {PREDS}, {scope_rows()}, {metrics('scoped', 'section, name')}
 SELECT section, name, {METRIC_SELECT} FROM base JOIN macro USING (section, name)""",
+    "evaluation_document": f"""WITH {PREDS}, {scope_rows()}, {metrics('scoped', 'section, name')},
+said AS (SELECT section, name, {FIGURES} AS figures FROM base JOIN macro USING (section, name))
+SELECT '{{"test":' || max(figures) FILTER (section = 'test') || ',"held_out":' || max(figures) FILTER (section = 'held_out')
+  || ',"projects":{{' || string_agg('"' || name || '":' || figures, ',' ORDER BY name) FILTER (section = 'project') || '}}}}' AS value FROM said""",
     **{
         name: f"""WITH {LOGITS}, {probabilities(shift)}
 SELECT id, round(p0, 6) AS p_clean, round(p1, 6) AS p_buggy, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS yhat,

@@ -123,6 +123,11 @@ def stats_detail_lines(spark, sf):
     return reports.detail_report(profile.wide_statistics(split_samples(spark, sf)))
 
 
+@query
+def stats_band_lines(spark, sf):
+    return reports.band_report(profile.wide_statistics(split_samples(spark, sf)))
+
+
 @query
 def testcases_normalised(spark, sf):
     return test_cases.normalise_test_cases(B.test_case_lines(spark, sf))
@@ -380,6 +385,12 @@ def evaluation_report(spark, sf):
     return rounded(metrics.evaluation_report(split_preds(spark, sf)), *METRIC_COLUMNS)
 
 
+@query
+def evaluation_document(spark, sf):
+    report = rounded(metrics.evaluation_report(split_preds(spark, sf)), *METRIC_COLUMNS)
+    return reports.evaluation_document(report)
+
+
 @query
 def score_logits(spark, sf):
     return scored_logits(spark, sf, None)

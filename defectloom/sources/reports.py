@@ -8,7 +8,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from defectloom.functions.text import safe_ratio
+from defectloom.functions.text import balance_band, length_band, safe_ratio
 from defectloom.schema import SPLITS
 
 STATS = (
@@ -123,6 +123,79 @@ def detail_report(wide: DataFrame) -> DataFrame:
     )
 
 
+# What the report says about a band.
+LENGTH_LINES = {
+    "short": "    Short code (< 500 chars): Likely function-level snippets",
+    "medium": "    Medium code (500-1000 chars): Function or small module",
+    "long": "    Long code (> 1000 chars): Module or file-level code",
+}
+BALANCE_LINES = {
+    "well balanced": "  Status: Well balanced",
+    "moderately balanced": "  Status: Moderately balanced",
+    "somewhat imbalanced": "  Status: Somewhat imbalanced",
+    "highly imbalanced": "  Status: Highly imbalanced (consider class weights)",
+}
+
+
+def band_report(wide: DataFrame) -> DataFrame:
+    """The length and balance sections, split by split, as numbered lines of text."""
+
+    def worded(band, lines: dict):
+        said = F.when(F.lit(False), "")
+        for name, line in lines.items():
+            said = said.when(band == name, line)
+        return said
+
+    def whole(name):
+        return F.bround(name, 0).cast("long")
+
+    band = worded(length_band(F.col("avg_length")), LENGTH_LINES)
+    lengths = F.array(
+        F.lit(""),
+        F.concat(F.upper("split"), F.lit(":")),
+        F.format_string("  Average length: %d characters", whole("avg_length")),
+        F.format_string("  Median length: %d characters", whole("median_length")),
+        F.format_string("  Range: %d - %d characters", "min_length", "max_length"),
+        F.when(band.isNotNull(), "  Length distribution:"),
+        band,
+    )
+    balance = F.array(
+        F.lit(""),
+        F.concat(F.upper("split"), F.lit(":")),
+        F.format_string("  Buggy ratio: %.1f%%", F.col("buggy_ratio") * 100),
+        worded(balance_band(F.col("buggy_ratio")), BALANCE_LINES),
+    )
+    ordered = F.sort_array(
+        F.collect_list(F.struct(_split_place().alias("o"), lengths.alias("l"), balance.alias("b")))
+    )
+    gathered = wide.agg(ordered.alias("rows"))
+    lines = F.concat(
+        F.array(_rule("="), F.lit("CODE LENGTH ANALYSIS"), _rule("=")),
+        F.flatten("rows.l"),
+        F.array(F.lit(""), _rule("="), F.lit("CLASS BALANCE ANALYSIS"), _rule("=")),
+        F.flatten("rows.b"),
+    )
+    said = F.filter(lines, lambda line: line.isNotNull())
+    return gathered.select(F.posexplode(said).alias("line_no", "value"))
+
+
+def evaluation_document(report: DataFrame) -> DataFrame:
+    """The evaluation report as one JSON document: test, held-out rows and each test project.
+
+    One entry per project is gathered, as the document itself holds one.
+    """
+    figures = F.struct(*[c for c in report.columns if c not in ("section", "name")])
+    kept = report.select("section", "name", figures.alias("figures"))
+
+    def alone(section):
+        return F.max(F.when(F.col("section") == section, F.col("figures"))).alias(section)
+
+    project = F.when(F.col("section") == "project", F.struct("name", "figures"))
+    projects = F.map_from_entries(F.sort_array(F.collect_list(project))).alias("projects")
+    whole = kept.agg(alone("test"), alone("held_out"), projects)
+    return whole.select(F.to_json(F.struct("test", "held_out", "projects")).alias("value"))
+
+
 def leaderboard_page(
     title: str, all_time: DataFrame, week: DataFrame, totals: DataFrame
 ) -> DataFrame:
