@@ -1,5 +1,7 @@
 """SQL counterparts of the registered queries, in DuckDB's dialect."""
 
+from defectloom.llm.license_texts import NOTICES
+
 # Written out here and not shared with the operators, so that a wrong rule shows.
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -55,6 +57,138 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM judged
 """
 
+_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+_SUFFIXES = "'ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.uk'"
+
+
+def _level(name: str, source: str) -> str:
+    """Prior strength of a level: spread of its outcomes beyond chance, within bounds."""
+    return f"""{name}_strength AS (
+  SELECT 1 / least(0.5::DOUBLE, greatest(0.001::DOUBLE, coalesce(
+    sum((bad - n * prior) * (bad - n * prior) - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0),
+    0.001::DOUBLE))) - 1 AS s FROM {source})"""
+
+
+OP4 = f"""
+WITH parsed AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+split AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parsed),
+found AS (
+  SELECT page_id, {_LOWER.format('raw')} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split
+),
+counts AS (
+  SELECT host, count(*) AS n, sum(1 - quality) AS bad FROM found JOIN labels ON page_id = doc_id
+  WHERE quality IS NOT NULL GROUP BY host
+),
+named AS (
+  SELECT host, string_split(host, '.') AS parts, array_to_string(string_split(host, '.')[-2:], '.') AS two
+  FROM (SELECT DISTINCT host FROM found)
+),
+hosts AS (
+  SELECT host, CASE WHEN two IN ({_SUFFIXES}) THEN two ELSE parts[-1] END AS suffix,
+         CASE WHEN two IN ({_SUFFIXES}) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
+         coalesce(n, 0)::DOUBLE AS n, coalesce(bad, 0)::DOUBLE AS bad
+  FROM named LEFT JOIN counts USING (host)
+),
+suffixes AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS prior FROM hosts GROUP BY suffix
+),
+{_level('suffix', 'suffixes')},
+domains AS (
+  SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value((t.s * x.prior + x.bad) / (t.s + x.n)) AS prior
+  FROM hosts h JOIN suffixes x USING (suffix), suffix_strength t GROUP BY h.domain, h.suffix
+),
+{_level('domain', 'domains')},
+priors AS (
+  SELECT h.host, h.n, h.bad, (t.s * d.prior + d.bad) / (t.s + d.n) AS prior
+  FROM hosts h JOIN domains d USING (domain), domain_strength t
+),
+{_level('host', 'priors')},
+beta AS (SELECT host, t.s * prior + bad AS a, t.s * (1 - prior) + n - bad AS b FROM priors, host_strength t),
+bounds AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM beta),
+rules(rule_host, rule_path, verdict) AS (VALUES {', '.join(map(str, _RULES))}),
+fitting AS (
+  SELECT DISTINCT host, path, rule_host || rule_path AS rule, verdict FROM found, rules
+  WHERE (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+),
+longest AS (SELECT * FROM fitting QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM found LEFT JOIN longest USING (host, path) JOIN bounds USING (host)
+"""
+
+
+def _crc_table() -> list[int]:
+    """The CRC-32 of each byte, by the reflected polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+OP6 = f"""
+WITH crc_table AS (SELECT {_crc_table()}::BIGINT[] AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+b AS (
+  SELECT doc_id, strlen(text) + 8 AS size,
+         list_transform(regexp_extract_all(hex(text), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d
+),
+c AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(bytes, lambda crc, x:
+    xor(crc >> 8, t[(xor(crc, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM b, crc_table
+),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c
+),
+sharded AS (SELECT *, CAST(least(23, before * 24 // total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM sharded
+"""
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name in NOTICES for text in NOTICES[name])
+_PARTS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+OP5 = f"""
+WITH templates AS (
+  SELECT name, {_PAIRS} AS pairs FROM (SELECT name, {_PARTS.format('text')} AS w FROM (VALUES {_TEMPLATES}) AS v(name, text))
+),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+passages AS (
+  SELECT DISTINCT doc_id, passage FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS passage FROM d
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM d
+    UNION ALL SELECT doc_id, text FROM d)
+),
+cut AS (SELECT doc_id, passage, {_PARTS.format('passage')} AS w FROM passages),
+paired AS (SELECT doc_id, passage, {_PAIRS} AS pairs FROM cut WHERE len(w) > 1),
+scored AS (
+  SELECT doc_id, passage, name, 2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) AS score
+  FROM paired p JOIN templates t ON len(p.pairs) BETWEEN len(t.pairs) * 0.66 AND len(t.pairs) * 1.51
+),
+best AS (
+  SELECT * FROM scored WHERE score >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, passage ORDER BY score DESC, name) = 1
+),
+found AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS names, max(score) AS score FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(len(names), 0)::BIGINT AS n_licences, coalesce(array_to_string(names, ','), '') AS licences, score
+FROM d LEFT JOIN found USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op4_host_reputation": OP4,
+    "op5_licence_dice": OP5,
+    "op6_byte_shards": OP6,
     "op8_line_frequency": OP8,
 }
