@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from defectloom.llm.pretoken import Memo, Splitter, chunks, groups, read_spec
+from defectloom.llm.store import ship
 
 CHUNKS, WORDS, PAIRS = 300_000, 200_000, 400_000
 TRIE_WORDS = 20_000
@@ -253,6 +254,7 @@ def id_lists(encoded: list[bytes]) -> pa.ListArray:
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Add the ids of each whole text as ``array<int>``."""
+    ship(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     @F.arrow_udf("array<int>")

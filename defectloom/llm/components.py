@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from defectloom.llm.store import keep
+from defectloom.llm.store import keep, ship
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +50,7 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has two bigint columns without nulls; direction, repeats and loops don't matter.
     """
+    ship(links.sparkSession)
     links = keep(links.mapInArrow(_forests, "node long, root long"), "links")
     mark = _mark(links)
     while mark[0]:

@@ -53,7 +53,7 @@ judged AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND n_left >= 0.5 * n_words AS kept, CAST(n_left AS BIGINT) AS n_left
+       NOT base_failed AND n_left >= 0.3 * n_words AS kept, CAST(n_left AS BIGINT) AS n_left
 FROM judged
 """
 

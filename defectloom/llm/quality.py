@@ -16,14 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from defectloom.llm.store import keep, packed
+from defectloom.llm.store import keep, packed, ship
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_SHARE = 0.1
 MIN_DOCS = 20
-MIN_LEFT = 0.5
+MIN_LEFT = 0.3
 # The characters that count as symbols, and those that part words.
 SYMBOLS = b"#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -114,6 +114,7 @@ def base_failed() -> Column:
 
 def _judged(docs, key, host, text, max_share, min_docs, min_left) -> tuple[DataFrame, DataFrame]:
     """The measures of each row with its verdict, and the lines removed from each document."""
+    ship(docs.sparkSession)
     measured = docs.select(
         F.col(key).alias("doc_id"), F.col(host).alias("host"), _own_key(host, text).alias("own"),
         _measured(text, host).alias("m"),

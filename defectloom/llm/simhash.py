@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from defectloom.llm.components import components, link_batch
-from defectloom.llm.store import keep, packed, row_marks
+from defectloom.llm.store import keep, packed, row_marks, ship
 
 SHINGLE = 3
 SEED = 42
@@ -54,6 +54,7 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, columns: list, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``columns`` and the fingerprint ``fp`` of each text."""
+    ship(docs.sparkSession)
 
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
@@ -133,6 +134,7 @@ def _build(batches):
 
 def near_prints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (node, root) that join all distinct fingerprints ``fp`` within ``max_bits`` bits."""
+    ship(prints.sparkSession)
     blocks = max_bits + 1
     rows = prints.count()
     cuts = [64 * k // blocks for k in range(blocks + 1)]

@@ -1,13 +1,35 @@
-"""Tables that a job writes to the shared folder and reads back.
+"""Tables that a job writes to the shared folder and reads back, and the code that tasks import.
 
 Writing cuts the lineage: a lost executor costs the tasks of one step, not the steps before it.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+import os
+import tempfile
+import zipfile
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+import defectloom
 from defectloom.workspace import work_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that tasks can import it."""
+    context = spark.sparkContext
+    folder = os.path.dirname(os.path.abspath(defectloom.__file__))
+    if getattr(context, "_defectloom_sent", False) or not os.path.isdir(folder):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="defectloom-"), "defectloom_package.zip")
+    with zipfile.ZipFile(path, "w") as package:
+        for base, _, names in os.walk(folder):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(base, name)
+                    package.write(whole, os.path.relpath(whole, os.path.dirname(folder)))
+    context.addPyFile(path)
+    context._defectloom_sent = True
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table below the session's shared folder."""
     path = f"{work_dir(df.sparkSession)}/{label}"

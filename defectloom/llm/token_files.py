@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from defectloom.llm.prefix import order_ranges
 from defectloom.llm.pretoken import Memo, Splitter, chunks, groups, read_spec
+from defectloom.llm.store import ship
 
 END_ID = 1
 MAGIC = b"TOKPACK1"
@@ -176,6 +177,7 @@ def write_tokens(
 ) -> None:
     """Encode every text, add ``end_id`` and write the ids in ascending order of the keys."""
     spark = docs.sparkSession
+    ship(spark)
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
     size = max(LibraryEncoder(spec.value).splitter.library.get_vocab_size(), end_id + 1)
     width = 2 if size <= 1 << 16 else 4
@@ -256,6 +258,7 @@ def _unpacker(words: bytes):
 
 
 def _records(spark: SparkSession, path: str, packs: DataFrame, wanted=None) -> DataFrame:
+    ship(spark)
     digest, words = _dictionary(spark, path)
 
     def unpack(batches):

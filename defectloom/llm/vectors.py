@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from defectloom.llm.components import components, forest
-from defectloom.llm.store import keep
+from defectloom.llm.store import keep, ship
 
 THRESHOLD = 0.95
 RECALL = 0.995
@@ -172,6 +172,7 @@ def _links_of_length(vectors: DataFrame, length: int, threshold: float, recall:
     """(kind, a, b) for distinct ``vectors`` of one length: kind 0 says that node a has b links,
     kind 1 links a with b in a forest."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.count()
     place = F.xxhash64("vector").bitwiseAND((1 << 62) - 1) / float(1 << 62)
     drawn = vectors.where(place * rows < SAMPLE).select("vector").orderBy(F.xxhash64("vector", F.lit(1)))
