@@ -22,14 +22,15 @@ def order_ranges(df: DataFrame, order: list[str]):
     rows = df.count()
     ranges = min(MAX_RANGES, max(MIN_RANGES, rows // ROWS_PER_RANGE))
     place = F.xxhash64(*order).bitwiseAND(HASH_SPAN - 1) / F.lit(float(HASH_SPAN))
-    sample = df.select(*order).where(place * max(rows, 1) < ranges * PER_RANGE)
+    # A key counts once, however many rows have it.
+    sample = df.select(*order).where(place * max(rows, 1) < ranges * PER_RANGE).distinct()
     nth = f"filter(sort_array(collect_list(struct(*))), (k, i) -> i % {PER_RANGE} = {PER_RANGE - 1})"
     cuts = sample.agg(F.expr(nth)).scalar()
     key = f"struct({', '.join(f'`{n}`' for n in order)})"
 
     def ranged(table: DataFrame) -> DataFrame:
-        # A repeated key may enter the sample many times, hence the wide bound of the search.
-        found = count_at_most("_cuts", key, 64 * ranges)
+        # The sample is binomial around PER_RANGE keys per range: far below four times as many.
+        found = count_at_most("_cuts", key, 4 * ranges)
         return table.withColumn("_cuts", cuts).select(*table.columns, found.alias("_range"))
 
     return ranged
