@@ -12,8 +12,16 @@ from defectloom.operators.positions import with_position
 from defectloom.workspace import work_dir
 
 
+TOLERANCE = 1e-6
+
+
+def ratios_fit(train, val, test) -> Column:
+    """Whether three ratio columns sum to one."""
+    return F.abs(train + val + test - 1.0) <= TOLERANCE
+
+
 def check_ratios(train: float, val: float, test: float) -> None:
-    if abs(train + val + test - 1.0) > 1e-6:
+    if abs(train + val + test - 1.0) > TOLERANCE:
         raise ValueError(f"ratios must sum to 1.0, got {train + val + test}")
 
 

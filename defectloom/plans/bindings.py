@@ -200,6 +200,17 @@ def test_case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(key.alias("id"), line.alias("value"))
 
 
+def ratio_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as split settings, some of whose ratios sum to one."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("id"),
+        ((key % 3 + 6) / 10).alias("train"),
+        ((nation % 3 + 1) / 10).alias("val"),
+        F.lit(0.2).alias("test"),
+    )
+
+
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part rows as runs of test programs."""
     # A few program names, some of them with graph inputs.

@@ -623,6 +623,7 @@ SELECT id, batch_id FROM batched QUALIFY count(*) OVER (PARTITION BY batch_id) <
 SELECT s.id, project, p.split FROM samples s JOIN project_split p USING (project)""",
     "project_split_seeded": f"""WITH {SAMPLES}, {project_split('true', f"md5(project || '|{SEED}'), project", 0.7, 0.1)}
 SELECT s.id, project, p.split FROM samples s JOIN project_split p USING (project)""",
+    "ratio_check": """SELECT s_suppkey AS id, (s_suppkey % 3 + 6) + (s_nationkey % 3 + 1) + 2 = 10 AS ok FROM supplier""",
     "split_stats": f"""WITH {STATS}
 SELECT split, samples, buggy, clean, projects, round(avg_length, 6) AS avg_length, round(buggy_ratio, 6) AS buggy_ratio FROM stats""",
     "length_profile": """SELECT lang AS split, count(*) AS samples, round(avg(length(text)), 6) AS avg_length,

@@ -277,6 +277,12 @@ def project_split_seeded(spark, sf):
     return splits.seeded_split(B.samples(spark, sf), seed=SEED).select("id", "project", "split")
 
 
+@query
+def ratio_check(spark, sf):
+    ok = splits.ratios_fit(F.col("train"), F.col("val"), F.col("test"))
+    return B.ratio_settings(spark, sf).select("id", ok.alias("ok"))
+
+
 # Profiles
 
 
