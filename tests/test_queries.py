@@ -55,7 +55,7 @@ def test_columns_are_pruned_and_filters_pushed(spark, sf_dir):
 def test_batches_are_counted_before_the_shuffle(spark, sf_dir):
     plan = QUERIES["accepted_batches"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
-    assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("partial_count")
+    assert "partial_count" in plan[plan.rindex("Exchange") :]
 
 
 def test_no_global_sort_of_data_rows(spark, sf_dir):
