@@ -10,7 +10,7 @@ cell is verified by the cosine in double precision. A pair is looked at if eithe
 other's cell.
 
 Equal vectors are one in the index, with their number. Cells are cut into tiles of bounded size.
-The vectors of a tile that visit a cell travel as one row, which meets the cell's tiles one by
+A task gathers the vectors that visit a cell into packs, and a pack meets the cell's tiles one by
 one; out come numbers of links and a forest of links, never the pairs.
 
 Null or empty vectors, zero vectors and those with null or non-finite components have no links.
@@ -121,30 +121,37 @@ class MultiIndex:
             cells.append(code * self.width + order[some, rank])
         return np.concatenate(who), np.concatenate(cells)
 
-    def visited(self, vectors: np.ndarray, cell: int) -> np.ndarray:
-        """Which of the vectors visit the cell."""
-        one, two = self.bounds(vectors)
-        return one[:, cell // self.width] + two[:, cell % self.width] <= self.stop
+    def visited(self, vectors: np.ndarray, home: int, cells: np.ndarray) -> np.ndarray:
+        """Whether each vector, at home in one cell, visits the cell beside it."""
+        bound = np.zeros(len(vectors))
+        places = (cells // self.width, cells % self.width)
+        homes = (home // self.width, home % self.width)
+        for part, codes, between, to, own in zip(self._halves(vectors), self.codes, self.between, places, homes):
+            further = ((part - codes[to]) ** 2).sum(1) - ((part - codes[own]) ** 2).sum(1)
+            gap = between[own, to]
+            way = np.maximum(further, 0) / np.where(gap > 0, 2 * gap, np.inf)
+            bound += way * way
+        return bound <= self.stop
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
 
 
-PACK = "cell long, tile int, own long, nodes binary, copies binary, vectors binary"
+TILES = "cell long, tile int, nodes binary, copies binary, vectors binary"
+PACKS = "cell long, tile int, homes binary, nodes binary, copies binary, vectors binary"
+# Vectors that a task gathers by visited cell before it sends them on.
+GATHERED = 1 << 17
 
 
-def _packed(cell, tile, own, nodes, copies, vectors) -> dict:
-    return {
-        "cell": int(cell), "tile": int(tile), "own": int(own), "nodes": nodes.tobytes(),
-        "copies": copies.tobytes(), "vectors": np.ascontiguousarray(vectors).tobytes(),
-    }
+def _batch(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [part.split() for part in schema.split(", ")]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(name, types[kind]) for name, kind in fields]))
 
 
-_PACK_TYPE = pa.schema(
-    [("cell", pa.int64()), ("tile", pa.int32()), ("own", pa.int64())]
-    + [(n, pa.binary()) for n in ("nodes", "copies", "vectors")]
-)
+def _packed(cell, tile, **arrays) -> dict:
+    return {"cell": int(cell), "tile": int(tile)} | {n: np.ascontiguousarray(a).tobytes() for n, a in arrays.items()}
 
 
 def _by_tile(batches, length: int):
@@ -199,57 +206,69 @@ def _links_of_length(vectors: DataFrame, length: int, threshold: float, recall:
 
     def members(batches):
         for cell, tile, nodes, copies, own in _by_tile(batches, length):
-            yield pa.RecordBatch.from_pylist([_packed(cell, tile, cell, nodes, copies, own.astype(kind))], _PACK_TYPE)
+            yield _batch(TILES, [_packed(cell, tile, nodes=nodes, copies=copies, vectors=own.astype(kind))])
 
     def visitors(batches):
+        held: dict[int, list] = {}
+        size = 0
+
+        def sent():
+            rows = []
+            for target, parts in held.items():
+                homes, nodes, copies, own = (np.concatenate(p) for p in zip(*parts))
+                for k in range(0, len(nodes), TILE):
+                    some = slice(k, k + TILE)
+                    arrays = {"homes": homes[some], "nodes": nodes[some], "copies": copies[some], "vectors": own[some]}
+                    rows += [_packed(target, tile, **arrays) for tile in range(tiles.value.get(target, 1))]
+                    if len(rows) >= 32:
+                        yield _batch(PACKS, rows)
+                        rows = []
+            if rows:
+                yield _batch(PACKS, rows)
+
         for cell, _, nodes, copies, own in _by_tile(batches, length):
             who, targets = index.value.visits(unit(own))
             order = np.argsort(targets, kind="stable")
             who, targets = who[order], targets[order]
             cuts = np.nonzero(np.diff(targets))[0] + 1
-            rows = []
             for a, b in zip([0, *cuts], [*cuts, len(targets)]):
-                some, target = who[a:b], int(targets[a])
-                for tile in range(tiles.value.get(target, 1)):
-                    rows.append(_packed(target, tile, cell, nodes[some], copies[some], own[some].astype(kind)))
-                if len(rows) >= 64:
-                    yield pa.RecordBatch.from_pylist(rows, _PACK_TYPE)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _PACK_TYPE)
-
-    filed_tiles = keep(sorted_.mapInArrow(members, PACK), "tiles")
-    visiting = keep(sorted_.mapInArrow(visitors, PACK), "visitors")
+                some = who[a:b]
+                homes = np.full(len(some), cell, np.int64)
+                held.setdefault(int(targets[a]), []).append((homes, nodes[some], copies[some], own[some].astype(kind)))
+            size += len(who)
+            if size > GATHERED:
+                yield from sent()
+                held, size = {}, 0
+        yield from sent()
+
+    filed_tiles = keep(sorted_.mapInArrow(members, TILES), "tiles")
+    visiting = keep(sorted_.mapInArrow(visitors, PACKS), "visitors")
     theirs = filed_tiles.select("cell", "tile", *[F.col(c).alias(f"_{c}") for c in ("nodes", "copies", "vectors")])
 
+    def links_of(row: dict) -> tuple:
+        x, y = (unit(np.frombuffer(row[c], kind).reshape(-1, length)) for c in ("vectors", "_vectors"))
+        a, b = (np.frombuffer(row[c], np.int64) for c in ("nodes", "_nodes"))
+        i, j = np.nonzero(x @ y.T >= threshold)
+        home = np.frombuffer(row["homes"], np.int64)[i]
+        # At home each of two vectors finds the other, and itself.
+        stays = a[i] != b[j]
+        later = np.nonzero(home > row["cell"])[0]
+        # Who visits the other's home has met it there.
+        stays[later] = ~index.value.visited(y[j[later]], row["cell"], home[later])
+        i, j, home = i[stays], j[stays], home[stays]
+        ours, theirs = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        np.add.at(ours, i, np.frombuffer(row["_copies"], np.int64)[j])
+        away = home != row["cell"]
+        np.add.at(theirs, j[away], np.frombuffer(row["copies"], np.int64)[i[away]])
+        node, root = forest(a[i], b[j])
+        parts = [(0, a[ours > 0], ours[ours > 0]), (0, b[theirs > 0], theirs[theirs > 0]), (1, node, root)]
+        return tuple(np.concatenate(c) for c in zip(*[(np.full(len(n), k, np.int32), n, v) for k, n, v in parts]))
+
     def compare(batches):
         for batch in batches:
-            out = [[], [], []]
-            for row in batch.to_pylist():
-                x, y = (unit(np.frombuffer(row[c], kind).reshape(-1, length)) for c in ("vectors", "_vectors"))
-                a, b = (np.frombuffer(row[c], np.int64) for c in ("nodes", "_nodes"))
-                near = x @ y.T >= threshold
-                if row["own"] > row["cell"]:
-                    # Who visits our cell has met us there.
-                    near &= ~index.value.visited(y, row["own"])[None]
-                elif row["own"] == row["cell"]:
-                    near &= a[:, None] != b[None]
-                ours = near @ np.frombuffer(row["_copies"], np.int64)
-                results = [(a, ours)]
-                if row["own"] != row["cell"]:
-                    results.append((b, np.frombuffer(row["copies"], np.int64) @ near))
-                for nodes, links in results:
-                    some = links > 0
-                    out[0].append(np.zeros(some.sum(), np.int32))
-                    out[1].append(nodes[some])
-                    out[2].append(links[some])
-                i, j = np.nonzero(near)
-                node, root = forest(a[i], b[j])
-                out[0].append(np.ones(len(node), np.int32))
-                out[1].append(node)
-                out[2].append(root)
-            if out[0]:
-                columns = [pa.array(np.concatenate(o)) for o in out]
+            found = [links_of({c: batch.column(c)[k].as_py() for c in batch.schema.names}) for k in range(batch.num_rows)]
+            if found:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays(columns, ["kind", "a", "b"])
 
     return visiting.join(theirs, ["cell", "tile"]).mapInArrow(compare, "kind int, a long, b long")
