@@ -2,9 +2,10 @@
 
 A line's normal form (ASCII lower case, white space runs as one blank) is hashed with 128 bits.
 For each host the distinct documents with a line are counted; documents with the same text are
-one document here, so copies alone make no line common. A line is removed where more than
-``max_share`` of the host's documents, and at least ``min_docs``, have it. A document that fails
-a base rule, or keeps less than ``min_left`` of its words, is rejected.
+one document here, so copies alone make no line common. A line is removed where ``max_docs`` of
+the host's documents have it, a number that does not grow with the host; in smaller hosts also
+where at least ``min_docs`` and more than ``max_share`` of them have it. A document that fails a
+base rule, or keeps less than ``min_left`` of its words, is rejected.
 
 Null or empty text: no words, so it fails the base rule. Null source: a host of its own. Null
 doc_id, repeated rows: each row has its own verdict, which depends on host and text alone. Empty
@@ -23,6 +24,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_SHARE = 0.1
 MIN_DOCS = 20
+MAX_DOCS = 20
 MIN_LEFT = 0.3
 # The characters that count as symbols, and those that part words.
 SYMBOLS = b"#*$%&|<>"
@@ -112,7 +114,7 @@ def base_failed() -> Column:
     )
 
 
-def _judged(docs, key, host, text, max_share, min_docs, min_left) -> tuple[DataFrame, DataFrame]:
+def _judged(docs, key, host, text, max_share, min_docs, min_left, max_docs) -> tuple[DataFrame, DataFrame]:
     """The measures of each row with its verdict, and the lines removed from each document."""
     ship(docs.sparkSession)
     measured = docs.select(
@@ -127,10 +129,12 @@ def _judged(docs, key, host, text, max_share, min_docs, min_left) -> tuple[DataF
     distinct = keep(distinct, "distinct")
     hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     counted = distinct.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-    counted = counted.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    counted = counted.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.where(F.col("n") >= min(min_docs, max_docs))
     hosts = hosts.withColumnRenamed("host", "_host")
     common = counted.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-    common = keep(common.where(F.col("n") > max_share * F.col("docs")).select("line"), "common")
+    of_small = (F.col("n") >= min_docs) & (F.col("n") > max_share * F.col("docs"))
+    common = keep(common.where((F.col("n") >= max_docs) | of_small).select("line"), "common")
     lines = distinct.select("own", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     lines = lines.select("own", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     removed = lines.join(common, "line").groupBy("own").agg(
@@ -152,9 +156,10 @@ def quality(
     max_share: float = MAX_SHARE,
     min_docs: int = MIN_DOCS,
     min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """One row per document: its counts, the words left without common lines, the verdict."""
-    return _judged(docs, key, host, text, max_share, min_docs, min_left)[0].drop("own")
+    return _judged(docs, key, host, text, max_share, min_docs, min_left, max_docs)[0].drop("own")
 
 
 def keep_good(
@@ -165,9 +170,10 @@ def keep_good(
     max_share: float = MAX_SHARE,
     min_docs: int = MIN_DOCS,
     min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """The documents that pass, without their common lines; the other columns as they are."""
-    judged, removed = _judged(docs, key, host, text, max_share, min_docs, min_left)
+    judged, removed = _judged(docs, key, host, text, max_share, min_docs, min_left, max_docs)
     good = judged.where("kept").select("own").distinct().join(removed.drop("lost"), "own", "left")
     good = keep(good.select("own", "removed"), "good")
 

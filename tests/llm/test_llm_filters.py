@@ -109,6 +109,19 @@ def test_copies_alone_make_no_line_common(spark):
     assert quality.keep_good(docs).count() == 50
 
 
+def test_a_line_is_common_at_the_same_number_of_documents_in_any_host(spark):
+    rng = random.Random(9)
+    rows = []
+    for host, size in (("small", 60), ("large", 400)):
+        for k in range(size):
+            shared = ["shared by twenty five of the documents"] * (k < 25) + ["shared by only nineteen"] * (k < 19)
+            rows.append((len(rows), "\n".join([words(rng, 40, 10_000), *shared]), "en", host, 0))
+    got = {r.doc_id: r.text for r in quality.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    assert not any("twenty five" in t for t in got.values())
+    assert sum("nineteen" in t for t in got.values()) == 38
+
+
 def brute_simhash(text):
     own = WORD.findall((text or "").translate(ASCII_LOWER))
     shingles = [" ".join(own[k : k + 3]) for k in range(max(1, len(own) - 2))] if own else []
