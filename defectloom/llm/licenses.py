@@ -1,4 +1,4 @@
-"""Licences of documents: passages compared with templates by Dice over word bigrams.
+"""Licences of documents: passages and windows compared with templates by Dice over word bigrams.
 
 Passages are the lines of a text, its paragraphs and the whole text. Letters and digits count,
 in lower case; everything else parts words. A passage and a template are alike by
@@ -7,6 +7,14 @@ smaller set has least / (2 - least) of the larger one's size, so other templates
 A licence is found if a passage reaches ``least`` with one of its templates, and of several
 licences for a passage the most alike, by name on a tie.
 
+A notice may also be part of a line or run over paragraphs. So windows of the whole text are
+compared with each template of which the text holds the least / (2 - least) of the bigrams that
+any match needs. A window that starts or ends beside a bigram of the template is no more alike
+than the one that takes it in, so windows run from the start of one run of the template's bigrams
+to the end of the same or a later one, up to twice the upper size bound in words. Of overlapping
+windows the most alike counts, by name on a tie. The score is the best passage's; only a text
+without a passage has the best window's.
+
 Everything happens inside a row, with column functions; no row moves. Null or empty text: no
 licence. Null doc_id, repeated rows: each row has its own result. Empty table: no rows. Other
 columns are ignored.
@@ -18,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.functions.bind import bind
 from defectloom.llm.license_texts import NOTICES
+from defectloom.llm.pii import prefix_sums
 
 LEAST = 0.8
 # Fixed value: what parts words.
@@ -29,12 +38,16 @@ def _words(passage: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(passage), BETWEEN, " ")), " ")
 
 
-def _bigrams(words: Column) -> Column:
-    """The distinct bigrams, each as a 64-bit hash."""
-    pairs = F.transform(
+def _pairs(words: Column) -> Column:
+    """All bigrams in their order, each as a 64-bit hash."""
+    return F.transform(
         F.slice(words, F.lit(1), F.size(words) - 1), lambda w, i: F.xxhash64(w, F.get(words, i + 1))
     )
-    return F.array_distinct(pairs)
+
+
+def _bigrams(words: Column) -> Column:
+    """The distinct bigrams."""
+    return F.array_distinct(_pairs(words))
 
 
 def _templates(notices: dict[str, list[str]]) -> list[tuple[str, int, Column]]:
@@ -81,6 +94,78 @@ def passages(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, F.split(text, PARAGRAPHS), F.array(text)))
 
 
+WINDOW = "struct<score: double, rank: int, start: int, end: int, name: string>"
+
+
+def _windows(pairs: Column, template: Column, least: float) -> Column:
+    """The windows of a text's bigrams that reach ``least`` with a template."""
+    n, own = template["n"], template["own"]
+
+    def of_runs(hit: Column, before: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(hit) - 1)
+        at = lambda i: F.coalesce(F.get(hit, i), F.lit(0)) == 1
+        starts = F.filter(places, lambda i: at(i) & ~at(i - 1))
+        ends = F.filter(places, lambda i: at(i) & ~at(i + 1))
+
+        def scored(start: Column, end: Column) -> Column:
+            window = F.array_distinct(F.slice(pairs, start + 1, end - start + 1))
+            score = lambda w: 2.0 * F.size(F.array_intersect(w, own)) / (F.size(w) + n)
+            return F.struct(
+                bind(window, score).alias("score"), template["rank"].alias("rank"), start.alias("start"),
+                end.alias("end"), template["name"].alias("name"),
+            )
+
+        def of_start(ends: Column, start: Column, i: Column) -> Column:
+            # Each run but the last has a gap after it.
+            later = F.filter(
+                F.slice(ends, i + 1, (template["reach"] / 2).cast("int") + 1),
+                lambda e, k: ((k == 0) | (e - start < template["reach"]))
+                & (F.get(before, e) - F.get(before, start) + 1 >= template["need"]),
+            )
+            return F.transform(later, lambda e: scored(start, e))
+
+        return bind(ends, lambda e: F.flatten(F.transform(starts, lambda start, i: of_start(e, start, i))))
+
+    hits = F.transform(pairs, lambda h: F.array_contains(own, h).cast("int"))
+    windows = bind(hits, lambda hit: bind(prefix_sums(hit), lambda before: of_runs(hit, before)))
+    return F.filter(windows, lambda w: w["score"] >= least)
+
+
+def window_licences(text: Column, notices: dict[str, list[str]] = NOTICES, least: float = LEAST) -> Column:
+    """The windows of a text that are licences, the most alike first."""
+    share = least / (2 - least)
+    templates, known = [], []
+    texts = [text for name in sorted(notices) for text in notices[name]]
+    for rank, ((name, n, own), text_of) in enumerate(zip(_templates(notices), texts)):
+        length = len(re.findall(r"[^\W_]+", text_of.lower()))
+        known.append(own)
+        templates.append(F.struct(
+            F.lit(name).alias("name"), F.lit(-rank).alias("rank"), F.lit(n).alias("n"),
+            F.lit(n * share - 1e-9).alias("need"), F.lit(int(2 * length / share) + 1).alias("reach"), own.alias("own"),
+        ))
+    known = F.array_distinct(F.flatten(F.array(*known)))
+    none = F.array().cast(f"array<{WINDOW}>")
+
+    def possible(pairs: Column) -> Column:
+        return bind(
+            F.array_intersect(pairs, known),
+            lambda held: F.filter(F.array(*templates), lambda t: F.size(F.array_intersect(t["own"], held)) >= t["need"]),
+        )
+
+    def search(pairs: Column, found: Column) -> Column:
+        every = F.flatten(F.transform(found, lambda t: _windows(pairs, t, least)))
+        apart = lambda a, w: (a["end"] < w["start"]) | (w["end"] < a["start"])
+        return F.aggregate(
+            F.reverse(F.array_sort(every)), none,
+            lambda acc, w: F.when(F.forall(acc, lambda a: apart(a, w)), F.concat(acc, F.array(w))).otherwise(acc),
+        )
+
+    def of_pairs(pairs: Column) -> Column:
+        return bind(possible(pairs), lambda found: F.when(F.size(found) > 0, search(pairs, found)).otherwise(none))
+
+    return bind(_words(text), lambda words: F.when(F.size(words) > 1, bind(_pairs(words), of_pairs)).otherwise(none))
+
+
 def scan_licences(
     docs: DataFrame,
     key: str = "doc_id",
@@ -91,6 +176,12 @@ def scan_licences(
     """One row per document: ``doc_id``, the names found, in order, and the best ``score``."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = F.transform(passages(F.col("text")), lambda p: licence_scores(p, notices, least))
-    rows = rows.withColumn("found", F.filter(found, lambda f: f.isNotNull()))
-    names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["name"])))
-    return rows.select("doc_id", names.alias("licences"), F.array_max(F.transform("found", lambda f: f["score"])).alias("score"))
+    rows = rows.withColumns(
+        {
+            "found": F.filter(found, lambda f: f.isNotNull()),
+            "windows": window_licences(F.col("text"), notices, least),
+        }
+    )
+    names = F.concat(F.transform("found", lambda f: f["name"]), F.transform("windows", lambda w: w["name"]))
+    score = F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.get("windows", F.lit(0))["score"])
+    return rows.select("doc_id", F.array_sort(F.array_distinct(names)).alias("licences"), score.alias("score"))

@@ -336,6 +336,29 @@ def test_licences(spark, rows):
         assert (r.licences, r.score) == (names, pytest.approx(best) if best else None), texts[r.doc_id]
 
 
+def test_licences_in_lines_and_over_paragraphs(spark):
+    rng = random.Random(12)
+    mit, gpl = licenses.NOTICES["MIT"][2], licenses.NOTICES["GPL-3.0"][2]
+    more = "\n\n" + words(rng, 120)
+    texts = {
+        "Foo is copyright 2020 Jane Doe and licensed under the MIT License.": ["MIT"],
+        "all of it licensed under the Apache License, Version 2.0, see the LICENSE file in the root": ["Apache-2.0"],
+        mit.replace(": The", ":\n\nThe").replace('. THE', '.\n\nTHE') + more: ["MIT"],
+        gpl.replace(". This", ".\n\nThis").replace(". You", ".\n\nYou") + more: ["GPL-3.0"],
+        "both " + mit + " and also x y " + gpl + " end" + more: ["GPL-3.0", "MIT"],
+        "code of ours, licensed under the GNU Lesser General Public License, version 3, as ever": ["LGPL-3.0"],
+        "the text of this, licensed under CC BY-NC 4.0, and more of it": ["CC-BY-NC-4.0"],
+        mit.replace(" or ", " and/or else ") + more: ["MIT"],
+        "permission is hereby granted to use the software under the terms of the people": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licences(docs).collect()}
+    for k, (text, names) in enumerate(texts.items()):
+        assert got[k].licences == names, text
+        assert (got[k].score is not None) == bool(names)
+    assert got[0].score == got[2].score == got[3].score == 1
+
+
 def test_empty_tables(no_docs):
     assert quality.quality(no_docs).count() == 0
     assert quality.keep_good(no_docs).count() == 0
