@@ -163,7 +163,7 @@ def _touches(mixed: DataFrame, most: int) -> DataFrame:
 
 def _narrow(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
     rows = packed(docs, doc_id=key, source=source, text=text)
-    return keep(rows.select("doc_id", "source", n_words("text").alias("size"), *row_marks()), "rows")
+    return keep(rows.select("doc_id", "source", n_words("text").alias("size"), *row_marks(docs)), "rows")
 
 
 def mixture(
@@ -191,5 +191,5 @@ def mix(
     mixed = _copies(_narrow(docs, key, source, text), weights, most)
     # Equal rows are one here, with the copies of all of them.
     times = keep(mixed.groupBy("_h", "_g").agg(F.sum("copies").alias("_times")).where("_times > 0"), "times")
-    rows = packed(docs).select("row", *row_marks()).dropDuplicates(["_h", "_g"]).join(times, ["_h", "_g"])
+    rows = packed(docs).select("row", *row_marks(docs)).dropDuplicates(["_h", "_g"]).join(times, ["_h", "_g"])
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

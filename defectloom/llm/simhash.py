@@ -197,12 +197,12 @@ def drop_near_copies(
     without any id keeps one row.
     """
     rows = packed(docs, doc_id=key, text=text)
-    prints = keep(fingerprints(rows, ["doc_id", *row_marks()], "text", shingle), "prints")
+    prints = keep(fingerprints(rows, ["doc_id", *row_marks(docs)], "text", shingle), "prints")
     rooted = _rooted(prints, max_bits)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h", "_g")
     # Smallest row per fingerprint first, then per component.
     first = keep(prints.groupBy("fp").agg(F.min(row).alias("row")), "first")
     best = first.join(rooted, "fp").groupBy("root").agg(F.min("row").alias("row"))
     best = keep(best.select("row._h", "row._g"), "best")
-    kept = rows.select("row", *row_marks()).join(best, ["_h", "_g"], "left_semi")
+    kept = rows.select("row", *row_marks(docs)).join(best, ["_h", "_g"], "left_semi")
     return kept.dropDuplicates(["_h", "_g"]).select("row.*")

@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 import defectloom
 from defectloom.workspace import work_dir
@@ -46,6 +47,22 @@ def packed(df: DataFrame, **own: str) -> DataFrame:
     return df.select(row, *[F.col(f"`{n}`").alias(name) for name, n in own.items()])
 
 
-def row_marks() -> list[Column]:
-    """Two hashes of a packed row, which together name it: equal rows have equal marks."""
-    return [F.xxhash64("row").alias("_h"), F.xxhash64(F.lit(1), "row").alias("_g")]
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two hashes of a packed row of ``df``, which together name it: equal rows have equal marks.
+
+    The hash skips nulls, so rows that hold some are marked by their places as well.
+    """
+    row = F.col("row")
+    holds, places = F.lit(False), []
+    for field in df.schema.fields:
+        own = row.getField(field.name)
+        if isinstance(field.dataType, (ArrayType, StructType)):
+            # Nulls may lie deeper here.
+            text = F.to_json(F.struct(own.alias("v")), {"ignoreNullFields": "false"})
+            holds = holds | F.contains(text, F.lit("null"))
+            places.append(text)
+        else:
+            holds = holds | own.isNull()
+            places.append(F.when(own.isNull(), "1").otherwise("0"))
+    nulls = F.when(holds, F.concat(*places))
+    return [F.xxhash64("row", nulls).alias("_h"), F.xxhash64(F.lit(1), "row", nulls).alias("_g")]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from defectloom.llm import mixing, sharding, urls, vectors
 from defectloom.llm.prefix import running_sums
+from defectloom.llm.store import packed, row_marks
 from tests.llm.conftest import SCHEMA
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,6 +131,19 @@ def test_mixed_rows(docs, rows):
     assert got == +want
 
 
+def test_rows_that_differ_in_which_column_is_null_stay_apart(spark):
+    rows = [(1, "some words here", "web", None, 5), (1, "some words here", None, "web", 5)]
+    lists = [(2, [None, "a"]), (2, ["a", None]), (2, ["a"]), (2, None)]
+    for df in (spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(lists, "k long, v array<string>")):
+        marks = [tuple(r) for r in packed(df).select(*row_marks(df)).collect()]
+        assert len(set(marks)) == len(marks)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = Counter()
+    for r in mixing._copies(mixing._narrow(docs, "doc_id", "source", "text"), mixing.WEIGHTS, mixing.MOST).collect():
+        want[r.source] += r.copies
+    assert Counter(r.source for r in mixing.mix(docs).collect()) == +want and len(+want) == 2
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
          ("block", "net", "/fr/")]
 
