@@ -3,14 +3,17 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from defectloom.llm.bpe import decode, encode
+from defectloom.llm.chunks import exact_copies
 from defectloom.llm.licenses import scan_licences
 from defectloom.llm.mixing import mixture
+from defectloom.llm.phrases import collocations
 from defectloom.llm.pii import KINDS, personal_data
 from defectloom.llm.quality import COUNTS, quality
 from defectloom.llm.sharding import byte_shards
 from defectloom.llm.simhash import simhash_components
 from defectloom.llm.tables import table, tokenizer_path
 from defectloom.llm.token_files import read_tokens, write_tokens
+from defectloom.llm.turns import repair_damaged
 from defectloom.llm.urls import judge_pages
 from defectloom.llm.vectors import near_vectors
 from defectloom.workspace import work_dir
@@ -98,6 +101,22 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op11_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of all documents by language."""
+    return collocations(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
+def op12_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents."""
+    found = exact_copies(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"key": "doc_id", "keep": "keep_id"})
+
+
+def op13_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least-cost repair of all conversations after damage."""
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_trie_bpe": op1_trie_bpe,
     "op2_token_files": op2_token_files,
@@ -109,4 +128,7 @@ QUERIES = {
     "op8_line_frequency": op8_line_frequency,
     "op9_simhash_bk": op9_simhash_bk,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_misra_gries": op11_misra_gries,
+    "op12_chunk_recipes": op12_chunk_recipes,
+    "op13_branch_bound": op13_branch_bound,
 }
