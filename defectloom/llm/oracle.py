@@ -186,9 +186,127 @@ SELECT doc_id, coalesce(len(names), 0)::BIGINT AS n_licences, coalesce(array_to_
 FROM d LEFT JOIN found USING (doc_id)
 """
 
+OP11 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+runs AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, (SELECT unnest(range(1, 6)) AS k))
+),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+longer AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+halves AS (
+  SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS head, array_to_string(list_slice(w, j + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM longer)
+),
+best AS (
+  SELECT h.lang, h.phrase, h.a, l.a AS l, r.a AS r, n, (1000::HUGEINT * h.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM halves h JOIN f l ON l.lang = h.lang AND l.phrase = h.head JOIN f r ON r.lang = h.lang AND r.phrase = h.rest
+  JOIN totals t ON t.lang = h.lang
+  QUALIFY row_number() OVER (PARTITION BY h.lang, h.phrase ORDER BY score, j) = 1
+),
+inner_parts AS (
+  SELECT lang, a, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM longer))
+),
+held AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+# CRC-32 bit by bit: a list entry of -1 shifts, others are bytes.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({}, ''), lambda x:
+  [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e)
+  WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+
+# All ways through a turn: up to three inserted turns, then an edit, by the state before and after.
+OP13 = f"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations
+),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM own WHERE kind > 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM hurt
+),
+marked AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS turns
+  FROM marked GROUP BY conv_id
+),
+inserts(start, state, m, lines) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''),
+         (0, 2, 1, 'user:;'), (1, 2, 1, 'user:;'), (2, 3, 1, 'assistant:;'), (3, 2, 1, 'user:;'),
+         (0, 3, 2, 'user:;assistant:;'), (1, 3, 2, 'user:;assistant:;'), (2, 2, 2, 'assistant:;user:;'), (3, 3, 2, 'user:;assistant:;')
+),
+edits(state, after, edit, cost, initial, role) AS (
+  VALUES (0, 0, 'D', 4, NULL, NULL), (1, 1, 'D', 4, NULL, NULL), (2, 2, 'D', 4, NULL, NULL), (3, 3, 'D', 4, NULL, NULL),
+         (0, 2, 'R', 3, NULL, 'user'), (1, 2, 'R', 3, NULL, 'user'), (2, 3, 'R', 3, NULL, 'assistant'), (3, 2, 'R', 3, NULL, 'user'),
+         (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL)
+),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, struct_pack(c := 0::BIGINT, a := '', o := []::VARCHAR[]) AS s FROM counts
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.after, min(struct_pack(
+           c := s.c + 3 * n.m + e.cost + CASE WHEN e.edit <> 'D' AND t.fault = 't' THEN 3 ELSE 0 END,
+           a := s.a || repeat('I', n.m) || e.edit,
+           o := s.o || list_filter(string_split(n.lines, ';'), lambda x: x <> '')
+                || CASE WHEN e.edit = 'D' THEN [] ELSE [coalesce(e.role, t.role) || ':' || t.text] END))
+  FROM walk w JOIN marked t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+  JOIN inserts n ON n.start = w.state JOIN edits e ON e.state = n.state
+  WHERE (e.initial IS NULL OR e.initial = t.initial) AND (e.edit = 'D' OR t.fault NOT IN ('b', 'd'))
+  GROUP BY w.conv_id, w.i, e.after
+),
+ended AS (
+  SELECT w.conv_id, min(struct_pack(c := s.c + 3 * n.m, a := s.a || repeat('I', n.m),
+                        o := s.o || list_filter(string_split(n.lines, ';'), lambda x: x <> ''))) AS s
+  FROM walk w JOIN counts k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.turns = w.i
+  JOIN inserts n ON n.start = w.state WHERE n.state IN (0, 3) GROUP BY w.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.s.c, 0) AS cost,
+       coalesce(e.s.a, '') AS audit, sha256(coalesce(array_to_string(e.s.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op4_host_reputation": OP4,
     "op5_licence_dice": OP5,
     "op6_byte_shards": OP6,
     "op8_line_frequency": OP8,
+    "op11_misra_gries": OP11,
+    "op12_chunk_recipes": OP12,
+    "op13_branch_bound": OP13,
 }

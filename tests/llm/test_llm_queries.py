@@ -34,8 +34,24 @@ TYPES = {
     },
     "op9_simhash_bk": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op10_entropy_mix": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op11_misra_gries": {
+        "lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint",
+        "score": "bigint",
+    },
+    "op12_chunk_recipes": {
+        "doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string",
+    },
+    "op13_branch_bound": {
+        "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint",
+        "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string",
+    },
 }
-ROWS = {"op4_host_reputation": "pages", "op7_multi_index": "embeddings"}
+ROWS = {
+    "op4_host_reputation": "count(*) FROM pages",
+    "op7_multi_index": "count(*) FROM embeddings",
+    "op11_misra_gries": f"count(*) FROM ({ORACLE['op11_misra_gries']})",
+    "op13_branch_bound": "count(DISTINCT conv_id) FROM conversations",
+}
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +87,7 @@ def test_every_operator_has_its_query():
 def test_columns_and_rows(results, duck, name):
     types, rows = results(name)
     assert types == TYPES[name]
-    (count,) = duck.execute(f"SELECT count(*) FROM {ROWS.get(name, 'documents')}").fetchall()[0]
+    (count,) = duck.execute(f"SELECT {ROWS.get(name, 'count(*) FROM documents')}").fetchall()[0]
     assert len(rows) == count
 
 
