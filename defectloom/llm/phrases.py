@@ -8,7 +8,7 @@ reaches the threshold, the pass is repeated with more room. Words go first, then
 can be frequent, then longer runs of such pairs, since no part of a frequent run is rarer than it.
 
 The second pass counts exactly: tasks add up the runs that a bitmap of the first pass's hashes knows,
-by their words, and Spark sums the counts per phrase. The bitmap has a fixed greatest size; what it
+and send them by hash partition, where the counts of a phrase are summed by its text. The bitmap has a fixed greatest size; what it
 wrongly knows is counted as exactly and falls below the threshold.
 
 Each group of documents (``lang``; null counts as ``und``) is scored alone. A phrase of a occurrences
@@ -34,8 +34,11 @@ from defectloom.llm.wordstream import LONGEST, slices
 THRESHOLD = 100
 TOP = 2000
 NO_GROUP = "und"
-# Counters of a hash partition, hash partitions at least, and counters a task holds before it sends them.
-CAPACITY, MIN_PARTS, HELD = 1 << 16, 64, 1 << 20
+# Counters of a hash partition, at least and in large tables; how many times the mass over the threshold
+# they are; hash partitions at least, and counters a task holds before it sends them.
+CAPACITY, MAX_CAPACITY, ROOM, MIN_PARTS, HELD = 1 << 16, 1 << 20, 16, 64, 1 << 20
+# Runs that a hash partition of the second pass holds on average.
+PART_RUNS = 1 << 14
 _SENT = "part long, grp string, mass long, lost long, hashes binary, counts binary"
 
 
@@ -137,7 +140,7 @@ def _summaries(docs: DataFrame, lengths: range, known, parts: int, capacity: int
     return docs.mapInArrow(scan, _SENT)
 
 
-def _merged(sent: DataFrame, parts: int, capacity: int, threshold: int) -> DataFrame:
+def _merged(sent: DataFrame, capacity: int, threshold: int) -> DataFrame:
     """What may be frequent: (part, lost, hash), the hash null in a row that says what was lost."""
 
     def merge(batches):
@@ -172,38 +175,47 @@ def _merged(sent: DataFrame, parts: int, capacity: int, threshold: int) -> DataF
         if own is not None:
             yield done()
 
-    dealt = sent.where("part >= 0").select("part", "lost", "hashes", "counts").repartition(parts, "part")
+    dealt = sent.where("part >= 0").select("part", "lost", "hashes", "counts").repartition("part")
     return dealt.sortWithinPartitions("part").mapInArrow(merge, "part long, lost long, hash long")
 
 
 def _possible(docs: DataFrame, lengths: range, known, mass: int, threshold: int, capacity: int):
     """(hashes of runs that may be frequent, words per group) as written tables."""
     totals = None
+    # With room to spare little is lost, and so little passes that isn't frequent.
+    counters = ROOM * mass // threshold
+    capacity = max(capacity, min(MAX_CAPACITY, counters >> 12))
     while True:
-        parts = max(MIN_PARTS, 1 << (mass // (capacity * threshold)).bit_length())
+        parts = max(MIN_PARTS, 1 << (counters // capacity).bit_length())
         sent = _summaries(docs, lengths, known, parts, capacity)
         if lengths.start == 1:
             # The words per group are read from it as well.
             sent = keep(sent, "words")
             totals = keep(sent.where("part < 0").groupBy("grp").agg(F.sum("mass").alias("n")), "totals")
-        found = keep(_merged(sent, parts, capacity, threshold), f"possible{lengths.start}")
+        found = keep(_merged(sent, capacity, threshold), f"possible{lengths.start}")
         if not found.where(F.col("lost") >= threshold).take(1):
             return found.where("hash IS NOT NULL").select("hash"), totals
-        capacity *= 4
+        capacity, counters = 4 * capacity, 4 * counters
 
 
-def _exact(docs: DataFrame, known) -> DataFrame:
-    """(grp, phrase, words, f) partial counts of the runs that may be frequent."""
+def _exact(docs: DataFrame, known, parts: int) -> DataFrame:
+    """(part, entries, counts): each task's exact counts of the runs that may be frequent, a list of
+    them per hash partition. An entry is a phrase, a line break and its group."""
+    shift = 65 - parts.bit_length()
 
     def scan(batches):
         bits, names, found = known.value, {}, {}
 
         def rows():
-            groups, phrases, sizes, counts = zip(*found.values())
+            order = sorted(found, key=lambda k: k[0])
+            part = np.array([k[0] for k in order], np.uint64) >> np.uint64(shift)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).astype(np.int32)
+            entries = pa.array([found[k][0] for k in order], pa.string())
+            counts = pa.array([found[k][1] for k in order], pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(groups, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()),
-                 pa.array(counts, pa.int64())],
-                ["grp", "phrase", "words", "f"],
+                [pa.array(part[cuts[:-1]].astype(np.int64)), pa.ListArray.from_arrays(cuts, entries),
+                 pa.ListArray.from_arrays(cuts, counts)],
+                ["part", "entries", "counts"],
             )
 
         for batch in batches:
@@ -216,7 +228,35 @@ def _exact(docs: DataFrame, known) -> DataFrame:
         if found:
             yield rows()
 
-    return docs.mapInArrow(scan, "grp string, phrase string, words int, f long")
+    return docs.mapInArrow(scan, "part long, entries array<string>, counts array<long>")
+
+
+def _summed(sent: DataFrame, threshold: int) -> DataFrame:
+    """(grp, phrase, words, f) of the runs that are frequent; a task holds one hash partition at a time."""
+
+    def merge(batches):
+        at, totals = None, {}
+
+        def done():
+            kept = [(*entry.split("\n", 1), n) for entry, n in totals.items() if n >= threshold]
+            phrases, groups, counts = zip(*kept) if kept else ((), (), ())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(groups, pa.string()), pa.array(phrases, pa.string()),
+                 pa.array([p.count(" ") + 1 for p in phrases], pa.int32()), pa.array(counts, pa.int64())],
+                ["grp", "phrase", "words", "f"],
+            )
+
+        for batch in batches:
+            for part, entries, counts in zip(*(batch.column(k) for k in range(3))):
+                if part.as_py() != at:
+                    yield done()
+                    at, totals = part.as_py(), {}
+                for entry, n in zip(entries.as_py(), counts.as_py()):
+                    totals[entry] = totals.get(entry, 0) + n
+        yield done()
+
+    dealt = sent.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(merge, "grp string, phrase string, words int, f long")
 
 
 def _count(part, bits, names: dict[int, str], found: dict) -> None:
@@ -241,9 +281,9 @@ def _count(part, bits, names: dict[int, str], found: dict) -> None:
         for k, a, b, count in zip(order[first].tolist(), h[first].tolist(), c[first].tolist(), counts.tolist()):
             entry = found.get((a, b, n))
             if entry is None:
-                found[a, b, n] = [names[int(part.group[k])], part.text(k, n), n, count]
+                found[a, b, n] = [f"{part.text(k, n)}\n{names[int(part.group[k])]}", count]
             else:
-                entry[3] += count
+                entry[1] += count
 
 
 def frequent_runs(
@@ -264,8 +304,8 @@ def frequent_runs(
         more, _ = _possible(own, lengths, known, mass * len(lengths), threshold, capacity)
         every = every.unionByName(more)
     known = spark.sparkContext.broadcast(bitmap(every))
-    counted = _exact(own, known).groupBy("grp", "phrase", "words").agg(F.sum("f").alias("f"))
-    return keep(counted.where(F.col("f") >= threshold), "frequent"), totals
+    parts = max(MIN_PARTS, 1 << (every.count() // PART_RUNS).bit_length())
+    return keep(_summed(_exact(own, known, parts), threshold), "frequent"), totals
 
 
 def _exact_number(name: str) -> Column:
