@@ -37,11 +37,13 @@ def with_position(
     within: list[str] | None = None,
     into: str = "pos",
     buckets: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Add the 0-based place of each row in ``order``, counted anew in every ``within`` group.
 
-    ``within`` and ``order`` together identify a row. ``df`` is read several times, mostly its
-    keys alone: write it out first if it is costly to make.
+    ``within`` and ``order`` together identify a row. With ``weight``, a column of counts without
+    nulls, a row takes as many places as it says, and gets the first of them. ``df`` is read several
+    times, mostly its keys alone: write it out first if it is costly to make.
     """
     within = within or []
     names = [*within, *order]
@@ -54,15 +56,22 @@ def with_position(
         return table.withColumn("_cuts", cuts).select(*table.columns, found.alias("_bucket"))
 
     group = [*within, "_bucket"]
-    sizes = bucketed(keys).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    if weight is None:
+        sizes = bucketed(keys).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        sizes = bucketed(df.select(*names, weight)).groupBy(*group).agg(F.sum(weight).alias("_n"))
     before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(n).alias(f"_of_{n}") for n in within],
         F.col("_bucket").alias("_of_bucket"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
     )
-    local = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    numbered = bucketed(df).withColumn("_local", local - 1)
+    rows = W.partitionBy(*group).orderBy(*order)
+    if weight is None:
+        local = F.row_number().over(rows) - 1
+    else:
+        local = F.coalesce(F.sum(weight).over(rows.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = bucketed(df).withColumn("_local", local)
     same = F.col("_bucket") == F.col("_of_bucket")
     for n in within:
         # A missing group is a group.

@@ -1,13 +1,19 @@
 """Code tokens, a vocabulary, id windows that hold every token, and padded batches.
 
-Counts are summed on the map side. Encoding looks the most frequent tokens up in a broadcast head
-of the vocabulary, whose size is fixed, and joins only the rare rest with the whole vocabulary, so
-frequent tokens are no hot keys. A text is encoded into windows of bounded length; none of its
-tokens is left out.
+Counts are summed on the map side. Encoding looks tokens up inside the row, in a hash table of the
+most frequent ones, whose size is fixed and which every task has once. Only a text's distinct rare
+tokens become rows, to be joined with the rest of the vocabulary and put back in their places.
+Decoding does the same with a list of the frequent tokens by id, and spreads what it joins over
+several keys per id. So neither makes a row per token, and frequent tokens are no hot keys. A text
+is encoded into windows of bounded length; none of its tokens is left out.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from defectloom.functions.bind import bind
 from defectloom.operators.positions import with_position
 from defectloom.workspace import work_dir
 
@@ -17,8 +23,10 @@ PAD, UNK, BOS, EOS = 0, 1, 2, 3
 FIRST_ID = 4
 MAX_LENGTH = 512
 SAMPLE_TEXTS = 5
-# Tokens of the broadcast head, and how long such a token may be.
-HEAD, HEAD_CHARS = 65_536, 64
+# Tokens of the head, how long such a token may be, and the buckets of its hash table.
+HEAD, HEAD_CHARS, BUCKETS = 65_536, 64, 65_536
+# Keys that a rare id is spread over, and distinct rare tokens that a text may have (as a power of two).
+SALTS, MAX_RARE_BITS = 16, 26
 
 
 def tokenise(code) -> Column:
@@ -78,53 +86,167 @@ def sample_token_report(
     )
 
 
-def encode(
-    df: DataFrame, vocab: DataFrame, code: str = "code", max_length: int = MAX_LENGTH
-) -> DataFrame:
-    """Windows of a text's ids, numbered by ``window``, each with begin and end marker and mask.
+def _frequent() -> Column:
+    return (F.col("token_id") < FIRST_ID + HEAD) & (F.length("token") <= HEAD_CHARS)
+
+
+def _filled(entries: DataFrame, places: int, value: str) -> Column:
+    """One list with ``value`` at each row's ``at``, null elsewhere, as a subquery's only value."""
+    every = entries.sparkSession.range(places).withColumnRenamed("id", "at").join(entries, "at", "left")
+    listed = F.sort_array(F.collect_list(F.struct("at", value)))
+    return every.agg(F.transform(listed, lambda e: e[value])).scalar()
+
+
+def _bucket(token) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def _hash_table(vocab: DataFrame) -> Column:
+    """The head of the vocabulary as a list of buckets, each a short list of tokens with ids."""
+    head = vocab.where(_frequent()).select(_bucket("token").cast("long").alias("at"), F.struct("token", "token_id").alias("e"))
+    return _filled(head.groupBy("at").agg(F.collect_list("e").alias("entries")), BUCKETS, "entries")
+
+
+def _same(names: list[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(n).eqNullSafe(F.col(f"{prefix}{n}")) for n in names])
 
-    A window holds ``max_length`` ids at most, so its list is bounded however long the text is; a
-    text without tokens has one window. The columns other than ``code`` stay and must identify a
-    row.
+
+def encode_texts(df: DataFrame, vocab: DataFrame, code: str = "code") -> DataFrame:
+    """All ids of each text in order, without markers, as ``ids``; unknown tokens are ``UNK``.
+
+    The columns other than ``code`` stay and must identify a row. ``vocab`` is read several times
+    and should be a written table.
     """
     keep = [name for name in df.columns if name != code]
+
+    def looked_up(tokens):
+        ids = F.transform(
+            tokens,
+            lambda t: F.get(F.filter(F.get(F.col("_head"), _bucket(t)), lambda e: e["token"] == t), F.lit(0))["token_id"],
+        )
+        return bind(ids, lambda found: F.struct(found.alias("ids"), rare_ones(tokens, found).alias("rare")))
+
+    def rare_ones(tokens, found):
+        marked = F.transform(
+            found, lambda n, i: F.when(n.isNull(), F.struct(i.alias("at"), F.get(tokens, i).alias("token")))
+        )
+        return F.filter(marked, lambda e: e.isNotNull())
+
+    coded = df.withColumn("_head", _hash_table(vocab)).select(
+        *keep, bind(tokenise(F.coalesce(F.col(code), F.lit(""))), looked_up).alias("_c")
+    )
+    tail = vocab.where(~_frequent()).select("token", "token_id")
+    if not tail.take(1):
+        return coded.select(*keep, F.transform("_c.ids", lambda n: F.coalesce(n, F.lit(UNK))).alias("ids"))
+    path = f"{work_dir(df.sparkSession)}/coded"
+    coded = coded.select(*keep, F.col("_c.ids").alias("ids"), F.col("_c.rare").alias("rare"))
+    coded.write.parquet(path)
+    coded = df.sparkSession.read.schema(coded.schema).parquet(path)
+    some = F.size("rare") > 0
+    pairs = coded.where(some).select(*keep, F.explode(F.array_distinct("rare.token")).alias("token"))
+    found = pairs.join(tail, "token").groupBy(*[F.col(n).alias(f"_of_{n}") for n in keep])
+    found = found.agg(F.sort_array(F.collect_list(F.struct("token", "token_id"))).alias("_found"))
+    joined = coded.where(some).join(found, _same(keep, "_of_"), "left")
+    patched = joined.select(*keep, _patched().cast("array<int>").alias("ids"))
+    return coded.where(~some).select(*keep, "ids").unionByName(patched)
+
+
+def _patched() -> Column:
+    """``ids`` with the ids of the ``rare`` tokens, which stand in order in ``_found``, in their places."""
+    steps = F.array(*[F.lit(1 << k) for k in range(MAX_RARE_BITS, -1, -1)])
+    found = F.coalesce("_found", F.expr("CAST(array() AS array<struct<token: string, token_id: int>>)"))
+
+    def id_of(entry):
+        def closer(below, step):
+            fits = F.get(found, below + step - 1)["token"] <= entry["token"]
+            return F.when(F.coalesce(fits, F.lit(False)), below + step).otherwise(below)
+
+        def if_same(place):
+            hit = F.get(found, place - 1)
+            return F.when(hit["token"] == entry["token"], hit["token_id"])
+
+        return F.coalesce(bind(F.aggregate(steps, F.lit(0), closer), if_same), F.lit(UNK))
+
+    def placed(at, n):
+        return F.shiftleft(at.cast("long"), 32) + n
+
+    # Place and id in one number, so that both lists sort as plain numbers.
+    known = F.filter(F.transform("ids", lambda n, i: placed(i, n)), lambda e: e.isNotNull())
+    rare = F.transform("rare", lambda e: placed(e["at"], id_of(e)))
+    return F.transform(F.sort_array(F.concat(known, rare)), lambda e: e.bitwiseAND(0xFFFFFFFF).cast("int"))
+
+
+def n_windows(ids, max_length: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.size(ids) / (max_length - 2)).cast("int"))
+
+
+def windows(texts: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+    """Windows of a text's ``ids``, numbered by ``window``, each with begin and end marker and mask."""
+    keep = [name for name in texts.columns if name != "ids"]
     room = max_length - 2
-    toks = tokenise(F.coalesce(F.col(code), F.lit("")))
-    found = df.select(*keep, F.posexplode_outer(toks).alias("at", "token"))
-    frequent = (F.col("token_id") < FIRST_ID + HEAD) & (F.length("token") <= HEAD_CHARS)
-    head = vocab.where(frequent).select("token", "token_id")
-    known = found.join(F.broadcast(head), "token", "left")
-    is_rare = F.col("token_id").isNull() & F.col("token").isNotNull()
-    rare = known.where(is_rare).drop("token_id")
-    tail = vocab.where(~frequent).select("token", "token_id")
-    every = known.where(~is_rare).unionByName(rare.join(tail, "token", "left"))
-    # Place and id in one number, so that the list sorts as plain numbers; null without tokens.
-    entry = F.shiftleft(F.col("at").cast("long"), 32) + F.coalesce("token_id", F.lit(UNK))
-    window = F.coalesce(F.expr(f"at div {room}"), F.lit(0)).cast("int").alias("window")
-    listed = every.groupBy(*keep, window).agg(F.sort_array(F.collect_list(entry)).alias("listed"))
-    ids = F.transform("listed", lambda e: e.bitwiseAND(0xFFFFFFFF).cast("int"))
-    return listed.select(
+    cut = F.transform(
+        F.sequence(F.lit(0), n_windows("ids", max_length) - 1), lambda w: F.slice("ids", w * room + 1, F.lit(room))
+    )
+    own = texts.select(*keep, F.posexplode(cut).alias("window", "_ids"))
+    return own.select(
         *keep,
         "window",
-        F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))).alias("input_ids"),
-        F.array_repeat(F.lit(1), F.size("listed") + 2).alias("attention_mask"),
+        F.concat(F.array(F.lit(BOS)), "_ids", F.array(F.lit(EOS))).alias("input_ids"),
+        F.array_repeat(F.lit(1), F.size("_ids") + 2).alias("attention_mask"),
     )
 
 
+def encode(
+    df: DataFrame, vocab: DataFrame, code: str = "code", max_length: int = MAX_LENGTH
+) -> DataFrame:
+    """Windows of a text's ids, numbered by ``window``, each with begin and end marker and mask.
+
+    A window holds ``max_length`` ids at most; a text without tokens has one window. The columns
+    other than ``code`` stay and must identify a row.
+    """
+    return windows(encode_texts(df, vocab, code), max_length)
+
+
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids") -> DataFrame:
     """Text of each row's windows in order, markers and unknown tokens left out, joined by blanks.
 
     ``df`` has a ``window`` column; those other than it, ``ids`` and the mask identify a text.
     """
     keep = [name for name in df.columns if name not in (ids, "window", "attention_mask")]
-    own = df.select(*keep, "window", F.posexplode(ids).alias("at", "token_id"))
-    words = own.where(F.col("token_id") >= FIRST_ID).join(vocab.select("token_id", "token"), "token_id")
-    # Every text has its begin markers, so none without words is lost.
-    marks = own.where(F.col("token_id") == BOS).withColumn("token", F.lit(None).cast("string"))
-    every = words.unionByName(marks)
-    placed = F.when(F.col("token").isNotNull(), F.struct("window", "at", "token"))
-    listed = every.groupBy(*keep).agg(F.sort_array(F.collect_list(placed)).alias("words"))
-    return listed.select(*keep, F.array_join("words.token", " ").alias("text"))
+    head = vocab.where(_frequent()).select((F.col("token_id") - FIRST_ID).cast("long").alias("at"), "token")
+    own = df.withColumn("_head", _filled(head, HEAD, "token")).select(
+        *keep,
+        "window",
+        F.col(ids).alias("_ids"),
+        F.transform(ids, lambda n: F.when(n >= FIRST_ID, F.get(F.col("_head"), n - FIRST_ID))).alias("_words"),
+    )
+    tail = vocab.where(~_frequent()).select("token_id", "token")
+    if tail.take(1):
+        own = _with_rare_words(own, [*keep, "window"], tail)
+    piece = F.nullif(F.array_join("_words", " "), F.lit("")).alias("piece")
+    listed = own.select(*keep, "window", piece).groupBy(*keep)
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("window", "piece"))).alias("pieces"))
+    return listed.select(*keep, F.array_join("pieces.piece", " ").alias("text"))
+
+
+def _with_rare_words(own: DataFrame, key: list[str], tail: DataFrame) -> DataFrame:
+    """``_words`` with those of the ids that only ``tail`` has. An id's windows are spread over
+    ``SALTS`` keys, and the tail, which is no larger than the vocabulary, has a row for each."""
+    missing = F.filter("_ids", lambda n, i: (n >= FIRST_ID) & F.get("_words", i).isNull())
+    salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).alias("_salt")
+    pairs = own.select(*key, salt, F.explode(F.array_distinct(missing)).alias("token_id"))
+    salted = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = pairs.join(salted, ["token_id", "_salt"])
+    # A window's ids: a bounded list.
+    found = named.groupBy(*[F.col(n).alias(f"_of_{n}") for n in key])
+    found = found.agg(F.collect_list(F.struct("token_id", "token")).alias("_found"))
+
+    def word(n, i):
+        rare = F.get(F.filter("_found", lambda e: e["token_id"] == n), F.lit(0))["token"]
+        return F.coalesce(F.get("_words", i), rare)
+
+    both = own.join(found, _same(key, "_of_"), "left")
+    return both.select(*key, F.transform("_ids", word).alias("_words"))
 
 
 def batches(df: DataFrame, batch_size: int, order: list[str] = ("id",)) -> DataFrame:
@@ -138,6 +260,22 @@ def batches(df: DataFrame, batch_size: int, order: list[str] = ("id",)) -> DataF
     ).drop("pos")
 
 
+def window_batches(
+    texts: DataFrame, batch_size: int, max_length: int = MAX_LENGTH, order: list[str] = ("id",)
+) -> DataFrame:
+    """Windows of encoded texts in consecutive batches: ``batch`` and ``slot`` of each window.
+
+    Only the numbers of windows are added up over the texts in ``order``; a window's place is
+    its text's first one and its number. ``texts`` should be a written table.
+    """
+    counted = texts.withColumn("_n", n_windows("ids", max_length))
+    placed = with_position(counted, list(order), into="_start", weight="_n").drop("_n")
+    place = F.col("_start") + F.col("window")
+    return windows(placed, max_length).withColumns(
+        {"batch": F.floor(place / batch_size), "slot": (place % batch_size).cast("int")}
+    ).drop("_start")
+
+
 def pad_batches(df: DataFrame) -> DataFrame:
     """Ids and masks filled up to the longest sequence of the batch."""
     longest = F.max(F.size("input_ids")).over(W.partitionBy("batch"))

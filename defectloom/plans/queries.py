@@ -671,12 +671,10 @@ def batches(spark, sf):
 
 @query
 def pad_batches(spark, sf):
-    path = f"{work_dir(spark)}/windows"
-    encoded_corpus(spark, sf)[0].write.parquet(path)
-    windows = spark.read.parquet(path)
-    # The keys alone are numbered.
-    placed = tokens.batches(windows.select("id", "window"), BATCH, ["id", "window"])
-    return tokens.pad_batches(windows.join(placed, ["id", "window"]))
+    rows = B.corpus(spark, sf).select("id", "code")
+    path = f"{work_dir(spark)}/texts"
+    tokens.encode_texts(rows, written_vocabulary(spark, rows)).write.parquet(path)
+    return tokens.pad_batches(tokens.window_batches(spark.read.parquet(path), BATCH))
 
 
 @query

@@ -12,6 +12,7 @@ from defectloom.operators.model import describe, fit, predict, save
 from defectloom.operators.tokens import encode, vocabulary
 from defectloom.operators.variants import generate_variants, merge, shuffle_rows
 from defectloom.sources.reports import model_card, save_text
+from defectloom.workspace import work_dir
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,9 @@ def enlarged_train(
 def encoded_rows(rows: DataFrame, settings: TrainSettings) -> DataFrame:
     """Model inputs of the train split: augmented, cut into tokens, as windows of ids with label."""
     train = of_split(rows, "train")
-    vocab = vocabulary(train, "code", settings.vocab_size)
+    path = f"{work_dir(rows.sparkSession)}/vocabulary"
+    vocabulary(train, "code", settings.vocab_size).write.parquet(path)
+    vocab = rows.sparkSession.read.parquet(path)
     augmented = train.select("id", "is_buggy", augment(F.col("code"), settings.seed).alias("code"))
     encoded = encode(augmented, vocab, "code", settings.max_length)
     return encoded.withColumnRenamed("is_buggy", "labels")

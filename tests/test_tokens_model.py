@@ -50,10 +50,52 @@ def test_encode_and_decode(corpus, size, limit, head, monkeypatch):
             assert texts[i] == " ".join(PATTERN.findall(text))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_row_per_token(spark, corpus, monkeypatch):
+    """Only distinct rare tokens are exploded, and no exchange of decoding is dealt by the id alone."""
+    monkeypatch.setattr(tokens, "HEAD", 2)
+    vocab = tokens.vocabulary(corpus)
+    encoded = tokens.encode(corpus, vocab)
+    exploded = re.findall(r"explode\(([^\n]*)", plan_of(encoded))
+    assert exploded and all(e.startswith(("array_distinct(", "transform(sequence")) for e in exploded)
+    assert "hashpartitioning(token_id#" in plan_of(tokens.decode(encoded, vocab))
+    assert not re.search(r"hashpartitioning\(token_id#\w+, \d", plan_of(tokens.decode(encoded, vocab)))
+
+
+@pytest.mark.parametrize("head", [65_536, 1])
+def test_an_id_that_half_the_corpus_holds(spark, head, monkeypatch):
+    monkeypatch.setattr(tokens, "HEAD", head)
+    rows = spark.range(3000).selectExpr("id", "concat('common w', id % 7, ' common ', repeat('long', 30)) AS code")
+    vocab = tokens.vocabulary(rows)
+    encoded = tokens.encode(rows, vocab)
+    texts = tokens.decode(encoded, vocab).groupBy("text").count().collect()
+    assert {r["text"]: r["count"] for r in texts} == {
+        f"common w{k} common {'long' * 30}": len(range(k, 3000, 7)) for k in range(7)
+    }
+
+
+def test_ids_that_no_vocabulary_has_are_left_out(spark):
+    vocab = spark.createDataFrame([("a", 4), ("b", 70_000)], "token string, token_id int")
+    rows = spark.createDataFrame([(1, 0, [2, 4, 99, 70_000, 3]), (1, 1, [2, 4, 3]), (2, 0, [2, 3])], "id int, window int, input_ids array<int>")
+    assert sorted(map(tuple, tokens.decode(rows, vocab).collect())) == [(1, "a b a"), (2, "")]
+
+
+@pytest.mark.parametrize("size", [2, 3])
+def test_window_batches_are_those_of_all_windows(corpus, size):
+    vocab = tokens.vocabulary(corpus)
+    texts = tokens.encode_texts(corpus, vocab)
+    got = tokens.window_batches(texts, size, 12).select("id", "window", "batch", "slot").collect()
+    order = sorted((r["id"], r["window"]) for r in tokens.windows(texts, 12).collect())
+    assert sorted(map(tuple, got)) == [(*name, k // size, k % size) for k, name in enumerate(order)]
+
+
 def test_pad_batches(corpus):
     vocab = tokens.vocabulary(corpus)
     encoded = tokens.encode(corpus, vocab)
-    rows = {(r["id"], r["window"]): r for r in tokens.pad_batches(tokens.batches(encoded, 2, ["id", "window"])).collect()}
+    rows = {(r["id"], r["window"]): r for r in tokens.pad_batches(tokens.window_batches(tokens.encode_texts(corpus, vocab), 2)).collect()}
     plain = {(r["id"], r["window"]): r["input_ids"] for r in encoded.collect()}
     order = sorted(plain)
     for place, name in enumerate(order):
