@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.functions.draws import pick, shuffle_key
+from defectloom.operators import lexed
 from defectloom.operators.filters import clean_only
 from defectloom.operators.mutations import PATTERNS, mutate
 from defectloom.operators.positions import with_position
@@ -68,11 +69,15 @@ def label_variants(variants: DataFrame) -> DataFrame:
 
 def mutated_code(code: Column, seed: int = 42, mutator: str = "patterns") -> Column:
     """``patterns`` follows the row's plan and falls back to text where nothing of it applies;
-    ``text`` takes the fallback for every row."""
-    if mutator not in ("patterns", "text"):
+    ``lexed`` does so with the rules that draw every place outside strings and comments; ``text``
+    takes the fallback for every row."""
+    if mutator not in ("patterns", "lexed", "text"):
         raise ValueError(f"unknown mutator: {mutator}")
     fallback = text_mutation(code, seed)
-    return fallback if mutator == "text" else F.coalesce(mutate(code, mutation_plan(seed), seed), fallback)
+    if mutator == "text":
+        return fallback
+    follow = lexed.mutate if mutator == "lexed" else mutate
+    return F.coalesce(follow(code, mutation_plan(seed), seed), fallback)
 
 
 def generate_variants(

@@ -327,3 +327,48 @@ def write_bug_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
         F.explode(F.filter(files, lambda f: f.isNotNull())).alias("f")
     )
     write_files(rows.select("f.path", "f.content"), root)
+
+
+LEXED_CODE = r'''def price_{k}(table, qty):
+    """total + limit == {n}
+    limit = 0"""
+    limit = {n}  # limit = 2 + 3
+    note = "if a == {n} + 1: \"{t}\"" + 'x\\'
+    if table is None:
+        # nothing
+        if qty is limit:
+            limit = {n} + 1
+            note = ""
+        else:
+            qty = 4
+        return {n}
+    elif qty is not limit:
+        total = qty * {n}
+
+    def inner(total, step=2):
+        total = total - step * 2 + table[{m}]
+        if total == limit:
+            return -total
+        return 7
+
+    for i in range({n}):
+        total = inner(i + 1,
+                      step=3) + qty.qty
+    if total < {n} and qty != 2:
+        return table[{m}][0]
+    if total <= {n} - {m}:
+        qty = 5
+    if len(table[1:2]) == 3 ** 2:  # total < 1
+        return (total
+                / limit)
+    return total / limit
+'''
+
+
+def lexed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part rows as functions with strings, comments, nested blocks and open brackets."""
+    values = {"{k}": "p_partkey", "{n}": "p_size", "{m}": F.col("p_size") % 7, "{t}": "p_type"}
+    code = F.lit(LEXED_CODE)
+    for name, value in values.items():
+        code = F.replace(code, F.lit(name), (F.col(value) if isinstance(value, str) else value).cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), code.alias("code"))

@@ -1,5 +1,7 @@
 """The registered queries as ANSI SQL over the same tables, for a second engine to check."""
 
+from defectloom.plans.oracle_lexed import lexed_patterns
+
 # Patterns and values are written out here once more and not shared with the operators, so that a
 # wrong one shows.
 PY_SPACE = (
@@ -726,6 +728,7 @@ SELECT id || '_bug_' || variant AS id, source || '_synthetic' AS source, project
   pair_id || '_synthetic_' || variant AS pair_id, md5(coalesce(mutant, {mutated('code')})) AS code_md5 FROM mutants""",
     "single_patterns": f"WITH {PYTHON_CODE}, v AS (SELECT id, 0 AS variant, code FROM python_code) "
     + " UNION ALL ".join(f"SELECT id, '{p}' AS pattern, {mutant(p, 'code', 1)} AS mutant FROM v" for p in PATTERNS),
+    "lexed_patterns": lexed_patterns(),
     "variant_summary": f"""WITH {SAMPLES}
 SELECT count(*) AS clean_samples, count(*) * 3 AS variants, round(3.0::DOUBLE, 6) AS per_sample FROM samples WHERE is_buggy = 0""",
     "merge_summary": f"""WITH {VARIANTS}, merged AS (

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from defectloom.functions import text as X
 from defectloom.operators import augment as G
-from defectloom.operators import filters, history, leaderboard, metrics, model, mutations, pairs
+from defectloom.operators import filters, history, leaderboard, lexed, metrics, model, mutations, pairs
 from defectloom.operators import profile, splits, tokens, validate, variants
 from defectloom.plans import bindings as B
 from defectloom.plans import dataset, training
@@ -566,6 +566,17 @@ def single_patterns(spark, sf):
     return rows.select("id", F.explode(made).alias("m")).select("id", "m.pattern", "m.mutant")
 
 
+@query
+def lexed_patterns(spark, sf):
+    """Each rule alone on functions with strings, comments and blocks, every place drawn."""
+    rows = B.lexed_code(spark, sf)
+    made = [
+        F.struct(F.lit(rule).alias("pattern"), lexed.changed_by(rule, F.col("code"), SEED, (F.col("id"), F.lit(rule))).alias("mutant"))
+        for rule in lexed.RULES
+    ]
+    return rows.select("id", F.explode(F.array(*made)).alias("m")).select("id", "m.pattern", "m.mutant")
+
+
 @query
 def generate_variants(spark, sf):
     made = variants.generate_variants(code_rows(spark, sf), seed=SEED)
