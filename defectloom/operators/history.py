@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from defectloom.operators.positions import with_position
 from defectloom.workspace import work_dir
 
-BLOCK = 4096
+BLOCK, JOINED = 4096, 64
 
 
 def _scores(history: DataFrame) -> DataFrame:
@@ -33,58 +33,72 @@ def early_stop(
     """Where each run stops: the first step with ``patience`` steps in a row that do not beat
     the best F1 by more than ``threshold``; null when the run goes to its end.
 
-    Runs are folded in blocks of bounded length that carry the state on: a block is one list per
-    run, and only runs that have not stopped are read on. A score between 0 and 1 can gain a
-    thousand times at most, so nearly every run ends in its first block; any other goes on to its
-    last step.
+    A best score is beaten within ``patience`` steps or never, so a run enters a block of steps with
+    its best among the block's first ``patience`` ones. Each block is followed once from each of them,
+    all blocks at a time; then neighbouring blocks are joined, ``JOINED`` at a time, until a run is one
+    block. The rounds grow with the logarithm of the longest run, and every list is bounded.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
     spark = history.sparkSession
     base = work_dir(spark)
+    block = max(block, patience)
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    rows = kept(_scores(history), "scores")
-    placed = with_position(rows, ["step"], ["run_id"])
-    placed = kept(placed.withColumn("block", F.floor(F.col("pos") / block)), "placed")
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"),
-        F.lit(0).alias("wait"),
-        F.lit(None).cast("long").alias("stopped"),
-    )
-    # Runs that go on, with how far they got.
-    going = kept(placed.groupBy("run_id").agg(F.max("block").alias("last")), "runs")
-    going = going.withColumn("s", start)
-
-    def advance(state, row):
-        better = row["f1"].isNotNull() & (
-            state["best"].isNull() | (row["f1"] > state["best"] + threshold)
-        )
-        wait = F.when(better, 0).otherwise(state["wait"] + 1)
-        moved = F.struct(
-            F.when(better, row["f1"]).otherwise(state["best"]).alias("best"),
-            wait.alias("wait"),
-            F.when(wait >= patience, row["step"]).alias("stopped"),
-        )
-        return F.when(state["stopped"].isNotNull(), state).otherwise(moved)
-
-    ended, at = None, 0
-    while True:
-        some = placed.where(F.col("block") == at).groupBy(F.col("run_id").alias("_run"))
-        some = some.agg(F.sort_array(F.collect_list(F.struct("step", "f1"))).alias("rows"))
-        folded = going.join(some, F.col("run_id").eqNullSafe(F.col("_run"))).select(
-            "run_id", "last", F.aggregate("rows", F.col("s"), advance).alias("s")
-        )
-        folded = kept(folded, f"block{at}")
-        over = (F.col("last") == at) | F.col("s.stopped").isNotNull()
-        done, going = folded.where(over), folded.where(~over)
-        ended = done if ended is None else ended.unionByName(done)
-        at += 1
-        if not going.take(1):
-            break
-    return ended.select(
-        "run_id", F.col("s.stopped").alias("stop_step"), F.col("s.best").alias("best_f1")
-    )
+    rows = with_position(kept(_scores(history), "scores"), ["step"], ["run_id"])
+    own = F.floor(F.col("pos") / block)
+    # The steps that decide on a block's last best score stand in the next block.
+    shared = (F.col("pos") % block < patience) & (own > 0)
+    rows = rows.withColumn("block", F.explode(F.when(shared, F.array(own - 1, own)).otherwise(F.array(own))))
+    listed = rows.groupBy("run_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "step", "f1"))).alias("rows"))
+    # Without a best score at a run's start, else with the one at each of the first steps.
+    entries = F.when(F.col("block") == 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(patience - 1)))
+    start, end = F.col("block") * block, (F.col("block") + 1) * block
+
+    def follow(entry):
+        first = F.struct(
+            F.lit(None).cast("double").alias("best"), F.lit(0).alias("wait"),
+            F.lit(None).cast("long").alias("stopped"), F.lit(None).cast("int").alias("enters"),
+        )
+
+        def advance(state, row):
+            over = state["stopped"].isNotNull() | state["enters"].isNotNull() | (row["pos"] < start + entry)
+            better = row["f1"].isNotNull() & (state["best"].isNull() | (row["f1"] > state["best"] + threshold))
+            leaves = better & (row["pos"] >= end)
+            wait = F.when(better, 0).otherwise(state["wait"] + 1)
+            moved = F.struct(
+                F.when(better, row["f1"]).otherwise(state["best"]).alias("best"),
+                wait.alias("wait"),
+                F.when(wait >= patience, row["step"]).alias("stopped"),
+                F.when(leaves, (row["pos"] - end).cast("int")).alias("enters"),
+            )
+            return F.when(over, state).otherwise(moved)
+
+        def outcome(state):
+            return F.struct(state["enters"].alias("enters"), state["stopped"].alias("stopped"), state["best"].alias("best"))
+
+        return F.aggregate("rows", first, advance, outcome)
+
+    blocks = kept(listed.select("run_id", "block", F.transform(entries, follow).alias("ways")), "blocks")
+    level = 0
+    while blocks.where("block > 0").take(1):
+        level += 1
+        blocks = kept(_neighbours_joined(blocks), f"blocks{level}")
+    way = F.get("ways", F.lit(0))
+    return blocks.select("run_id", way["stopped"].alias("stop_step"), way["best"].alias("best_f1"))
+
+
+def _neighbours_joined(blocks: DataFrame) -> DataFrame:
+    """Each ``JOINED`` blocks of a run as one: where a way leaves a block, the next one's takes over."""
+    above = F.floor(F.col("block") / JOINED).alias("above")
+    listed = blocks.groupBy("run_id", above).agg(F.sort_array(F.collect_list(F.struct("block", "ways"))).alias("parts"))
+
+    def after(ways, part):
+        return F.transform(ways, lambda w: F.when(w["enters"].isNotNull(), F.get(part["ways"], w["enters"])).otherwise(w))
+
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    joined = F.aggregate(rest, F.get("parts", F.lit(0))["ways"], after)
+    return listed.select("run_id", F.col("above").alias("block"), joined.alias("ways"))

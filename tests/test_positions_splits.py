@@ -100,3 +100,16 @@ def test_ratios_must_sum_to_one(spark):
 def test_leak_is_found(spark):
     rows = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "val")], "project string, split string")
     assert [r["project"] for r in splits.leaking_projects(rows).collect()] == ["a"]
+
+
+def test_shuffled_rows_move_once(spark):
+    """The numbering looks at keys; the wide column is in one exchange only."""
+    rows = keyed(spark, 500, 4).selectExpr("string(id) AS id", "repeat(string(id), 20) AS code")
+    plan = shuffle_rows(rows, seed=3)._jdf.queryExecution().optimizedPlan().toString()
+    wide = [line for line in plan.split("\n") if "Window" in line and "code" in line]
+    assert len(wide) <= 1
+    explained = shuffle_rows(rows, seed=3)._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    moved = [part for part in explained.split("\n\n") if ") Exchange" in part.split("\n")[0] and "code#" in part]
+    assert len(moved) == 1

@@ -128,6 +128,23 @@ def test_early_stop_keeps_a_short_list_of_a_long_run(spark):
         history.early_stop(df, 3, 0.0)
 
 
+def test_early_stop_of_a_rising_run_takes_few_jobs(spark):
+    """A million steps that gain each time but at their end, beside short runs."""
+    n = 1_000_000
+    long = spark.range(n).selectExpr("1 AS run_id", "id AS step", f"least(id, {n - 50}) * 1.0D AS f1")
+    short = spark.range(300).selectExpr("2 + id AS run_id", "0L AS step", "0.5D AS f1")
+    df = long.union(short.selectExpr("int(run_id)", "step", "f1"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("early stop", "")
+    try:
+        got = {r["run_id"]: (r["stop_step"], r["best_f1"]) for r in history.early_stop(df, 3, 0.5, 256).collect()}
+    finally:
+        jobs = len(tracker.getJobIdsForGroup("early stop"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.pop(1) == (n - 50 + 3, n - 50.0) and set(got.values()) == {(None, 0.5)} and len(got) == 300
+    assert 0 < jobs < 40
+
+
 def test_turned_away_batches_keep_their_rows(spark):
     sizes = {"a": 1, "b": 100, "c": 101, "d": 5000, None: 102}
     rows = spark.createDataFrame([(b, i) for b, n in sizes.items() for i in range(n)], "b string, id int")
