@@ -17,11 +17,13 @@ many ids lie before it in its range, and ranges are summed up when the files are
 packs are rows of a Spark table, so they lie in any store that Spark writes, and a lost task's
 output is never seen.
 
-Null or empty text: a document without ids but the end id. Null doc_id: ordered first. Repeated
-rows: written each. Empty table: no packs. Columns other than key and text are ignored.
+Null or empty text: a document without ids but the end id. Very long texts: encoded part by part, one
+frame each. Null doc_id: ordered first. Ties in the id: by a hash of the text. Repeated rows: written
+each. Empty table: no packs. Columns other than key and text are ignored.
 """
 
 import hashlib
+import re
 import struct
 import zlib
 from array import array
@@ -32,8 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from defectloom.llm.prefix import order_ranges
-from defectloom.llm.pretoken import Memo, Splitter, chunks, groups, read_spec
+from defectloom.llm.pretoken import Memo, Splitter, groups, read_spec
 from defectloom.llm.store import ship
+from defectloom.llm.wordstream import Slice
 
 END_ID = 1
 MAGIC = b"TOKPACK1"
@@ -45,6 +48,9 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 8 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CHUNKS, WORDS = 300_000, 200_000
+# Texts of more bytes are encoded part by part.
+LONG_BYTES = 4 << 20
+_BLANK = re.compile(b"[ \n]").search
 
 _encoders: dict[str, "LibraryEncoder"] = {}
 
@@ -66,24 +72,106 @@ class LibraryEncoder:
         return _encoders[spec]
 
     def _words(self, new: list[str]) -> dict[str, bytes]:
-        return {word: array("I", [t.id for t in self.tokenize(word)]).tobytes() for word in new}
+        tokenize = self.tokenize
+        return {word: array("I", [t.id for t in tokenize(word)]).tobytes() for word in new}
 
     def _chunks(self, new: list[str]) -> dict[str, bytes]:
-        parts = {chunk: self.splitter.words(chunk) for chunk in new}
+        # A chunk of plain letters is one word.
+        out = self._words([chunk for chunk in new if chunk.isascii() and chunk.isalpha() and chunk.islower()])
+        parts = {chunk: self.splitter.words(chunk) for chunk in new if chunk not in out}
         of = self.by_word.of({w for own in parts.values() if own for w in own}, self._words)
-        return {
-            chunk: self._whole(chunk) if own is None else b"".join(map(of.__getitem__, own))
-            for chunk, own in parts.items()
-        }
+        for chunk, own in parts.items():
+            out[chunk] = self._whole(chunk) if own is None else b"".join(map(of.__getitem__, own))
+        return out
 
     def _whole(self, chunk: str) -> bytes:
         return array("I", self.splitter.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit integers."""
-        parts = [chunks(text) for text in texts]
-        known = self.by_chunk.of({""}.union(*parts), self._chunks)
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
+        """The ids of each text as unsigned 32-bit integers.
+
+        Chunks between blanks, line breaks and plain punctuation are found and hashed on the bytes of
+        all texts at once;
+        Python sees each distinct chunk, and the ids are put together by its number.
+        """
+        held = [(text or "").encode("utf-8") for text in texts]
+        if sum(map(len, held)) > LONG_BYTES:
+            return [b"".join(self._joined([part])[0] for part in _parts(data)) for data in held]
+        return self._joined(held)
+
+    def _joined(self, held: list[bytes]) -> list[bytes]:
+        ends = np.cumsum([len(data) + 1 for data in held])
+        data = b"\n".join(held)
+        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
+            # No special token and no combining mark: capitals count as small letters.
+            data = data.lower()
+        part = Slice(data, np.zeros(1, np.int64), np.zeros(1, np.int64), len(data), _punctuation_cuts(data))
+        if not len(part.starts):
+            return [b""] * len(held)
+        first, number = _numbered(part.words(0), part.words(1))
+        chunks = [data[a:b].decode("utf-8") for a, b in zip(part.starts[first].tolist(), part.ends[first].tolist())]
+        known = self.by_chunk.of(set(chunks), self._chunks)
+        own = [known[chunk] for chunk in chunks]
+        sizes = np.array([len(ids) >> 2 for ids in own])
+        begins = (np.cumsum(sizes) - sizes)[number]
+        lengths = sizes[number]
+        after = np.cumsum(lengths)
+        places = np.repeat(begins - after + lengths, lengths) + np.arange(int(after[-1]))
+        ids = np.frombuffer(b"".join(own), "<u4")[places]
+        # How many ids lie before each text's end.
+        cuts = np.concatenate([[0], after])[np.searchsorted(part.starts, ends)]
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts.tolist()], cuts.tolist())]
+
+
+def _parts(data: bytes):
+    """A text cut at blanks or line breaks into parts of bounded size, but for longer words."""
+    start = 0
+    while len(data) - start > LONG_BYTES:
+        cut = _BLANK(data, start + LONG_BYTES)
+        if cut is None:
+            break
+        yield data[start : cut.start()]
+        start = cut.start()
+    yield data[start:]
+
+
+# Letters and digits; punctuation that is no part of a contraction or a special token.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[c for c in range(0x21, 0x7F)]] = 2
+_KIND[[ord(c) for c in "'<|>"]] = 0
+_KIND[[c for c in range(0x80) if chr(c).isalnum()]] = 1
+
+
+def _punctuation_cuts(data: bytes) -> np.ndarray:
+    """Places between punctuation and a letter or digit of ASCII or Latin-1: words end there for
+    the tokenizer, so the parts have the ids of the whole."""
+    b = np.frombuffer(data, np.uint8)
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    kind = _KIND[b]
+    letter = kind == 1
+    # The second byte of a Latin-1 letter; the signs for times and division are none.
+    latin = np.zeros(len(b), bool)
+    latin[1:] = (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+    first = np.zeros(len(b), bool)
+    first[:-1] = latin[1:]
+    mark = kind == 2
+    return np.flatnonzero(((letter | latin)[:-1] & mark[1:]) | (mark[:-1] & (letter | first)[1:])) + 1
+
+
+def _numbered(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct pair of hashes, and each place's number among them."""
+    order = np.argsort(hashes, kind="stable")
+    h, c = hashes[order], checks[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    if (c[1:] != c[:-1])[~new[1:]].any():
+        # Chunks that share one of the two hashes.
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
@@ -199,9 +287,9 @@ def write_tokens(
                 for ids in encoder.encode(group):
                     counts.append(len(ids) // 4 + 1)
                     frames.append(packer.compress(_narrow(ids + end, width)))
-            columns = [batch.column("_range"), batch.column("key"), pa.array(counts, pa.int64()),
+            columns = [*(batch.column(n) for n in ("_range", "key", "mark")), pa.array(counts, pa.int64()),
                        pa.array(frames, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_range", "key", "n_ids", "frame"])
+            yield pa.RecordBatch.from_arrays(columns, ["_range", "key", "mark", "n_ids", "frame"])
 
     def pack(batches):
         writer = PackWriter(digest, width)
@@ -217,11 +305,11 @@ def write_tokens(
             yield pa.RecordBatch.from_pylist([writer.pack()], schema)
 
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ranged = order_ranges(keyed, ["key"])(keyed).withColumn("_range", F.col("_range").cast("long"))
-    frames = ranged.mapInArrow(compress, "_range long, key long, n_ids long, frame binary")
-    ordered = frames.repartition("_range").sortWithinPartitions(
-        "_range", "key", "n_ids", F.xxhash64("frame")
-    )
+    # Texts that share an id, or have none, stand in the order of a hash, over as many ranges as they fill.
+    keyed = keyed.withColumn("mark", F.xxhash64("text"))
+    ranged = order_ranges(keyed, ["key", "mark"])(keyed).withColumn("_range", F.col("_range").cast("long"))
+    frames = ranged.mapInArrow(compress, "_range long, key long, mark long, n_ids long, frame binary")
+    ordered = frames.repartition("_range").sortWithinPartitions("_range", "key", "mark")
     ordered.mapInArrow(pack, PACK_SCHEMA).write.parquet(f"{path}/packs")
 
 

@@ -38,11 +38,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Slice:
     """The words of some text of one or more groups, with their hashes."""
 
-    def __init__(self, data: bytes, groups: np.ndarray, group_starts: np.ndarray, own: int):
+    def __init__(self, data: bytes, groups: np.ndarray, group_starts: np.ndarray, own: int, cuts=None):
         b = np.frombuffer(data, np.uint8)
         inside = (b != 32) & (b != 10)
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.data, self.starts, self.ends = data, edges[0::2], edges[1::2]
+        if cuts is not None:
+            # Places inside words where they are cut once more.
+            self.starts = np.sort(np.concatenate([self.starts, cuts]))
+            self.ends = np.sort(np.concatenate([self.ends, cuts]))
         self._bytes, self._inside = b, inside
         # Words that follow each other in one piece.
         breaks = np.cumsum(b == 10, dtype=np.int32)
