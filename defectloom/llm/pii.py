@@ -3,18 +3,19 @@
 Base spans are emails, addresses of machines, card and phone numbers, found with built-in
 regular expressions. Each distinct value is a protected entity. For every word close to an
 entity the whole corpus tells how strongly it reveals the entity: the pointwise mutual information
-ln(n(c,t) N / (n(c) n(t))) over documents, as a share of the entity's information ln(N / n(c)).
-Here n(c,t) counts the documents with the word near the entity, n(c) and n(t) those with either.
-Words seen near an entity in ``min_support`` documents whose share reaches ``generalise_at`` are
-replaced by their class, from ``remove_at`` on they are removed, where they stand near that
-entity. A document without personal data is never changed.
+ln(p(c|t) / p(c)) over documents, as a share of the entity's information ln(1 / p(c)). p(c|t), the
+part of the documents with the word that have it near the entity, is shrunk to p(c) as if ``doubt``
+further documents had the word: what one document shows counts, but less than what many show, and
+no pair is left out. Words whose share reaches ``generalise_at`` are replaced by their class, from
+``remove_at`` on they are removed, where they stand near that entity. A document without personal
+data is never changed. Ties: a share equal to a threshold reaches it.
 
 Everything is column expressions. Loops over groups are avoided in the patterns, since a group
 repeated over a long run exhausts the regular expression engine's stack: separators that may join
 two characters are first replaced by a mark of the same length. A step is only taken for texts
 that can hold a match.
 
-Null or empty text: no spans. Null doc_id and repeated rows: each row has its own result, which
+Null or empty text: no spans. Very long texts are read whole. Null doc_id and repeated rows: each row has its own result, which
 depends on the text and the corpus. Empty table: no rows. Other columns are ignored, or kept as
 they are by ``sanitise``.
 """
@@ -27,7 +28,7 @@ from defectloom.llm.store import keep, packed
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 NEAR = 80
-MIN_SUPPORT = 3
+DOUBT = 3.0
 GENERALISE_AT, REMOVE_AT = 0.75, 0.9
 WORD = r"\p{L}{3,}"
 MARK, OTHER = "\x01", "\x02"
@@ -219,7 +220,7 @@ def revealing_words(
     docs: DataFrame,
     found: DataFrame,
     text: str = "text",
-    min_support: int = MIN_SUPPORT,
+    doubt: float = DOUBT,
     generalise_at: float = GENERALISE_AT,
 ) -> DataFrame:
     """(entity, word, share) for every pair above the threshold, by counts over all documents."""
@@ -228,7 +229,7 @@ def revealing_words(
     with_entity = with_entity.agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = F.transform("near", lambda w: F.struct(w["entity"].alias("entity"), w["word"].alias("word")))
     both = found.select(F.explode(F.array_distinct(pairs)).alias("p")).groupBy("p.entity", "p.word")
-    both = keep(both.agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support), "both")
+    both = both.agg(F.count(F.lit(1)).alias("n_both"))
     words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
     words = F.array_distinct(F.transform(words, F.lower))
     with_word = docs.select(F.explode(words).alias("word")).groupBy("word")
@@ -236,7 +237,9 @@ def revealing_words(
     with_word = with_word.agg(F.count(F.lit(1)).alias("n_word"))
     rows = found.agg(F.count(F.lit(1))).scalar()
     known = F.log(rows / F.col("n_entity"))
-    share = F.log(F.col("n_both") * rows / (F.col("n_entity") * F.col("n_word"))) / known
+    # The part of the word's documents, shrunk, over the part of all documents.
+    lift = (F.col("n_both") * rows / F.col("n_entity") + doubt) / (F.col("n_word") + doubt)
+    share = F.log(lift) / known
     paired = both.join(with_entity, "entity").join(with_word, "word")
     paired = paired.select("entity", "word", F.when(known > 0, share).alias("share"))
     return paired.where(F.col("share") >= generalise_at)
@@ -264,14 +267,14 @@ def personal_data(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    min_support: int = MIN_SUPPORT,
+    doubt: float = DOUBT,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
 ) -> DataFrame:
     """One row per document: ``doc_id``, base spans and all spans (structs), the base ones as text
     and all as text (``kind:start:end``, in code points)."""
     found = _find(docs, key, text)
-    revealing = keep(revealing_words(docs, found, text, min_support, generalise_at), "revealing")
+    revealing = keep(revealing_words(docs, found, text, doubt, generalise_at), "revealing")
     terms = _term_spans(found, revealing, remove_at)
     place = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
     element = "struct<start: int, rank: int, end: int, kind: string>"
@@ -286,14 +289,14 @@ def sanitise(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    min_support: int = MIN_SUPPORT,
+    doubt: float = DOUBT,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
 ) -> DataFrame:
     """``docs`` with each base span replaced by its kind in brackets and each revealing word
     generalised or removed. Where spans overlap, the first one's replacement stands for all."""
     found = _find(docs, key, text)
-    revealing = keep(revealing_words(docs, found, text, min_support, generalise_at), "revealing")
+    revealing = keep(revealing_words(docs, found, text, doubt, generalise_at), "revealing")
     terms = _term_spans(found, revealing, remove_at)
     element = "struct<start: int, end: int, instead: string>"
     rows = with_base_spans(packed(docs, text=text).withColumn("own", text_key("text")), "text", "spans")

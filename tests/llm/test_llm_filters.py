@@ -273,27 +273,93 @@ def test_words_that_reveal_an_entity(spark):
     rows = disclosure_docs()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii._find(docs, "doc_id", "text")
-    got = {(r.entity, r.word): r.share for r in pii.revealing_words(docs, found, min_support=3, generalise_at=-9).collect()}
+    got = {(r.entity, r.word): r.share for r in pii.revealing_words(docs, found, generalise_at=-9).collect()}
     n = len(rows)
     with_word = Counter(w for _, t in rows for w in {x.lower() for x in re.findall(r"[^\W\d_]{3,}", t or "")})
     for word, times in (("the", 6), ("zorblat", 6), ("quimby", 6), ("person", 6), ("left", 6)):
-        want = log(times * n / (6 * with_word[word])) / log(n / 6)
+        want = log((times * n / 6 + pii.DOUBT) / (with_word[word] + pii.DOUBT)) / log(n / 6)
         assert got["jo@corp.example", word] == pytest.approx(want)
     assert {e for e, _ in got} == {"jo@corp.example"}
 
 
-def test_sanitised_texts(spark):
-    docs = spark.createDataFrame(disclosure_docs(), "doc_id long, text string").withColumn("spans", F.lit(3))
-    out = pii.sanitise(docs)
-    assert out.columns == ["doc_id", "text", "spans"]
-    got = {r.doc_id: r.text for r in out.collect()}
-    assert got[0].startswith("the  person  as  wrote from [EMAIL] and ") or "[EMAIL]" in got[0]
-    assert "jo@corp" not in got[0] and "quimby" not in got[0]
-    assert got[81] == "[EMAIL]" and got[80] is None
-    # Without an entity in the document nothing changes.
-    assert got[None] == "the mail of Zorblat quimby"
+def brute_terms(rows):
+    """Spans of revealing words per row, and each text without its personal data."""
+    letters = re.compile(r"[^\W\d_]{3,}")
+    entity_of = {"email": str.lower, "ip": str}
+    near, n_word, n_entity, n_both = [], Counter(), Counter(), Counter()
+    for _, text in rows:
+        text, own = text or "", []
+        spans = [p.split(":") for p in brute_spans(text).split(",") if p]
+        spans = [(kind, int(a), int(b)) for kind, a, b in spans]
+        for kind, a, b in spans:
+            entity = entity_of.get(kind, lambda v: re.sub("[^0-9]", "", v))(text[a:b])
+            first = max(0, a - pii.NEAR)
+            for at, end in ((first, a), (b, min(len(text), b + pii.NEAR))):
+                for m in letters.finditer(text[at:end]):
+                    x, y = at + m.start(), at + m.end()
+                    cut = (at == first and 0 < x == at < a) or (at == b and y == end == b + pii.NEAR)
+                    if not cut and not any(s < y and x < e for _, s, e in spans):
+                        own.append((entity, m[0].lower(), x, y))
+        near.append((spans, own))
+        n_word.update({w.lower() for w in letters.findall(text)})
+        n_entity.update({e for e, *_ in own} | {entity_of.get(k, lambda v: re.sub("[^0-9]", "", v))(text[a:b]) for k, a, b in spans})
+        n_both.update({(e, w) for e, w, *_ in own})
+    n, out = len(rows), []
+    for (_, text), (spans, own) in zip(rows, near):
+        share = defaultdict(lambda: -9.0)
+        for e, w, x, y in own:
+            known = log(n / n_entity[e])
+            if known > 0:
+                lift = (n_both[e, w] * n / n_entity[e] + pii.DOUBT) / (n_word[w] + pii.DOUBT)
+                share[x, y] = max(share[x, y], log(lift) / known)
+        terms = {p: s for p, s in share.items() if s >= pii.GENERALISE_AT}
+        edits = [(a, b, f"[{kind.upper()}]") for kind, a, b in spans]
+        for (x, y), s in terms.items():
+            edits.append((x, y, "" if s >= pii.REMOVE_AT else "[NAME]" if text[x] != text[x].lower() else "[WORD]"))
+        clean, at = "", 0
+        for x, y, instead in sorted(edits):
+            if x >= at:
+                clean += text[at:x] + instead
+            at = max(at, y)
+        every = sorted([(a, pii.KINDS.index(k), k, b) for k, a, b in spans] + [(x, 4, "term", y) for x, y in terms])
+        out.append((",".join(f"{k}:{a}:{b}" for a, _, k, b in every), clean + text[at:] if text else text))
+    return out
+
+
+def far_and_rare_docs():
+    rng = random.Random(12)
+    rows = [(k, words(rng, 60)) for k in range(400)]
+    rows += [(400, f"mail Anselma Zwick at zwick@home.example or {words(rng, 30)}"), (401, f"{words(rng, 30)} from 10.1.2.3 by Berthold")]
+    rows += [(k, f"the office of Anselma answers {words(rng, 3)} zwick@home.example") for k in (402, 403)]
+    return rows + [(404, f"Anselma {words(rng, 40)}"), (405, f"Zwick {'x' * 90} zwick@home.example")]
+
+
+@pytest.mark.parametrize("rows", [disclosure_docs(), far_and_rare_docs()], ids=["repeated", "rare"])
+def test_terms_are_those_of_plain_python(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(3))
+    want = brute_terms(rows)
+    got = {r.doc_id: r.spans_text for r in pii.personal_data(docs).collect()}
+    assert got == {k: spans for (k, _), (spans, _) in zip(rows, want)}
+    clean = pii.sanitise(docs)
+    assert clean.columns == ["doc_id", "text", "spans"]
+    assert {r.doc_id: r.text for r in clean.collect()} == {k: text for (k, _), (_, text) in zip(rows, want)}
+    assert any("term" in spans for spans, _ in want)
+
+
+def test_names_seen_in_one_document_are_found(spark):
+    docs = spark.createDataFrame(far_and_rare_docs(), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(name in got[k] for k, name in ((400, "Anselma"), (401, "Berthold"), (402, "Anselma")))
+    assert got[404].startswith("Anselma")
+
+
+def test_texts_without_personal_data_stay(spark):
+    docs = spark.createDataFrame(disclosure_docs(), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     originals = dict(disclosure_docs())
-    assert all(got[k] == originals[k] for k in range(6, 80))
+    assert got[0].startswith("the [NAME] person") and "jo@corp" not in got[0] and "quimby" not in got[0]
+    assert got[81] == "[EMAIL]" and got[80] is None
+    assert all(got[k] == originals[k] for k in [None, *range(6, 80)])
 
 
 def test_overlapping_spans_are_replaced_once(spark):
