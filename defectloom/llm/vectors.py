@@ -5,7 +5,8 @@ pairs of codes form a grid of cells, and every vector is filed in the cell of it
 From its own cell a vector visits others by rising bound: the squared distance it would have to
 move, in both halves together, to fall into the cell. The traversal stops at the bound below which
 the cells of ``recall`` of all neighbours at the threshold lie, measured on the sample with
-neighbours in random directions, at the latest where no neighbour can lie. Everything in a visited
+neighbours in random directions and in those in which near vectors of the sample differ, whichever
+lie further, at the latest where no neighbour can lie. Everything in a visited
 cell is verified by the cosine in double precision. A pair is looked at if either visits the
 other's cell.
 
@@ -14,7 +15,9 @@ A task gathers the vectors that visit a cell into packs, and a pack meets the ce
 one; out come numbers of links and a forest of links, never the pairs.
 
 Null or empty vectors, zero vectors and those with null or non-finite components have no links.
-Vectors of different lengths have none with each other. Null vec_id: the row counts as a vector
+Vectors of different lengths have none with each other. Each of the 64 most frequent lengths, and of
+those with more than ``FEW`` distinct vectors, has an index; all other lengths are compared in full,
+tile by tile, in one job. Null vec_id: the row counts as a vector
 and is never the kept one. Repeated rows: each counts. Empty table: no rows. Other columns are
 ignored.
 """
@@ -31,7 +34,8 @@ RECALL = 0.995
 # Vectors the codebooks are fitted on, at most about; codes of a half, at most; vectors of a cell, on
 # average, before that; vectors of a tile, at most about.
 SAMPLE, CODES, PER_CELL, TILE = 16_384, 256, 48, 512
-LENGTHS = 64
+LENGTHS, FEW = 64, 8192
+PROBES, AROUND = 1024, 8
 ROUNDS = 12
 
 
@@ -71,14 +75,29 @@ class MultiIndex:
         self.width = len(self.codes[1])
         self.stop = 2 * (1 - threshold) * (1 + 1e-9)
         if recall < 1:
-            self.stop = min(self.stop, self._measured(sample[:4096], threshold, recall))
+            self.stop = min(self.stop, self._measured(sample, threshold, recall))
 
     def _halves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return vectors[:, : self.half], vectors[:, self.half :]
 
     def _measured(self, sample: np.ndarray, threshold: float, recall: float) -> float:
         """The bound within which ``recall`` of neighbours at the threshold fall."""
-        turn = np.random.default_rng(0).standard_normal(sample.shape)
+        rng = np.random.default_rng(0)
+        stops = [self._way(sample[:4096], rng.standard_normal(sample[:4096].shape), threshold, recall)]
+        probes = np.repeat(sample[:PROBES], 4, axis=0)
+        # In data of low rank neighbours lie along the data, not anywhere.
+        alike = sample[:PROBES] @ sample.T
+        alike[alike > 1 - 1e-9] = -2
+        some = min(AROUND, len(sample) - 1)
+        if some:
+            nearest = np.repeat(np.argpartition(-alike, some - 1, axis=1)[:, :some], 4, axis=0)
+            weights = rng.standard_normal(nearest.shape)
+            turn = np.einsum("ps,psd->pd", weights, sample[nearest]) - weights.sum(1, keepdims=True) * probes
+            stops.append(self._way(probes, turn, threshold, recall))
+        return max(stops)
+
+    def _way(self, sample: np.ndarray, turn: np.ndarray, threshold: float, recall: float) -> float:
+        """The bound for neighbours at the threshold in the directions of ``turn``."""
         turn = unit(turn - (turn * sample).sum(1, keepdims=True) * sample + 1e-300)
         near = threshold * sample + np.sqrt(1 - threshold * threshold) * turn
         one, two = self.bounds(sample)
@@ -274,6 +293,48 @@ def _links_of_length(vectors: DataFrame, length: int, threshold: float, recall:
     return visiting.join(theirs, ["cell", "tile"]).mapInArrow(compare, "kind int, a long, b long")
 
 
+def _links_of_few(vectors: DataFrame, threshold: float) -> DataFrame:
+    """The same as ``_links_of_length`` for vectors of many lengths, each of at most ``FEW``."""
+    ship(vectors.sparkSession)
+    sized = vectors.withColumn("length", F.size("vector"))
+    tiles = sized.groupBy("length").agg(F.ceil(2 * F.count(F.lit(1)) / TILE).cast("int").alias("n"))
+    one = F.struct("node", "copies", F.col("vector").cast("array<double>").alias("vector"))
+    tile = F.pmod(F.xxhash64("vector"), "n").cast("int")
+    packs = sized.join(tiles, "length").groupBy("length", tile.alias("tile")).agg(F.collect_list(one).alias("v"))
+    packs = packs.select(
+        "length", "tile", F.col("v.node").alias("node"), F.col("v.copies").alias("copies"), F.flatten("v.vector").alias("vector")
+    )
+    packs = keep(packs, "few")
+    theirs = packs.select("length", *[F.col(c).alias(f"_{c}") for c in ("tile", "node", "copies", "vector")])
+
+    def links_of(batch, k: int) -> list[tuple]:
+        def array(name):
+            return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+
+        length = batch.column("length")[k].as_py()
+        same = batch.column("tile")[k] == batch.column("_tile")[k]
+        a, b = array("node"), array("_node")
+        x, y = (unit(array(c).reshape(-1, length)) for c in ("vector", "_vector"))
+        i, j = np.nonzero(x @ y.T >= threshold)
+        i, j = i[a[i] != b[j]], j[a[i] != b[j]]
+        ours, others = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        np.add.at(ours, i, array("_copies")[j])
+        if not same:
+            np.add.at(others, j, array("copies")[i])
+        node, root = forest(a[i], b[j])
+        return [(0, a[ours > 0], ours[ours > 0]), (0, b[others > 0], others[others > 0]), (1, node, root)]
+
+    def compare(batches):
+        for batch in batches:
+            parts = [p for k in range(batch.num_rows) for p in links_of(batch, k)]
+            if parts:
+                columns = zip(*[(np.full(len(n), kind, np.int32), n, v) for kind, n, v in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["kind", "a", "b"])
+
+    pairs = packs.join(theirs, "length").where(F.col("tile") <= F.col("_tile"))
+    return pairs.mapInArrow(compare, "kind int, a long, b long")
+
+
 def near_vectors(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL
 ) -> DataFrame:
@@ -288,14 +349,18 @@ def near_vectors(
     )
     # Numbered as it is written, so that the numbers stay.
     kinds = keep(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
-    lengths = sorted(r[0] for r in kinds.select(F.size("vector")).distinct().limit(LENGTHS + 1).collect())
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} lengths")
+    sizes = keep(kinds.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    lengths = {r.length for r in sizes.orderBy(F.desc("n"), "length").limit(LENGTHS).collect()}
+    # Each of these has work of its own.
+    lengths |= {r.length for r in sizes.where(F.col("n") > FEW).collect()}
     found = None
-    for length in lengths:
+    for length in sorted(lengths):
         some = kinds.where(F.size("vector") == length)
         part = keep(_links_of_length(some, length, threshold, recall), "found")
         found = part if found is None else found.union(part)
+    if len(lengths) >= LENGTHS:
+        few = kinds.where(~F.size("vector").isin(*lengths))
+        found = found.union(keep(_links_of_few(few, threshold), "found"))
     if found is None:
         found = df.sparkSession.createDataFrame([], "kind int, a long, b long")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
