@@ -30,13 +30,10 @@ lines AS (
   WHERE regexp_matches(line, '{_WORD}')
 ),
 named AS (SELECT *, array_to_string(parts, ' ') AS norm FROM lines),
-hosts AS (SELECT source, count(DISTINCT own) AS docs FROM d GROUP BY source),
-common AS (
-  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT own) AS n FROM named GROUP BY source, norm)
-  JOIN hosts h USING (source) WHERE n >= 20 AND n > 0.1 * docs
-),
+common AS (SELECT source, norm FROM named GROUP BY source, norm HAVING count(DISTINCT own) >= 20),
 lost AS (
-  SELECT doc_id, sum(len(parts)) AS lost FROM named JOIN common USING (source, norm) GROUP BY doc_id
+  SELECT doc_id, sum(len(parts)) AS lost
+  FROM named n JOIN common c ON n.source IS NOT DISTINCT FROM c.source AND n.norm = c.norm GROUP BY doc_id
 ),
 repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM named GROUP BY doc_id),
 counted AS (
@@ -109,14 +106,35 @@ priors AS (
 ),
 {_level('host', 'priors')},
 beta AS (SELECT host, t.s * prior + bad AS a, t.s * (1 - prior) + n - bad AS b FROM priors, host_strength t),
-bounds AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM beta),
+bar AS (SELECT least(0.5::DOUBLE, 1.5::DOUBLE * (sum(bad) + 1) / (sum(n) + 2)) AS x FROM hosts),
+sides AS (
+  SELECT host, a, b, x < (a + 1) / (a + b + 2) AS low,
+         CASE WHEN x < (a + 1) / (a + b + 2) THEN x ELSE 1 - x END AS y,
+         CASE WHEN x < (a + 1) / (a + b + 2) THEN a ELSE b END AS c, x
+  FROM beta, bar
+),
+steps AS (
+  SELECT host, exp(sum(ln((a + b + k) * y / (c + 1 + k))) OVER (PARTITION BY host ORDER BY k)) AS term
+  FROM sides, (SELECT unnest(range(1000)) AS k)
+),
+series AS (SELECT host, 1 + sum(term) AS total FROM steps GROUP BY host),
+tails AS (
+  SELECT host, a, b, x, low,
+         exp(c * ln(y) + (a + b - c) * ln(1 - y) + lgamma(a + b) - lgamma(a) - lgamma(b)) / c * total AS tail
+  FROM sides JOIN series USING (host)
+),
+bounds AS (
+  SELECT host, CASE WHEN a + b <= 10000 THEN CASE WHEN low THEN 1 - tail ELSE tail END > 0.95::DOUBLE
+    ELSE a / (a + b) - 1.6448536269514722::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > x END AS blocked
+  FROM tails
+),
 rules(rule_host, rule_path, verdict) AS (VALUES {', '.join(map(str, _RULES))}),
 fitting AS (
   SELECT DISTINCT host, path, rule_host || rule_path AS rule, verdict FROM found, rules
   WHERE (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
 ),
 longest AS (SELECT * FROM fitting QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC) = 1)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM found LEFT JOIN longest USING (host, path) JOIN bounds USING (host)
 """
 

@@ -200,11 +200,39 @@ def brute_bounds(pages, outcomes):
     _, suffix = level(suffixes, lambda g: prior)
     _, domain = level(domains, lambda g: suffix[names(next(iter(domains[g])))[0]])
     s, mean = level({h: {h} for h in hosts}, lambda g: domain[names(g)[1]])
-    out = {}
-    for h in hosts:
-        a, b = mean[h] * (s + n[h]), (1 - mean[h]) * (s + n[h])
-        out[h] = mean[h] - 1.645 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
-    return out
+    limit = min(urls.MOST, urls.RATIO * prior)
+    return {h: above(limit, mean[h] * (s + n[h]), (1 - mean[h]) * (s + n[h])) > urls.SURE for h in hosts}
+
+
+def above(x, a, b):
+    """The upper tail of a beta distribution, integrated over logits."""
+    at = np.linspace(-400, 400, 800_001)
+    logs = -a * np.logaddexp(0, -at) - b * np.logaddexp(0, at)
+    density = np.exp(logs - logs.max())
+    return float(density[at > math.log(x / (1 - x))].sum() / density.sum())
+
+
+def test_beta_tail_is_that_of_a_binomial(spark):
+    cases = [(x, a, b) for x in (0.02, 0.15, 0.3, 0.5, 0.9) for a in (1, 2, 7, 60) for b in (1, 3, 40, 500)]
+    table = spark.createDataFrame([(x, float(a), float(b)) for x, a, b in cases], "x double, a double, b double")
+    got = [r[0] for r in table.select(urls.beta_above(*(F.col(c) for c in "xab"))).collect()]
+    for (x, a, b), p in zip(cases, got):
+        n = a + b - 1
+        want = math.fsum(math.comb(n, k) * x**k * (1 - x) ** (n - k) for k in range(a))
+        assert p == pytest.approx(want, abs=2e-4)
+
+
+def test_a_planted_bad_host_is_blocked(spark):
+    rng = random.Random(2)
+    rows, outcomes = [], []
+    for k in range(3000):
+        host = "bad.example.org" if k % 50 == 0 else f"h{k % 40}.site{k % 8}.de"
+        rows.append((k, f"https://{host}/x{k}"))
+        outcomes.append((k, int(rng.random() < (0.6 if host.startswith("bad") else 0.1))))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge_pages(pages, spark.createDataFrame(outcomes, "page_id long, bad int")).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {"bad.example.org"}
+    assert sum(r.verdict == "block" for r in got) == 60
 
 
 def test_pages(spark):
@@ -225,10 +253,10 @@ def test_pages(spark):
     for k, u in rows:
         host, path = brute_page(u)
         rule, verdict = brute_rule(host, path)
-        want.append((k, host, path, rule, verdict or ("block" if bounds[host] > urls.LIMIT else "allow")))
+        want.append((k, host, path, rule, verdict or ("block" if bounds[host] else "allow")))
     assert Counter(tuple(r) for r in got) == Counter(want)
     assert {w[4] for w in want if w[3] is None} == {"allow", "block"}
-    assert {r.host: r.bound for r in urls.reputation(urls.with_host(pages.select("page_id", "url")), table).collect()} == pytest.approx(bounds)
+    assert {r.host: r.blocked for r in urls.reputation(urls.with_host(pages.select("page_id", "url")), table).collect()} == bounds
 
 
 def test_no_pages(spark):
@@ -294,6 +322,38 @@ def test_vectors_against_all_pairs(spark, monkeypatch, tile):
     assert all(r.kept == (k == r.component_id) for k, r in exact.items())
 
 
+def test_more_lengths_than_have_an_index(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LENGTHS", 2)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((90, 12)))]
+    for length in range(1, 41):
+        base = rng.standard_normal(length)
+        rows += [(len(rows) + k, [float(x) for x in base + 0.2 * rng.standard_normal(length)]) for k in range(4 + 40 * (length == 7))]
+    rows.append((len(rows), rows[-1][1]))
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect()}
+    links = brute_vectors(rows)
+    assert {k: r.n_links for k, r in got.items()} == {k: len(links[k]) for k, _ in rows}
+    assert all(r.component_id <= min({k, *links[k]}) for k, r in got.items())
+
+
+@pytest.mark.parametrize("rank", [4, 6, 8])
+def test_recall_in_data_of_low_rank(rank):
+    rng = np.random.default_rng(rank)
+    data = vectors.unit(rng.standard_normal((6000, rank)) @ np.linalg.qr(rng.standard_normal((64, rank)))[0].T)
+    index = vectors.MultiIndex(data[:4000], 128, 0.95, vectors.RECALL)
+    who, cells = index.visits(data[:600])
+    visited = np.zeros((600, 128 * 128), bool)
+    visited[who, cells] = True
+    homes = index.cells(data)
+    i, j = np.nonzero(data[:600] @ data.T >= 0.95)
+    either = visited[i, homes[j]]
+    for k in np.nonzero(~either)[0]:
+        back, there = index.visits(data[j[k] : j[k] + 1])
+        either[k] = homes[i[k]] in there
+    assert either.mean() >= 0.99
+
+
 def test_repeated_rows_and_unknown_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0])]
     got = Counter(tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
