@@ -516,6 +516,28 @@ PROGRAMS = "['bitcount', 'detect_cycle', 'gcd', 'kth', 'shortest_paths', 'sieve'
 BATCHED = """batched AS (
   SELECT doc_id AS id, lang || '/' || (n_chars // 1000) AS batch_id FROM documents)"""
 
+COUNTED = f"""{SPLIT_SAMPLES}, hashed AS (
+  SELECT DISTINCT id, split, is_buggy, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 16384 AS bucket
+  FROM (SELECT id, split, is_buggy, unnest({tokens('code')}) AS token FROM split_samples)),
+texts AS (
+  SELECT count(*) FILTER (is_buggy = 0) AS clean, count(*) FILTER (is_buggy = 1) AS buggy FROM split_samples WHERE split = 'train'),
+seen AS (
+  SELECT bucket, count(*) FILTER (is_buggy = 0) AS n_clean, count(*) FILTER (is_buggy = 1) AS n_buggy
+  FROM hashed WHERE split = 'train' GROUP BY bucket),
+fitted AS (
+  SELECT CAST(b AS INTEGER) AS bucket, coalesce(n_clean, 0) AS n_clean, coalesce(n_buggy, 0) AS n_buggy,
+         CASE WHEN n_clean IS NULL THEN 0 ELSE CAST(round(1048576 * (ln((n_buggy + 1)::DOUBLE / (buggy + 2))
+           - ln((n_clean + 1)::DOUBLE / (clean + 2)))) AS BIGINT) END AS weight
+  FROM (SELECT unnest(range(16384)) AS b) LEFT JOIN seen ON b = bucket, texts),
+margins AS (
+  SELECT s.id, s.project, s.is_buggy, s.split, coalesce(sum(f.weight), 0)::DOUBLE / 1048576 AS margin
+  FROM split_samples s LEFT JOIN hashed h ON s.id = h.id LEFT JOIN fitted f ON h.bucket = f.bucket
+  WHERE s.split IN ('test', 'eval') GROUP BY ALL),
+preds AS (
+  SELECT id, project, is_buggy, split, CASE WHEN margin > 0 THEN 1 ELSE 0 END AS yhat,
+         1 / (1 + exp(-abs(margin))) AS score
+  FROM margins)"""
+
 ORACLE: dict[str, str] = {
     "load_samples": f"WITH {SAMPLES} SELECT * FROM samples",
     "roundtrip_parquet": "SELECT doc_id AS id, source AS project, md5(text) AS code_md5 FROM documents",
@@ -610,6 +632,16 @@ SELECT stem, path FROM defects WHERE stem NOT IN (SELECT stem FROM fixes)""",
     "clean_only": f"WITH {SAMPLES} SELECT id, source, project, pair_id FROM samples WHERE is_buggy = 0",
     "request_rules": f"""SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents""",
+    "train_counts": f"WITH {COUNTED} SELECT bucket, n_clean, n_buggy, weight FROM fitted",
+    "score_counts": f"""WITH {COUNTED}
+SELECT id, yhat, round(score, 6) AS score, CASE WHEN yhat = 1 THEN 'buggy' ELSE 'clean' END AS label FROM preds""",
+    "evaluate_counts": f"""WITH {COUNTED}, {scope_rows()}, {metrics('scoped', 'section, name')}
+SELECT section, name, {METRIC_SELECT} FROM base JOIN macro USING (section, name)""",
+    "stream_batches": f"""WITH {BATCHED}, judged AS (
+  SELECT id, batch_id, CASE WHEN count(*) OVER (PARTITION BY batch_id) > 100 THEN 'batch too large' WHEN length(text) < 1 THEN 'empty'
+    WHEN length(text) > 10000 THEN 'too long' WHEN {strip('text')} = '' THEN 'blank' END AS reason
+  FROM batched JOIN documents ON id = doc_id)
+SELECT id, batch_id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM judged""",
     "stream_verdicts": f"""SELECT id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, reason IS NULL AS labelled
 FROM (SELECT doc_id AS id, CASE WHEN length(text) < 1 THEN 'empty' WHEN length(text) > 10000 THEN 'too long'
   WHEN {strip('text')} = '' THEN 'blank' END AS reason FROM documents) d""",

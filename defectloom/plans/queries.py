@@ -1,6 +1,7 @@
 """The registered queries: every operator over the given tables."""
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,7 +14,7 @@ from defectloom.plans import bindings as B
 from defectloom.plans import dataset, training
 from defectloom.schema import SPLITS
 from defectloom.sources import bug_tree, code_dirs, reports, samples, test_cases, verify_log
-from defectloom.streaming import scoring
+from defectloom.streaming import batches as stream_rule, scoring
 from defectloom.workspace import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,9 @@ PREVIEW_BATCH = 100
 METRIC_COLUMNS = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "avg_confidence")
 SEED = 42
 FILES_PER_TRIGGER = 64
+STREAM_FILES = 6
 SETTINGS = training.TrainSettings()
+COUNTS = replace(SETTINGS, classifier="counts")
 
 
 def query(fn: Query) -> Query:
@@ -708,6 +711,24 @@ def train_and_evaluate(spark, sf):
     return training.evaluate(training.train(rows, SETTINGS), rows)
 
 
+@query
+def train_counts(spark, sf):
+    """The classifier in closed form, as fitted on the train split."""
+    return training.train(written_splits(spark, sf), COUNTS)
+
+
+@query
+def score_counts(spark, sf):
+    rows = written_splits(spark, sf)
+    return rounded(training.score_table(training.train(rows, COUNTS), rows), "score")
+
+
+@query
+def evaluate_counts(spark, sf):
+    rows = written_splits(spark, sf)
+    return rounded(training.evaluate(training.train(rows, COUNTS), rows), *METRIC_COLUMNS)
+
+
 @query
 def saved_model_scores(spark, sf):
     """Whether a saved and loaded model gives each row the score it gave before."""
@@ -791,3 +812,21 @@ def stream_verdicts(spark, sf):
     """What the stream decides without the model, and which rows the model gave a label."""
     labelled = F.col("label").isNotNull() & F.col("score").isNotNull()
     return streamed(spark, sf).select("id", "status", "reason", labelled.alias("labelled"))
+
+
+@query
+def stream_batches(spark, sf):
+    """What a stream of batches decides: rows arrive in several files, batches across them."""
+    root = work_dir(spark)
+    batch = F.concat_ws("/", "lang", F.expr("n_chars div 1000"))
+    arrived = F.timestamp_seconds(F.lit(86_400) + F.col("id") % 3600)
+    corpus = B.corpus(spark, sf).select("id", batch.alias("batch_id"), "code", arrived.alias("arrived"))
+    corpus.repartition(STREAM_FILES).write.parquet(f"{root}/in")
+    # A later row without an id closes what is open.
+    last = spark.range(1).select(F.timestamp_seconds(F.lit(1 << 20)).alias("arrived"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("id", "bigint"), ("batch_id", "string"), ("code", "string"))]
+    last.select(*none, "arrived").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    arriving = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", STREAM_FILES // 2)
+    arriving = arriving.parquet(f"{root}/in")
+    stream_rule.start_batches(arriving, "batch_id", "arrived", f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("id", F.col("batch").alias("batch_id"), "status", "reason")

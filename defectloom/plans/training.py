@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from defectloom.operators import counts_model
 from defectloom.operators.augment import augment
 from defectloom.operators.metrics import attach_predictions, evaluation_report
 from defectloom.operators.model import describe, fit, predict, save
@@ -25,6 +26,8 @@ class TrainSettings:
     vocab_size: int | None = None
     n_features: int = 1 << 14
     iterations: int = 20
+    # "logistic" or "counts", the closed form of ``counts_model``.
+    classifier: str = "logistic"
 
 
 def of_split(rows: DataFrame, split: str) -> DataFrame:
@@ -56,22 +59,28 @@ def encoded_rows(rows: DataFrame, settings: TrainSettings) -> DataFrame:
     return encoded.withColumnRenamed("is_buggy", "labels")
 
 
-def train(rows: DataFrame, settings: TrainSettings) -> PipelineModel:
+def train(rows: DataFrame, settings: TrainSettings) -> PipelineModel | DataFrame:
     """Fit on the train split as it is."""
     return fit_rows(of_split(rows, "train"), settings)
 
 
-def fit_rows(rows: DataFrame, settings: TrainSettings) -> PipelineModel:
-    return fit(rows, n_features=settings.n_features, iterations=settings.iterations)
+def fit_rows(rows: DataFrame, settings: TrainSettings) -> PipelineModel | DataFrame:
+    if settings.classifier == "logistic":
+        return fit(rows, n_features=settings.n_features, iterations=settings.iterations)
+    # Written, so that it is fitted once however often it is used.
+    path = f"{work_dir(rows.sparkSession)}/counts"
+    counts_model.fit(rows, settings.n_features).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
-def score_table(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score_table(model: PipelineModel | DataFrame, rows: DataFrame) -> DataFrame:
     """Predictions for the test split and the held-out rows, keyed by ``id``."""
     chosen = rows.where(F.col("split").isin("test", "eval")).select("id", "code")
-    return predict(model, chosen).drop("code")
+    by = counts_model.predict if isinstance(model, DataFrame) else predict
+    return by(model, chosen).drop("code")
 
 
-def evaluate(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def evaluate(model: PipelineModel | DataFrame, rows: DataFrame) -> DataFrame:
     facts = rows.select("id", "split", "project", "is_buggy")
     return evaluation_report(attach_predictions(facts, score_table(model, rows)))
 
@@ -83,10 +92,15 @@ def run(rows: DataFrame, settings: TrainSettings, out: str) -> DataFrame:
     """
     spark = rows.sparkSession
     model = fit_rows(enlarged_train(rows, settings, f"{out}/train"), settings)
-    save(model, f"{out}/model")
+    counted = isinstance(model, DataFrame)
+    if counted:
+        model.write.mode("overwrite").parquet(f"{out}/model")
+    else:
+        save(model, f"{out}/model")
     evaluate(model, rows).write.mode("overwrite").json(f"{out}/evaluation")
     report = spark.read.json(f"{out}/evaluation")
     test = report.where("section = 'test'").drop("section", "name")
-    card = model_card(test, describe(model), asdict(settings), datetime.now().isoformat())
+    about = counts_model.describe(model) if counted else describe(model)
+    card = model_card(test, about, asdict(settings), datetime.now().isoformat())
     save_text(card, f"{out}/model_card")
     return report
