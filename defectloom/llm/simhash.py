@@ -2,17 +2,23 @@
 
 Texts become 64-bit fingerprints, equal ones once. Fingerprints within ``max_bits`` of each other
 agree in at least one of ``max_bits + 1`` blocks of bits, so a fingerprint goes to one shard per
-block, by the block's leading bits; their number grows with the fingerprints. The members of a
-shard are cut by hash into trees of bounded size. A tree's children are keyed by their integer
-Hamming distance to the parent; it is sent to every block of queries of its shard, and a query
-at distance d from a node follows only the edges from d - max_bits to d + max_bits. No tree,
-link or component passes the driver.
-
-Null, empty or blank text: fingerprint zero, linked like any other. Null doc_id: the row gets the
+block, by the block's leading bits; their number grows with the fingerprints. Where one block has
+too few bits for that, the bits are cut into more blocks, of which several agree, and a fingerprint
+goes to one shard per choice of those: for 3 bits 4 shards of up to 16 bits, 10 of 24, 20 of 30 or
+35 of 36. The members of a shard are cut by hash into trees of bounded size. A tree's children are
+keyed by their integer Hamming distance to the parent; it is sent to every block of queries of its
+shard, and a query at distance d from a node follows only the edges from d - max_bits to
+d + max_bits. In a crowded shard a bounded number of trees meets a bounded number of blocks under
+one key. No tree, link or component passes the driver.
+
+Null, empty or blank text: fingerprint zero, linked like any other. Very long text: hashed whole, its
+votes summed in steps of 65,536 shingles. Ties: a bit with as many votes for as against is 0. Null doc_id: the row gets the
 smallest known id of its component, null if there is none. Repeated rows: each has its row.
 Empty table: no rows. Other columns are ignored, or kept as they are by ``drop_near_copies``.
 """
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +32,7 @@ SEED = 42
 MAX_BITS = 3
 SHARD_SIZE = 512
 TREE_SIZE = 2048
+TREES_AT_ONCE = 32
 QUERIES_AT_ONCE = 256
 _AT_ONCE = 1 << 16
 
@@ -127,23 +134,38 @@ def _build(batches):
             for own in batch.column("members").to_pylist()
         ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("shard"), batch.column("tile"), pa.array(trees, pa.binary())],
-            ["shard", "tile", "tree"],
+            [*(batch.column(c) for c in ("shard", "tile", "trees")), pa.array(trees, pa.binary())],
+            ["shard", "tile", "trees", "tree"],
         )
 
 
+def in_shards(prints: DataFrame, rows: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """Each ``fp`` with its shards, so that two within ``max_bits`` bits share one at least.
+
+    With ``rows`` random fingerprints a shard has some ``SHARD_SIZE`` members, however many rows.
+    """
+    wanted = (rows // SHARD_SIZE).bit_length()
+    for blocks in range(max_bits + 1, max_bits + 5):
+        agree = blocks - max_bits
+        lead = min(agree * (64 // blocks), wanted)
+        if lead == wanted:
+            break
+    ends = [64 * (k + 1) // blocks for k in range(blocks)]
+    shards = []
+    for n, chosen in enumerate(combinations(ends, agree)):
+        shard = F.lit(n).cast("long")
+        for k, end in enumerate(chosen):
+            bits = lead // agree + (k < lead % agree)
+            own = F.shiftrightunsigned("fp", end - bits).bitwiseAND((1 << bits) - 1)
+            shard = F.shiftleft(shard, bits).bitwiseOR(own)
+        shards.append(shard)
+    return prints.select("fp", F.explode(F.array(*shards)).alias("shard"))
+
+
 def near_prints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (node, root) that join all distinct fingerprints ``fp`` within ``max_bits`` bits."""
     ship(prints.sparkSession)
-    blocks = max_bits + 1
-    rows = prints.count()
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    lead = min(64 // blocks, max(0, (rows // SHARD_SIZE).bit_length()))
-    shards = []
-    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        bits = F.shiftrightunsigned("fp", high - min(lead, high - low)).bitwiseAND((1 << lead) - 1)
-        shards.append(F.lit(k << 32) + bits)
-    members = prints.select("fp", F.explode(F.array(*shards)).alias("shard"))
+    members = in_shards(prints, prints.count(), max_bits)
     # Shards above the size of a tree are cut by hash into as many trees as they need.
     large = keep(
         members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE_SIZE // 2),
@@ -151,11 +173,21 @@ def near_prints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     trees = F.coalesce(F.ceil(F.col("n") / (TREE_SIZE // 2)), F.lit(1))
     tile = F.pmod(F.xxhash64("fp", F.lit("tile")), trees).cast("int")
-    tiles = members.join(large, "shard", "left").groupBy("shard", tile.alias("tile"))
+    tiles = members.join(large, "shard", "left")
+    tiles = tiles.groupBy("shard", tile.alias("tile"), trees.cast("int").alias("trees"))
     tiles = keep(tiles.agg(F.collect_list("fp").alias("members")), "tiles")
-    trees = keep(tiles.mapInArrow(_build, "shard long, tile int, tree binary"), "trees")
-    asked = tiles.select("shard", F.col("tile").alias("_from"), "members")
-    pairs = trees.join(asked, "shard").where("_from >= tile").select("tree", "members")
+    trees = keep(tiles.mapInArrow(_build, "shard long, tile int, trees int, tree binary"), "trees")
+    # Trees and queries of a shard meet in groups, so a crowded shard is many keys of bounded size.
+    group = lambda c: F.floor(F.col(c) / TREES_AT_ONCE).cast("int")
+    last = F.floor((F.col("trees") - 1) / TREES_AT_ONCE).cast("int")
+    trees = trees.select(
+        "shard", "tile", "tree", group("tile").alias("one"), F.explode(F.sequence(group("tile"), last)).alias("other")
+    )
+    asked = tiles.select(
+        "shard", F.col("tile").alias("_from"), "members", group("tile").alias("other"),
+        F.explode(F.sequence(F.lit(0), group("tile"))).alias("one"),
+    )
+    pairs = trees.join(asked, ["shard", "one", "other"]).where("_from >= tile").select("tree", "members")
 
     def search(batches):
         for batch in batches:

@@ -185,6 +185,48 @@ def test_simhash_components(docs, rows, monkeypatch, sizes):
     assert got == Counter(zip(ids, prints, brute_components(ids, prints)))
 
 
+def near_pairs(rng, n):
+    """Random fingerprints, and for each another one at most three bits apart."""
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (n, 3)).astype(np.uint64)
+    return np.unique(np.concatenate([base, np.bitwise_xor.reduce(flips, axis=1) ^ base]))
+
+
+@pytest.mark.parametrize("rows, shards", [(1 << 25, 10), (1 << 33, 20), (1 << 40, 35)])
+def test_shards_for_any_number_of_prints(spark, monkeypatch, rows, shards):
+    # The shards that a table of so many rows would get: from two, three or four blocks.
+    prints = near_pairs(np.random.default_rng(4), 1000)
+    own = prints.view(np.int64).tolist()
+    table = spark.createDataFrame([(p,) for p in own], "fp long").repartition(3)
+    whole = simhash.in_shards
+    assert whole(table, rows).count() == shards * len(own)
+    monkeypatch.setattr(simhash, "in_shards", lambda t, n, max_bits: whole(t, rows, max_bits))
+    got = group(own, ((r.node, r.root) for r in simhash.near_prints(table).collect()))
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    assert got == group(own, ((own[a], own[b]) for a, b in zip(*np.nonzero(apart <= 3))))
+
+
+def test_work_per_print_does_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 1)
+    for n, shards in ((1 << 14, 4), (1 << 19, 10)):
+        prints = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        sizes = simhash.in_shards(prints, n).groupBy("shard").count()
+        looked = sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0] / n
+        assert looked < 2 * shards
+
+
+def test_a_crowded_shard_is_many_keys(spark, monkeypatch):
+    # All prints share 50 leading bits: their trees and queries meet in groups, and no link is lost.
+    monkeypatch.setattr(simhash, "TREE_SIZE", 32)
+    monkeypatch.setattr(simhash, "TREES_AT_ONCE", 2)
+    prints = np.unique(np.random.default_rng(6).integers(0, 1 << 14, 700)).astype(np.uint64)
+    table = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    own = prints.tolist()
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    want = group(own, ((own[a], own[b]) for a, b in zip(*np.nonzero(apart <= 3))))
+    assert group(own, ((r.node, r.root) for r in simhash.near_prints(table).collect())) == want
+
+
 def test_one_document_of_each_group_stays(docs, rows):
     prints = [simhash.simhash(r[1]) % (1 << 64) for r in rows]
     ids = [r[0] for r in rows]
