@@ -12,16 +12,19 @@ compared with each template of which the text holds the least / (2 - least) of t
 any match needs. A window that starts or ends beside a bigram of the template is no more alike
 than the one that takes it in, so windows run from the start of one run of the template's bigrams
 to the end of the same or a later one, up to twice the upper size bound in words. Of overlapping
-windows the most alike counts, by name on a tie. The score is the best passage's; only a text
-without a passage has the best window's.
+windows the most alike counts, on a tie the first by name, then the one that starts and ends last.
+The score is the best of all passages and windows.
 
 Everything happens inside a row, with column functions; no row moves. Null or empty text: no
-licence. Null doc_id, repeated rows: each row has its own result. Empty table: no rows. Other
-columns are ignored.
+licence. Very long text: read whole, its work bounded by its bigrams and, per template, by its runs.
+Null doc_id, repeated rows: each row has its own result. Empty table: no rows. Other columns are
+ignored.
 """
 
+import json
 import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from defectloom.functions.bind import bind
@@ -50,37 +53,57 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(_pairs(words))
 
 
-def _templates(notices: dict[str, list[str]]) -> list[tuple[str, int, Column]]:
-    """Name, number of bigrams and the bigrams of each template."""
-    out = []
-    for name in sorted(notices):
-        for text in notices[name]:
-            words = re.findall(r"[^\W_]+", text.lower())
-            pairs = list(dict.fromkeys(zip(words, words[1:])))
-            out.append((name, len(pairs), F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in pairs])))
-    return out
+def _texts(notices: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
+    """Name and words of each template, in the order of the names."""
+    return [(name, re.findall(r"[^\W_]+", text.lower())) for name in sorted(notices) for text in notices[name]]
+
+
+def _hash(a: str, b: str) -> int:
+    """The hash that ``_pairs`` gives the bigram: XXH64 from word to word, starting with 42."""
+    value = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _constant(value, kind: str) -> Column:
+    """One literal, however large: Spark reads it once when it plans."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _templates(notices: dict[str, list[str]], least: float) -> Column:
+    """All templates as one constant array, so that an expression can loop over it.
+
+    Each has its name, its place in the order (falling, so that of equal scores the first name is
+    greatest), its bigrams and their number, how many of them any match needs, and how far a window
+    may reach.
+    """
+    share = least / (2 - least)
+    rows = []
+    for rank, (name, words) in enumerate(_texts(notices)):
+        own = list(dict.fromkeys(_hash(a, b) for a, b in zip(words, words[1:])))
+        rows.append(
+            {"name": name, "rank": -rank, "n": len(own), "need": len(own) * share - 1e-9,
+             "reach": int(2 * len(words) / share) + 1, "own": own}
+        )
+    return _constant(rows, "array<struct<name: string, rank: int, n: int, need: double, reach: int, own: array<bigint>>>")
 
 
 def licence_scores(passage: Column, notices: dict[str, list[str]] = NOTICES, least: float = LEAST) -> Column:
     """The licence most like the passage as struct (score, name), or null below ``least``."""
-    templates = _templates(notices)
-    smallest = min(n for _, n, _ in templates) * least / (2 - least)
+    templates, share = _templates(notices, least), least / (2 - least)
+    smallest = min(len(set(zip(words, words[1:]))) for _, words in _texts(notices)) * share
 
     def best(bigrams: Column) -> Column:
         size = F.size(bigrams)
-        scores = [
-            F.when(
-                size.between(n * least / (2 - least), n * (2 - least) / least),
-                F.struct(
-                    # Rising by score; of equal scores the first name shall come last.
-                    (2.0 * F.size(F.array_intersect(bigrams, own)) / (size + n)).alias("score"),
-                    F.lit(-rank).alias("rank"),
-                    F.lit(name).alias("name"),
-                ),
-            )
-            for rank, (name, n, own) in enumerate(templates)
-        ]
-        return F.array_max(F.array(*scores))
+        fit = F.filter(templates, lambda t: size.between(t["n"] * share, t["n"] / share))
+        scores = F.transform(
+            fit,
+            lambda t: F.struct(
+                (2.0 * F.size(F.array_intersect(bigrams, t["own"])) / (size + t["n"])).alias("score"),
+                t["rank"].alias("rank"),
+                t["name"].alias("name"),
+            ),
+        )
+        return F.array_max(scores)
 
     def of_words(words: Column) -> Column:
         return F.when(F.size(words) - 1 >= smallest, bind(_bigrams(words), best))
@@ -133,23 +156,15 @@ def _windows(pairs: Column, template: Column, least: float) -> Column:
 
 def window_licences(text: Column, notices: dict[str, list[str]] = NOTICES, least: float = LEAST) -> Column:
     """The windows of a text that are licences, the most alike first."""
-    share = least / (2 - least)
-    templates, known = [], []
-    texts = [text for name in sorted(notices) for text in notices[name]]
-    for rank, ((name, n, own), text_of) in enumerate(zip(_templates(notices), texts)):
-        length = len(re.findall(r"[^\W_]+", text_of.lower()))
-        known.append(own)
-        templates.append(F.struct(
-            F.lit(name).alias("name"), F.lit(-rank).alias("rank"), F.lit(n).alias("n"),
-            F.lit(n * share - 1e-9).alias("need"), F.lit(int(2 * length / share) + 1).alias("reach"), own.alias("own"),
-        ))
-    known = F.array_distinct(F.flatten(F.array(*known)))
+    templates = _templates(notices, least)
+    known = {_hash(a, b) for _, words in _texts(notices) for a, b in zip(words, words[1:])}
+    known = _constant(sorted(known), "array<bigint>")
     none = F.array().cast(f"array<{WINDOW}>")
 
     def possible(pairs: Column) -> Column:
         return bind(
             F.array_intersect(pairs, known),
-            lambda held: F.filter(F.array(*templates), lambda t: F.size(F.array_intersect(t["own"], held)) >= t["need"]),
+            lambda held: F.filter(templates, lambda t: F.size(F.array_intersect(t["own"], held)) >= t["need"]),
         )
 
     def search(pairs: Column, found: Column) -> Column:
@@ -183,5 +198,6 @@ def scan_licences(
         }
     )
     names = F.concat(F.transform("found", lambda f: f["name"]), F.transform("windows", lambda w: w["name"]))
-    score = F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.get("windows", F.lit(0))["score"])
+    # The windows stand by falling score.
+    score = F.greatest(F.array_max(F.transform("found", lambda f: f["score"])), F.get("windows", F.lit(0))["score"])
     return rows.select("doc_id", F.array_sort(F.array_distinct(names)).alias("licences"), score.alias("score"))

@@ -175,12 +175,17 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_TEMPLATES = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name in NOTICES for text in NOTICES[name])
+_TEMPLATES = ", ".join(
+    f"({k}, {_quoted(name)}, {_quoted(text)})"
+    for k, (name, text) in enumerate((name, text) for name in sorted(NOTICES) for text in NOTICES[name])
+)
 _PARTS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 OP5 = f"""
 WITH templates AS (
-  SELECT name, {_PAIRS} AS pairs FROM (SELECT name, {_PARTS.format('text')} AS w FROM (VALUES {_TEMPLATES}) AS v(name, text))
+  SELECT *, len(pairs) AS n, len(pairs) * 0.8 / 1.2 - 1e-9 AS need, floor(2 * len(w) * 1.2 / 0.8 + 1e-9) + 1 AS reach
+  FROM (SELECT k, name, w, {_PAIRS} AS pairs
+        FROM (SELECT k, name, {_PARTS.format('text')} AS w FROM (VALUES {_TEMPLATES}) AS v(k, name, text)))
 ),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 passages AS (
@@ -199,7 +204,46 @@ best AS (
   SELECT * FROM scored WHERE score >= 0.8
   QUALIFY row_number() OVER (PARTITION BY doc_id, passage ORDER BY score DESC, name) = 1
 ),
-found AS (SELECT doc_id, list_sort(list(DISTINCT name)) AS names, max(score) AS score FROM best GROUP BY doc_id)
+texts AS (
+  SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS seq
+  FROM (SELECT doc_id, {_PARTS.format('text')} AS w FROM d) WHERE len(w) > 1
+),
+hits AS (
+  SELECT doc_id, k, i, pair
+  FROM (SELECT doc_id, unnest(range(len(seq))) AS i, unnest(seq) AS pair FROM texts)
+  JOIN (SELECT k, unnest(pairs) AS pair FROM templates) USING (pair)
+),
+enough AS (
+  SELECT doc_id, k FROM hits JOIN templates USING (k) GROUP BY doc_id, k, need HAVING count(DISTINCT pair) >= need
+),
+runs AS (
+  SELECT doc_id, k, min(i) AS s, max(i) AS e
+  FROM (SELECT doc_id, k, i, i - row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS run FROM hits SEMI JOIN enough USING (doc_id, k))
+  GROUP BY doc_id, k, run
+),
+numbered AS (
+  SELECT *, row_number() OVER own AS nth, sum(e - s + 1) OVER own AS upto FROM runs WINDOW own AS (PARTITION BY doc_id, k ORDER BY s)
+),
+spans AS (
+  SELECT a.doc_id, t.k, t.name, t.n, t.pairs, a.s, b.e
+  FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND a.k = b.k AND b.nth >= a.nth JOIN templates t ON t.k = a.k
+  WHERE b.nth - a.nth <= t.reach // 2 AND (a.nth = b.nth OR b.e - a.s < t.reach) AND b.upto - a.upto + a.e - a.s + 1 >= t.need
+),
+windows AS (
+  SELECT doc_id, k, name, s, e, 2.0::DOUBLE * len(list_intersect(own, pairs)) / (len(own) + n) AS score
+  FROM (SELECT *, list_distinct(list_slice(seq, s + 1, e + 1)) AS own FROM spans JOIN texts USING (doc_id))
+),
+kept AS (
+  SELECT doc_id, unnest(list_reduce(
+    list([{{'s': s, 'e': e, 'name': name, 'score': score}}] ORDER BY score DESC, k, s DESC, e DESC),
+    lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s <= x[1].e AND x[1].s <= y.e)) = 0 THEN list_concat(acc, x) ELSE acc END
+  )) AS x
+  FROM windows WHERE score >= 0.8 GROUP BY doc_id
+),
+found AS (
+  SELECT doc_id, list_sort(list(DISTINCT name)) AS names, max(score) AS score
+  FROM (SELECT doc_id, name, score FROM best UNION ALL SELECT doc_id, x.name, x.score FROM kept) GROUP BY doc_id
+)
 SELECT doc_id, coalesce(len(names), 0)::BIGINT AS n_licences, coalesce(array_to_string(names, ','), '') AS licences, score
 FROM d LEFT JOIN found USING (doc_id)
 """

@@ -411,21 +411,48 @@ def test_overlapping_spans_are_replaced_once(spark):
     assert "1111" not in got[1] or brute_spans("call +1 4111 1111 1111 1111 x") == ""
 
 
+def brute_templates():
+    for name in sorted(licenses.NOTICES):
+        for template in licenses.NOTICES[name]:
+            words = re.findall(r"[^\W_]+", template.lower())
+            yield name, len(words), set(zip(words, words[1:]))
+
+
+def brute_windows(text):
+    """The windows kept: (score, name)."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    pairs, found = list(zip(words, words[1:])), []
+    for rank, (name, length, own) in enumerate(brute_templates()):
+        hit = [p in own for p in pairs] + [False]
+        starts = [i for i, h in enumerate(hit) if h and not hit[i - 1]]
+        ends = [i for i, h in enumerate(hit) if h and not hit[i + 1]]
+        for s in starts:
+            for e in (e for e in ends if e >= s and (e - s < 3 * length + 1 or all(hit[s : e + 1]))):
+                mine = set(pairs[s : e + 1])
+                score = 2 * len(mine & own) / (len(mine) + len(own))
+                if score >= 0.8:
+                    found.append((score, -rank, s, e, name))
+    kept = []
+    for w in sorted(found, reverse=True):
+        if all(w[3] < k[2] or k[3] < w[2] for k in kept):
+            kept.append(w)
+    return [(w[0], w[4]) for w in kept]
+
+
 def brute_licences(text):
     found, best = set(), None
     text = text or ""
     for p in {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text}:
         own = re.findall(r"[^\W_]+", p.lower())
         mine, scores = set(zip(own, own[1:])), []
-        for name in licenses.NOTICES:
-            for template in licenses.NOTICES[name]:
-                t = re.findall(r"[^\W_]+", template.lower())
-                theirs = set(zip(t, t[1:]))
-                score = 2 * len(mine & theirs) / (len(mine) + len(theirs))
-                scores.append((-score, name))
+        for name, _, theirs in brute_templates():
+            scores.append((-2 * len(mine & theirs) / (len(mine) + len(theirs)), name))
         if scores and -min(scores)[0] >= 0.8:
             found.add(min(scores)[1])
             best = max(best or 0, -min(scores)[0])
+    for score, name in brute_windows(text):
+        found.add(name)
+        best = max(best or 0, score)
     return sorted(found), best
 
 
@@ -437,8 +464,11 @@ def test_licences(spark, rows):
         mit, mit[:700].replace(". ", ".\n"), mit + "\n\nother text here", mit.upper(), " ".join(mit.split(" ")[10:]),
         "Copyright me\n\n" + licenses.NOTICES["Apache-2.0"][2].replace(". ", ".\n") + "\n\n" + "x y " * 100,
         "Licensed under the Apache License, Version 2.0.\n" * 3, "under the MIT", "License",
+        "a b " * 20 + mit.replace("\n", " ") + " c d " + licenses.NOTICES["GPL-2.0"][0] + " e f " + mit[200:],
+        "ours, licensed under the GNU Lesser General Public License, version 3 or licensed under CC BY-NC 4.0 too",
     ]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Extra columns may have the names of working columns.
+    docs = spark.createDataFrame([(k, t, "mine", "mine") for k, t in enumerate(texts)], "doc_id long, text string, found string, windows string")
     for r in licenses.scan_licences(docs).collect():
         names, best = brute_licences(texts[r.doc_id])
         assert (r.licences, r.score) == (names, pytest.approx(best) if best else None), texts[r.doc_id]
