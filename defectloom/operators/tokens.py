@@ -210,43 +210,48 @@ def encode(
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids") -> DataFrame:
     """Text of each row's windows in order, markers and unknown tokens left out, joined by blanks.
 
-    ``df`` has a ``window`` column; those other than it, ``ids`` and the mask identify a text.
+    ``df`` has a ``window`` column; those other than it, ``ids`` and the mask identify a text. It is
+    read twice and should be a written table, as should ``vocab``.
     """
     keep = [name for name in df.columns if name not in (ids, "window", "attention_mask")]
+    own = df.select(*keep, "window", F.col(ids).alias("_ids"))
     head = vocab.where(_frequent()).select((F.col("token_id") - FIRST_ID).cast("long").alias("at"), "token")
-    own = df.withColumn("_head", _filled(head, HEAD, "token")).select(
-        *keep,
-        "window",
-        F.col(ids).alias("_ids"),
-        F.transform(ids, lambda n: F.when(n >= FIRST_ID, F.get(F.col("_head"), n - FIRST_ID))).alias("_words"),
-    )
+    head = _filled(head, HEAD, "token")
     tail = vocab.where(~_frequent()).select("token_id", "token")
     if tail.take(1):
-        own = _with_rare_words(own, [*keep, "window"], tail)
-    piece = F.nullif(F.array_join("_words", " "), F.lit("")).alias("piece")
-    listed = own.select(*keep, "window", piece).groupBy(*keep)
-    listed = listed.agg(F.sort_array(F.collect_list(F.struct("window", "piece"))).alias("pieces"))
-    return listed.select(*keep, F.array_join("pieces.piece", " ").alias("text"))
+        # Ids move once, next to the rare tokens found for them; only then do they become words.
+        missing = F.lit(None).cast("array<struct<token_id: int, token: string>>").alias("_found")
+        rows = own.select("*", missing).unionByName(_rare_words(own, [*keep, "window"], head, tail), allowMissingColumns=True)
+        rows = rows.repartition(*keep) if keep else rows
+        listed = F.filter(F.collect_list(F.struct("_ids")), lambda e: e["_ids"].isNotNull())
+        own = rows.groupBy(*keep, "window").agg(listed.alias("_lists"), F.flatten(F.collect_list("_found")).alias("_found"))
+    else:
+        none = F.expr("CAST(array() AS array<struct<token_id: int, token: string>>)")
+        own = own.select(*keep, "window", F.array(F.struct("_ids")).alias("_lists"), none.alias("_found"))
+
+    def piece(e):
+        words = F.transform(e["_ids"], word)
+        return F.struct("window", F.nullif(F.array_join(words, " "), F.lit("")).alias("piece"))
+
+    def word(n):
+        rare = F.get(F.filter("_found", lambda e: e["token_id"] == n), F.lit(0))["token"]
+        return F.when(n >= FIRST_ID, F.coalesce(F.get(F.col("_head"), n - FIRST_ID), rare))
 
+    pieces = own.withColumn("_head", head).select(*keep, F.transform("_lists", piece).alias("pieces"))
+    joined = pieces.groupBy(*keep).agg(F.sort_array(F.flatten(F.collect_list("pieces"))).alias("pieces"))
+    return joined.select(*keep, F.array_join("pieces.piece", " ").alias("text"))
 
-def _with_rare_words(own: DataFrame, key: list[str], tail: DataFrame) -> DataFrame:
-    """``_words`` with those of the ids that only ``tail`` has. An id's windows are spread over
-    ``SALTS`` keys, and the tail, which is no larger than the vocabulary, has a row for each."""
-    missing = F.filter("_ids", lambda n, i: (n >= FIRST_ID) & F.get("_words", i).isNull())
+
+def _rare_words(own: DataFrame, key: list[str], head: Column, tail: DataFrame) -> DataFrame:
+    """The tokens of those ids of a window that only ``tail`` has, as ``_found``. An id's windows are
+    spread over ``SALTS`` keys, and the tail, which is no larger than the vocabulary, has a row for each."""
+    missing = F.filter("_ids", lambda n: (n >= FIRST_ID) & F.get(F.col("_head"), n - FIRST_ID).isNull())
     salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).alias("_salt")
-    pairs = own.select(*key, salt, F.explode(F.array_distinct(missing)).alias("token_id"))
+    pairs = own.withColumn("_head", head).select(*key, salt, F.explode(F.array_distinct(missing)).alias("token_id"))
     salted = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     named = pairs.join(salted, ["token_id", "_salt"])
     # A window's ids: a bounded list.
-    found = named.groupBy(*[F.col(n).alias(f"_of_{n}") for n in key])
-    found = found.agg(F.collect_list(F.struct("token_id", "token")).alias("_found"))
-
-    def word(n, i):
-        rare = F.get(F.filter("_found", lambda e: e["token_id"] == n), F.lit(0))["token"]
-        return F.coalesce(F.get("_words", i), rare)
-
-    both = own.join(found, _same(key, "_of_"), "left")
-    return both.select(*key, F.transform("_ids", word).alias("_words"))
+    return named.groupBy(*key).agg(F.collect_list(F.struct("token_id", "token")).alias("_found"))
 
 
 def batches(df: DataFrame, batch_size: int, order: list[str] = ("id",)) -> DataFrame:

@@ -675,7 +675,9 @@ def encode_small_vocabulary(spark, sf):
 @query
 def decode(spark, sf):
     rows, vocab = encoded_corpus(spark, sf)
-    return tokens.decode(rows, vocab)
+    path = f"{work_dir(spark)}/windows"
+    rows.write.parquet(path)
+    return tokens.decode(spark.read.parquet(path), vocab)
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from defectloom.operators import model, tokens
 from defectloom.plans import training
+from defectloom.plans.queries import QUERIES
 from defectloom.streaming.scoring import start_scoring
 
 TEXTS = ["x = x + 1\n\treturn x_1", "é😀 a1 22b", "", "   ", "def f(a):\n    return a[0]", "a " * 700]
@@ -87,6 +88,29 @@ def test_ids_that_no_vocabulary_has_are_left_out(spark):
     assert sorted(map(tuple, tokens.decode(rows, vocab).collect())) == [(1, "a b a"), (2, "")]
 
 
+def test_decoding_moves_windows_once_and_never_encodes_again(spark, sf_dir):
+    """Windows meet their rare tokens by one shuffle on the text, and the query reads them written."""
+    vocab = spark.createDataFrame([("a", 4), ("b", 70_000)], "token string, token_id int")
+    rows = spark.createDataFrame([(1, 0, [2, 4, 70_000, 3])], "id int, window int, input_ids array<int>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(tokens.decode(rows, vocab))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"SortMergeJoin \[(?!at#)", plan)) == 1
+    assert "regexp_extract_all" not in plan_of(QUERIES["decode"](spark, sf_dir))
+
+
+def test_equal_and_missing_keys_keep_all_windows(spark):
+    vocab = spark.createDataFrame([("a", 4), ("b", 70_000), ("c", 70_001)], "token string, token_id int")
+    rows = spark.createDataFrame(
+        [(None, 0, [2, 4, 70_000, 3]), (None, 0, [2, 70_001, 3]), (1, 0, [2, 70_001, 3]), (1, 0, [2, 70_001, 3]), (2, 0, None)],
+        "id int, window int, input_ids array<int>",
+    )
+    got = sorted(map(tuple, tokens.decode(rows, vocab).collect()), key=str)
+    assert got == [(1, "c c"), (2, ""), (None, "a b c")]
+
+
 @pytest.mark.parametrize("size", [2, 3])
 def test_window_batches_are_those_of_all_windows(corpus, size):
     vocab = tokens.vocabulary(corpus)
