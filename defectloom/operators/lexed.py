@@ -352,10 +352,13 @@ _NEW_CORE = {
 }
 
 
-def changed_by(rule: str, code: Column, seed: int, key: tuple) -> Column:
-    """``code`` with every place of ``rule`` drawn; ``key`` names the draw."""
+def changed_by_each(rules, code: Column, seed: int, key_of) -> Column:
+    """``code`` as each of ``rules`` alone changes it, as an array in their order; it is scanned once.
 
-    def rebuilt(tokens, cores, line_ends):
+    Every place of a rule is drawn; ``key_of(rule)`` names the draw.
+    """
+
+    def rebuilt(rule, key, tokens, cores, line_ends):
         if rule == "missing_null_check":
             return _missing_null_check(tokens, cores, line_ends, seed, key)
         if rule == "wrong_variable":
@@ -374,11 +377,18 @@ def changed_by(rule: str, code: Column, seed: int, key: tuple) -> Column:
         cores = F.transform(tokens, lambda t: t["core"])
         ends = F.filter(F.transform(tokens, lambda t, i: F.when(t["core"] == "\n", i)), lambda i: i.isNotNull())
         return bind(
-            F.struct(cores.alias("cores"), ends.alias("ends")), lambda s: rebuilt(tokens, s["cores"], s["ends"])
+            F.struct(cores.alias("cores"), ends.alias("ends")),
+            lambda s: F.array(*[rebuilt(rule, key_of(rule), tokens, s["cores"], s["ends"]) for rule in rules]),
         )
 
     holds = reduce(or_, [F.contains(code, F.lit(mark)) for _, mark in ESCAPES])
-    return F.when(holds, code).otherwise(unmasked(bind(tokens_of(masked(code)), with_lines)))
+    changed = F.transform(bind(tokens_of(masked(code)), with_lines), unmasked)
+    return F.when(holds, F.array_repeat(code, len(rules))).otherwise(changed)
+
+
+def changed_by(rule: str, code: Column, seed: int, key: tuple) -> Column:
+    """``code`` with every place of ``rule`` drawn; ``key`` names the draw."""
+    return F.get(changed_by_each([rule], code, seed, lambda _: key), F.lit(0))
 
 
 def mutate(code: Column, plan: Column, seed: int) -> Column:

@@ -18,6 +18,7 @@ from defectloom.sources.code_dirs import DEFECT_DIR, FIX_DIR
 AS_OF = datetime(2024, 1, 31)
 MAIN_SOURCE = "en"
 SOURCES = ["en", "fr", "de"]
+TASKS_PER_CORE = 4
 
 
 # The types of the given tables, so that a scan starts without reading footers.
@@ -38,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores. A table of short rows is one small file, whose rows would
+    be made into code and changed in one task; its size in bytes says nothing about that work."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(TASKS_PER_CORE * cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def code_like(text) -> Column:
     """Prose with some words turned into block starts, so the code rules find something."""
     starts = F.replace(F.replace(text, F.lit("The "), F.lit("def ")), F.lit("De "), F.lit("class "))
@@ -245,7 +254,8 @@ def python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
         price,
     )
     key = F.col("p_partkey").cast("string")
-    return table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    return spread(parts).select(
         key.alias("id"),
         F.col("p_type").alias("source"),
         F.col("p_brand").alias("project"),
@@ -371,4 +381,5 @@ def lexed_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.lit(LEXED_CODE)
     for name, value in values.items():
         code = F.replace(code, F.lit(name), (F.col(value) if isinstance(value, str) else value).cast("string"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), code.alias("code"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"))
+    return parts.select(F.col("p_partkey").cast("string").alias("id"), code.alias("code"))

@@ -573,11 +573,10 @@ def single_patterns(spark, sf):
 def lexed_patterns(spark, sf):
     """Each rule alone on functions with strings, comments and blocks, every place drawn."""
     rows = B.lexed_code(spark, sf)
-    made = [
-        F.struct(F.lit(rule).alias("pattern"), lexed.changed_by(rule, F.col("code"), SEED, (F.col("id"), F.lit(rule))).alias("mutant"))
-        for rule in lexed.RULES
-    ]
-    return rows.select("id", F.explode(F.array(*made)).alias("m")).select("id", "m.pattern", "m.mutant")
+    mutants = lexed.changed_by_each(lexed.RULES, F.col("code"), SEED, lambda rule: (F.col("id"), F.lit(rule)))
+    names = F.array(*[F.lit(rule) for rule in lexed.RULES])
+    made = F.arrays_zip(names.alias("pattern"), mutants.alias("mutant"))
+    return rows.select("id", F.explode(made).alias("m")).select("id", "m.pattern", "m.mutant")
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from defectloom.operators import lexed, variants
 from defectloom.plans import bindings
+from defectloom.plans.queries import QUERIES
 
 ROWS = 150
 
@@ -93,3 +94,21 @@ def test_variants_by_lexed_rules(spark):
     assert len(made) == 42 and sum(r["code"] != bindings.LEXED_CODE for r in made) > 35
     with pytest.raises(ValueError, match="unknown mutator"):
         variants.mutated_code(F.col("code"), mutator="other")
+
+
+def test_part_rows_are_dealt_over_all_cores(spark, sf_dir):
+    """The table is one small file, its rows made into code are the work."""
+    for name in ("lexed_patterns", "single_patterns", "generate_variants"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning" in plan
+    assert bindings.lexed_code(spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_code_is_scanned_once_for_all_rules(spark):
+    rows = spark.createDataFrame([("1", "limit = 2\nif a == 3 and b[1]:\n    return 4\n"), ("2", "\ufdd0"), ("3", None)], "id string, code string")
+    key = lambda rule: (F.col("id"), F.lit(rule))
+    each = lexed.changed_by_each(lexed.RULES, F.col("code"), 1, key)
+    alone = F.array(*[lexed.changed_by(rule, F.col("code"), 1, key(rule)) for rule in lexed.RULES])
+    for row in rows.select(F.coalesce(each, F.array_repeat(F.lit(None).cast("string"), len(lexed.RULES))).alias("each"), alone.alias("alone")).collect():
+        assert row["each"] == row["alone"]
+    assert each._jc.toString().count("regexp_extract_all") == 2
