@@ -20,10 +20,10 @@ HASH_SPAN = 1 << 62
 LIMIT = 4 * MAX_BUCKETS
 
 
-def _cut_points(keys: DataFrame, names: list[str], buckets: int | None):
+def _cut_points(keys: DataFrame, names: list[str], buckets: int | None, rows_per_bucket: int):
     """Evenly spread keys, in order, as a one-value subquery."""
     rows = keys.agg(F.count(F.lit(1))).scalar()
-    followed = F.least(F.lit(MAX_BUCKETS), F.ceil(rows / ROWS_PER_BUCKET))
+    followed = F.least(F.lit(MAX_BUCKETS), F.ceil(rows / rows_per_bucket))
     wanted = F.greatest(F.lit(MIN_BUCKETS), followed) if buckets is None else F.lit(buckets)
     place = F.xxhash64(*names).bitwiseAND(HASH_SPAN - 1) / F.lit(float(HASH_SPAN))
     sample = keys.where(place * rows < wanted * PER_BUCKET)
@@ -38,17 +38,19 @@ def with_position(
     into: str = "pos",
     buckets: int | None = None,
     weight: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the 0-based place of each row in ``order``, counted anew in every ``within`` group.
 
     ``within`` and ``order`` together identify a row. With ``weight``, a column of counts without
-    nulls, a row takes as many places as it says, and gets the first of them. ``df`` is read several
+    nulls, a row takes as many places as it says, and gets the first of them. Whole rows move into the
+    buckets, one task each, so wide rows need a smaller ``rows_per_bucket``. ``df`` is read several
     times, mostly its keys alone: write it out first if it is costly to make.
     """
     within = within or []
     names = [*within, *order]
     keys = df.select(*names)
-    cuts = _cut_points(keys, names, buckets)
+    cuts = _cut_points(keys, names, buckets, rows_per_bucket)
     key = f"struct({', '.join(f'`{n}`' for n in names)})"
 
     def bucketed(table: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ SAMPLE_TEXTS = 5
 HEAD, HEAD_CHARS, BUCKETS = 65_536, 64, 65_536
 # Keys that a rare id is spread over, and distinct rare tokens that a text may have (as a power of two).
 SALTS, MAX_RARE_BITS = 16, 26
+# Encoded texts that one task puts in order.
+TEXTS_PER_BUCKET = 4_096
 
 
 def tokenise(code) -> Column:
@@ -274,7 +276,9 @@ def window_batches(
     its text's first one and its number. ``texts`` should be a written table.
     """
     counted = texts.withColumn("_n", n_windows("ids", max_length))
-    placed = with_position(counted, list(order), into="_start", weight="_n").drop("_n")
+    placed = with_position(
+        counted, list(order), into="_start", weight="_n", rows_per_bucket=TEXTS_PER_BUCKET
+    ).drop("_n")
     place = F.col("_start") + F.col("window")
     return windows(placed, max_length).withColumns(
         {"batch": F.floor(place / batch_size), "slot": (place % batch_size).cast("int")}

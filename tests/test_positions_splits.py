@@ -113,3 +113,12 @@ def test_shuffled_rows_move_once(spark):
     )
     moved = [part for part in explained.split("\n\n") if ") Exchange" in part.split("\n")[0] and "code#" in part]
     assert len(moved) == 1
+
+
+def test_rows_per_bucket_keeps_positions(spark):
+    got = with_position(keyed(spark, 5000, 3).withColumn("w", F.col("n") % 4), ["id"], weight="w", rows_per_bucket=50).collect()
+    want, at = [], 0
+    for r in sorted(got, key=lambda r: r["id"]):
+        want.append(at)
+        at += r["w"]
+    assert [r["pos"] for r in sorted(got, key=lambda r: r["id"])] == want

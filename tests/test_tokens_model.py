@@ -216,3 +216,16 @@ def test_training_job(spark, tmp_path):
     assert training.score_table(again, df).count() == 60
     plain = training.evaluate(training.train(df, settings), df).collect()
     assert all(r["accuracy"] == 1.0 for r in plain)
+
+
+def test_texts_stand_in_small_buckets(corpus, monkeypatch):
+    """Whole encoded texts move into their bucket, so the buckets of narrow rows are too large for them."""
+    asked, number = [], tokens.with_position
+
+    def spy(*args, **options):
+        asked.append(options["rows_per_bucket"])
+        return number(*args, **options)
+
+    monkeypatch.setattr(tokens, "with_position", spy)
+    tokens.window_batches(corpus.select("id", F.array(F.lit(4)).alias("ids")), 2)
+    assert asked == [tokens.TEXTS_PER_BUCKET] and asked[0] <= 10_000
