@@ -21,15 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from defectloom.llm.pretoken import Memo, Splitter, chunks, groups, read_spec
+from defectloom.llm.encoder import ChunkEncoder
+from defectloom.llm.pretoken import groups, read_spec
 from defectloom.llm.store import ship
 
-CHUNKS, WORDS, PAIRS = 300_000, 200_000, 400_000
+PAIRS = 400_000
 TRIE_WORDS = 20_000
 NEVER = 1 << 60
 
-_encoders: dict[str, "TrieEncoder"] = {}
-
 
 class Merges:
     """Vocabulary, merge ranks and the test whether two tokens may stand side by side."""
@@ -152,21 +151,12 @@ class Merges:
         return True
 
 
-class TrieEncoder:
-    """Ids of texts; remembers chunks and words up to a bound."""
+class TrieEncoder(ChunkEncoder):
+    """Ids of texts, those of new words by the trie."""
 
     def __init__(self, spec: str):
-        self.splitter = Splitter(spec)
+        super().__init__(spec)
         self.merges = Merges(spec)
-        self.by_word, self.by_chunk = Memo(WORDS), Memo(CHUNKS)
-
-    @classmethod
-    def of(cls, spec: str) -> "TrieEncoder":
-        """One for each worker process and file."""
-        if spec not in _encoders:
-            _encoders.clear()
-            _encoders[spec] = cls(spec)
-        return _encoders[spec]
 
     def words(self, words) -> dict[str, bytes]:
         """Ids, as unsigned 32-bit integers, of distinct words in byte letters."""
@@ -226,25 +216,10 @@ class TrieEncoder:
                     ids.reverse()
                     found[word] = array("I", ids).tobytes()
 
-    def _parts(self, chunk: str) -> list[str | int]:
-        words = self.splitter.words(chunk)
-        return self.splitter.parts(chunk) if words is None else words
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks; words not met before are encoded together."""
-        parts = {chunk: self._parts(chunk) for chunk in new}
-        of = self.by_word.of({w for own in parts.values() for w in own if isinstance(w, str)}, self.words)
-        return {
-            chunk: of[own[0]] if len(own) == 1 and isinstance(own[0], str)
-            else b"".join([of[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in own])
-            for chunk, own in parts.items()
-        }
-
-    def encode(self, texts) -> list[bytes]:
-        """The ids of each text."""
-        parts = [chunks(text) for text in texts]
-        known = self.by_chunk.of({""}.union(*parts), self._learn)
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
+    def whole(self, chunk: str) -> bytes:
+        own = self.splitter.parts(chunk)
+        of = self.by_word.of({w for w in own if isinstance(w, str)}, self.words)
+        return b"".join([of[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in own])
 
 
 def id_lists(encoded: list[bytes]) -> pa.ListArray:

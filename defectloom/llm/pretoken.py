@@ -97,10 +97,6 @@ def groups(texts):
         yield group
 
 
-def chunks(text: str | None) -> list[str]:
-    return (text or "").replace("\n", " ").split(" ")
-
-
 class Memo:
     """Results by key, in two halves: when the young half is full, the old one is forgotten.
 

@@ -138,3 +138,11 @@ def test_a_foreign_dictionary_is_refused():
     list(writer.add(0, 1, 1, b""))
     with pytest.raises(ValueError, match="dictionary"):
         token_files.Pack(writer.pack()["payload"], hashlib.sha256(b"b").digest(), None)
+
+
+def test_trie_sees_each_distinct_chunk_once(encoder, monkeypatch):
+    """Chunks are found on the bytes of all texts; words between punctuation are no new chunks."""
+    seen = []
+    monkeypatch.setattr(encoder.splitter, "words", lambda chunk, own=encoder.splitter.words: seen.append(chunk) or own(chunk))
+    encoder.encode(["qwortz, (qwortz) qwortz. 7qwortz!", "qwortz; Qwortz?"] * 3)
+    assert len(seen) == len(set(seen)) and not any("qwortz," in chunk or "(q" in chunk for chunk in seen)
