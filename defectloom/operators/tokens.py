@@ -245,13 +245,17 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids") -> DataFrame
 
 
 def _rare_words(own: DataFrame, key: list[str], head: Column, tail: DataFrame) -> DataFrame:
-    """The tokens of those ids of a window that only ``tail`` has, as ``_found``. An id's windows are
-    spread over ``SALTS`` keys, and the tail, which is no larger than the vocabulary, has a row for each."""
+    """The tokens of those ids of a window that only ``tail`` has, as ``_found``. Ids among the first
+    ``HEAD``, whose tokens are too long for the head, may be frequent: their windows are spread over
+    ``SALTS`` keys, and the tail has a row for each. The other ids are rare and have one key. The tail
+    grows with the input, and its files are small for its rows, so it is never broadcast."""
     missing = F.filter("_ids", lambda n: (n >= FIRST_ID) & F.get(F.col("_head"), n - FIRST_ID).isNull())
-    salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).alias("_salt")
-    pairs = own.withColumn("_head", head).select(*key, salt, F.explode(F.array_distinct(missing)).alias("token_id"))
-    salted = tail.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    named = pairs.join(salted, ["token_id", "_salt"])
+    often = F.col("token_id") < FIRST_ID + HEAD
+    salt = F.when(often, F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0).alias("_salt")
+    pairs = own.withColumn("_head", head).select(*key, F.explode(F.array_distinct(missing)).alias("token_id"))
+    salts = F.sequence(F.lit(0).cast("long"), F.when(often, SALTS - 1).otherwise(0).cast("long"))
+    salted = tail.withColumn("_salt", F.explode(salts)).hint("merge")
+    named = pairs.select("*", salt).join(salted, ["token_id", "_salt"])
     # A window's ids: a bounded list.
     return named.groupBy(*key).agg(F.collect_list(F.struct("token_id", "token")).alias("_found"))
 

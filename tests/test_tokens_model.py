@@ -101,6 +101,16 @@ def test_decoding_moves_windows_once_and_never_encodes_again(spark, sf_dir):
     assert "regexp_extract_all" not in plan_of(QUERIES["decode"](spark, sf_dir))
 
 
+def test_the_vocabulary_is_never_broadcast(spark, tmp_path):
+    """Its files are far smaller than its rows in memory, more so with a row per salt."""
+    words = spark.range(200_000).selectExpr("concat('w', id) AS token", "int(id + 4) AS token_id")
+    words.write.parquet(str(tmp_path / "vocab"))
+    rows = spark.createDataFrame([(1, 0, [2, 4, 150_004, 3])], "id int, window int, input_ids array<int>")
+    decoded = tokens.decode(rows, spark.read.parquet(str(tmp_path / "vocab")))
+    assert not re.search(r"BroadcastHashJoin \[token_id", plan_of(decoded))
+    assert decoded.first()["text"] == "w0 w150000"
+
+
 def test_equal_and_missing_keys_keep_all_windows(spark):
     vocab = spark.createDataFrame([("a", 4), ("b", 70_000), ("c", 70_001)], "token string, token_id int")
     rows = spark.createDataFrame(
