@@ -10,7 +10,9 @@ import numpy as np
 from defectloom.llm.pretoken import Memo, Splitter
 from defectloom.llm.wordstream import Slice
 
-CHUNKS, WORDS = 300_000, 200_000
+WORDS = 200_000
+# Places for chunks, and about so many ids of all of them: some 90 MB a worker when full.
+PLACES, IDS = 1 << 21, 8 << 20
 # Texts of more bytes are encoded part by part.
 LONG_BYTES = 4 << 20
 _BLANK = re.compile(b"[ \n]").search
@@ -18,12 +20,62 @@ _BLANK = re.compile(b"[ \n]").search
 _encoders: dict[tuple[type, str], "ChunkEncoder"] = {}
 
 
+class ChunkTable:
+    """Ids of chunks by their two hashes of 64 bits, asked for many chunks at once.
+
+    A chunk's place follows from its hash, and a new chunk takes the place over; all ids lie in one
+    array. Once that is full, everything is forgotten before the next texts.
+    """
+
+    def __init__(self, places: int = PLACES, limit: int = IDS):
+        self.places, self.limit = places, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.checks = np.zeros(self.places, np.uint64), np.zeros(self.places, np.uint64)
+        # Where the ids begin, counted from 1; 0 where no chunk is.
+        self.begins, self.sizes = np.zeros(self.places, np.int64), np.zeros(self.places, np.int32)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def trim(self) -> None:
+        """Forget all if the ids are more than wanted; what was found before is no longer valid."""
+        if self.used > self.limit:
+            self._clear()
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk's ids begin, or -1, and how many there are."""
+        place = (hashes % np.uint64(self.places)).astype(np.int64)
+        begins = self.begins[place]
+        begins[(self.hashes[place] != hashes) | (self.checks[place] != checks)] = 0
+        return begins - 1, self.sizes[place].astype(np.int64)
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, made: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Take in distinct chunks; as ``find``."""
+        new = np.frombuffer(b"".join(made), "<u4")
+        sizes = np.fromiter((len(ids) >> 2 for ids in made), np.int64, len(made))
+        begins = self.used + np.cumsum(sizes) - sizes
+        if self.used + len(new) > len(self.ids):
+            grown = np.empty(max(2 * len(self.ids), self.used + len(new)), np.uint32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        # Of new chunks with one place the last has it.
+        place = (hashes % np.uint64(self.places)).astype(np.int64)
+        last = np.zeros(len(place), bool)
+        last[len(place) - 1 - np.unique(place[::-1], return_index=True)[1]] = True
+        place = place[last]
+        self.hashes[place], self.checks[place] = hashes[last], checks[last]
+        self.begins[place], self.sizes[place] = begins[last] + 1, sizes[last]
+        return begins, sizes
+
+
 class ChunkEncoder:
     """Remembers chunks and words up to a bound; a method gives ``words`` and ``whole``."""
 
     def __init__(self, spec: str):
         self.splitter = Splitter(spec)
-        self.by_word, self.by_chunk = Memo(WORDS), Memo(CHUNKS)
+        self.by_word, self.by_chunk = Memo(WORDS), ChunkTable()
 
     @classmethod
     def of(cls, spec: str) -> "ChunkEncoder":
@@ -57,8 +109,7 @@ class ChunkEncoder:
         """The ids of each text as unsigned 32-bit integers.
 
         Chunks between blanks, line breaks and plain punctuation are found and hashed on the bytes of
-        all texts at once;
-        Python sees each distinct chunk, and the ids are put together by its number.
+        all texts at once; Python sees only chunks that are not known yet, each once.
         """
         held = [(text or "").encode("utf-8") for text in texts]
         if sum(map(len, held)) > LONG_BYTES:
@@ -74,16 +125,20 @@ class ChunkEncoder:
         part = Slice(data, np.zeros(1, np.int64), np.zeros(1, np.int64), len(data), _punctuation_cuts(data))
         if not len(part.starts):
             return [b""] * len(held)
-        first, number = _numbered(part.words(0), part.words(1))
-        chunks = [data[a:b] for a, b in zip(part.starts[first].tolist(), part.ends[first].tolist())]
-        known = self.by_chunk.of(chunks, self._chunks)
-        own = [known[chunk] for chunk in chunks]
-        sizes = np.array([len(ids) >> 2 for ids in own])
-        begins = (np.cumsum(sizes) - sizes)[number]
-        lengths = sizes[number]
-        after = np.cumsum(lengths)
-        places = np.repeat(begins - after + lengths, lengths) + np.arange(int(after[-1]))
-        ids = np.frombuffer(b"".join(own), "<u4")[places]
+        self.by_chunk.trim()
+        hashes, checks = part.words(0), part.words(1)
+        begins, sizes = self.by_chunk.find(hashes, checks)
+        missing = np.flatnonzero(begins < 0)
+        if len(missing):
+            first, number = _numbered(hashes[missing], checks[missing])
+            first = missing[first]
+            chunks = [data[a:b] for a, b in zip(part.starts[first].tolist(), part.ends[first].tolist())]
+            made = self._chunks(chunks)
+            added = self.by_chunk.add(hashes[first], checks[first], [made[chunk] for chunk in chunks])
+            begins[missing], sizes[missing] = (of[number] for of in added)
+        after = np.cumsum(sizes)
+        places = np.repeat(begins - after + sizes, sizes) + np.arange(int(after[-1]))
+        ids = self.by_chunk.ids[places]
         # How many ids lie before each text's end.
         cuts = np.concatenate([[0], after])[np.searchsorted(part.starts, ends)]
         return [ids[a:b].tobytes() for a, b in zip([0, *cuts.tolist()], cuts.tolist())]

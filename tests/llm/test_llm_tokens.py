@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from defectloom.llm import bpe, token_files
+from defectloom.llm.encoder import ChunkTable
 from defectloom.llm.pretoken import Memo, Splitter, read_spec
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -146,3 +147,27 @@ def test_trie_sees_each_distinct_chunk_once(encoder, monkeypatch):
     monkeypatch.setattr(encoder.splitter, "words", lambda chunk, own=encoder.splitter.words: seen.append(chunk) or own(chunk))
     encoder.encode(["qwortz, (qwortz) qwortz. 7qwortz!", "qwortz; Qwortz?"] * 3)
     assert len(seen) == len(set(seen)) and not any("qwortz," in chunk or "(q" in chunk for chunk in seen)
+
+
+def test_many_distinct_chunks_are_not_encoded_again(monkeypatch):
+    """More chunks than a batch or two: when they come again, nearly all are still known."""
+    encoder, seen = token_files.LibraryEncoder(read_spec(PATH)), []
+    monkeypatch.setattr(encoder, "_chunks", lambda new: seen.append(len(new)) or {chunk: chunk for chunk in new})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(f"{a}{b}{c}{d}" for b in letters for c in letters for d in letters) for a in letters[:20]]
+    first = encoder.encode(texts)
+    assert seen == [20 * 26**3]
+    assert encoder.encode(texts) == first == [text.replace(" ", "").encode() for text in texts]
+    assert seen[1] < 0.2 * seen[0]
+
+
+def test_few_places_and_few_ids_change_no_result(library):
+    """Chunks that push each other out, and a table that is emptied again and again."""
+    encoder, texts = token_files.LibraryEncoder(read_spec(PATH)), odd_texts()
+    encoder.by_chunk = ChunkTable(7, 500)
+    for k in range(0, len(texts), 10):
+        want = [library.encode(text or "", add_special_tokens=False).ids for text in texts[k : k + 10]]
+        for _ in range(2):
+            assert [ids(got) for got in encoder.encode(texts[k : k + 10])] == want
+            # Beyond the limit lie the ids of these texts alone.
+            assert encoder.by_chunk.used <= 500 + sum(map(len, want))
