@@ -13,10 +13,15 @@ def _as_text(part) -> Column:
     return part.cast("string") if isinstance(part, Column) else F.lit(str(part))
 
 
+def _digits(seed: int, *key) -> Column:
+    """The draw as eight hexadecimal digits, which stand in the order of the numbers."""
+    text = F.concat_ws("|", *[_as_text(part) for part in (*key, seed)])
+    return F.left(F.md5(text), F.lit(8))
+
+
 def draw(seed: int, *key) -> Column:
     """An integer in [0, 2**32)."""
-    text = F.concat_ws("|", *[_as_text(part) for part in (*key, seed)])
-    return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("long")
+    return F.conv(_digits(seed, *key), 16, 10).cast("long")
 
 
 def pick(n, seed: int, *key) -> Column:
@@ -26,7 +31,8 @@ def pick(n, seed: int, *key) -> Column:
 
 def chance(p: float, seed: int, *key) -> Column:
     """True with probability ``p``."""
-    return draw(seed, *key) < int(p * SPAN)
+    below = int(p * SPAN)
+    return F.lit(True) if below >= SPAN else _digits(seed, *key) < f"{below:08x}"
 
 
 def shuffle_key(seed: int, *key) -> Column:

@@ -6,6 +6,10 @@ sees the token, its neighbours and the line it stands in, and changes each fitti
 rule's probability; a draw hashes the row's key, the rule and the token's number. So one code may get
 several changes, and no text inside quotes or behind ``#`` is ever one of them.
 
+One pass over the tokens finds numbers, swappable operators and line ends. Rules start from these or
+from lines and give edits; what lies between two edits is joined as it is. Only the rule that renames
+looks at each token again, those of one function.
+
 Lines are those of the text: where a bracket stays open over a line end, rules that cut out whole lines
 leave the place alone. A code that holds the three noncharacters which stand for escapes while it is scanned stays as it is.
 A quoted string on one line ends with that line at the latest, an open triple quote with the text.
@@ -22,20 +26,20 @@ from defectloom.operators.mutations import FAR_INDEX, SPREAD, SWAPPED
 
 # Stand-ins for escaped backslashes and quotes, so that a quote always ends a string.
 ESCAPES = (("\\\\", "\ufdd0"), ('\\"', "\ufdd1"), ("\\'", "\ufdd2"))
-_PREFIX = "[rRbBuUfF]{0,2}"
+# Most tokens are names, single marks, line ends and numbers, so these come first; no letter of a string's
+# prefix starts the first kind of names. Classes are single characters or \w and \d, which take one look each.
 _CORES = (
-    rf'{_PREFIX}"""[\s\S]*?(?:"""|\z)',
-    rf"{_PREFIX}'''[\s\S]*?(?:'''|\z)",
-    rf'{_PREFIX}"[^"\n]*"?',
-    rf"{_PREFIX}'[^'\n]*'?",
-    r"#[^\n]*",
+    r"[ACDEGHIJKLMNOPQSTVWXYZ_acdeghijklmnopqstvwxyz]\w*+",
+    r"[()\[\]{},.;\n]",
+    r"\d[\w.]*+",
+    r"""[rRbBuUfF]{0,2}+(?:"{3}[\s\S]*?(?:"{3}|\z)|'{3}[\s\S]*?(?:'{3}|\z)|"[^"\n]*+"?+|'[^'\n]*+'?+)""",
+    r"[rRbBuUfF]\w*+",
+    r"#[^\n]*+",
     r"\\\n",
-    r"[A-Za-z_][A-Za-z0-9_]*",
-    r"[0-9][A-Za-z0-9_.]*",
     r"\*\*=?|//=?|<<=?|>>=?|->|[-+*/%&|^@=!<>:]=|[-+*/%&|^@=!<>~]",
     r"[^ \t]",
 )
-LEX = rf"[ \t]*({'|'.join(_CORES)})|[ \t]+"
+LEX = rf"[ \t]*+({'|'.join(_CORES)})|[ \t]+"
 
 # Words after which no binary operator stands, operators and the chances of the rules.
 KEYWORDS = (
@@ -49,8 +53,6 @@ RETURN_GONE, RETURN_CHANGED, ASSIGNMENT_GONE = 0.2, 0.3, 0.1
 
 NULL_CHECK_CHANCE = 0.3
 AFTER_IF, AFTER_FIRST = ("elif", "else"), ("elif", "else", "except", "finally")
-# Lines a code may have, as a power of two.
-MAX_LINE_BITS = 26
 
 RULES = (
     "off_by_one", "missing_null_check", "wrong_variable", "wrong_operator", "missing_return", "wrong_condition",
@@ -66,21 +68,30 @@ def unmasked(text) -> Column:
     return reduce(lambda out, pair: F.replace(out, F.lit(pair[1]), F.lit(pair[0])), ESCAPES, text)
 
 
+def _wholes(code) -> Column:
+    return F.regexp_extract_all(code, F.lit(LEX), F.lit(0))
+
+
+def _cores(code) -> Column:
+    return F.regexp_extract_all(code, F.lit(LEX), F.lit(1))
+
+
 def tokens_of(code) -> Column:
     """Tokens of masked code as (whole, core): with the blanks before it, and without."""
-    return F.arrays_zip(
-        F.regexp_extract_all(code, F.lit(LEX), F.lit(0)).alias("whole"),
-        F.regexp_extract_all(code, F.lit(LEX), F.lit(1)).alias("core"),
-    )
+    return F.arrays_zip(_wholes(code).alias("whole"), _cores(code).alias("core"))
 
 
 def _is_number(core) -> Column:
     return F.rlike(core, F.lit("^[0-9]{1,9}$"))
 
 
+def _is_name(core) -> Column:
+    return F.rlike(core, F.lit("^[A-Za-z_]")) & ~core.isin(*KEYWORDS)
+
+
 def _operand(core) -> Column:
     """Whether a binary operator may follow."""
-    ends = F.rlike(core, F.lit(r"""[A-Za-z0-9_)\]}"']\z"""))
+    ends = F.rlike(core, F.lit(r"""[\w)\]}"']\z"""))
     return F.coalesce(ends & ~core.isin(*KEYWORDS) & ~F.startswith(core, F.lit("#")), F.lit(False))
 
 
@@ -88,140 +99,222 @@ def _ends_line(core) -> Column:
     return core.isNull() | (core == "\n") | F.startswith(core, F.lit("#"))
 
 
-class _Place:
-    """A token by its number, with what stands around it. ``cores`` and ``line_ends`` are arrays."""
+def _balanced(cores) -> Column:
+    opened = F.size(F.filter(cores, lambda c: c.isin("(", "[", "{")))
+    return opened == F.size(F.filter(cores, lambda c: c.isin(")", "]", "}")))
+
+
+def _some(places, use) -> Column:
+    """``use`` of each place, without nulls."""
+    return F.filter(F.transform(places, use), lambda x: x.isNotNull())
+
+
+def _swap(core, pairs: dict[str, str]) -> Column:
+    return reduce(lambda out, pair: out.when(core == pair[0], pair[1]), pairs.items(), F.when(F.lit(False), ""))
 
-    def __init__(self, cores, line_ends, i, seed: int, key: tuple):
-        self.cores, self.line_ends, self.i = cores, line_ends, i
+
+def _indent(wholes, cores, i) -> Column:
+    return F.length(F.get(wholes, i)) - F.length(F.get(cores, i))
+
+
+def _with_found(wholes, cores, use) -> Column:
+    """``use`` of what rules start from: the places of numbers and operators, lines, lines that have code
+    with their indent (``starts``), and the tokens unmasked.
+
+    A line has the places of its first token and of its end, and the core of the first token, if any.
+    """
+
+    def is_mark(i):
+        core = F.get(cores, i)
+        # The cheapest test first: names are no less than "A".
+        return (core < "A") & (((core >= "0") & (core < ":")) | core.isin("\n", *SWAPPED))
+
+    def is_number(i):
+        core = F.get(cores, i)
+        return (core >= "0") & (core < ":") & _is_number(core)
+
+    def line(ends, k):
+        first = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+        end = F.coalesce(F.get(ends, k), F.size(cores))
+        return F.struct(first.alias("at"), end.alias("end"), F.get(cores, first).alias("core"))
+
+    def start(e):
+        indent = _indent(wholes, cores, e["at"])
+        return F.struct(e["at"].alias("at"), e["end"].alias("end"), e["core"].alias("core"), indent.alias("indent"))
+
+    def shown(whole):
+        # Stand-ins are no ASCII.
+        return F.when(F.octet_length(whole) > F.length(whole), unmasked(whole)).otherwise(whole)
+
+    def with_lines(marks, lines):
+        coded = F.filter(lines, lambda e: ~_ends_line(e["core"]) & (e["core"] != ""))
+        found = F.struct(
+            F.filter(marks, is_number).alias("numbers"),
+            F.filter(marks, lambda i: F.get(cores, i).isin(*SWAPPED)).alias("operators"),
+            lines.alias("lines"),
+            F.transform(coded, start).alias("starts"),
+            F.transform(wholes, shown).alias("tokens"),
+        )
+        return bind(found, use)
+
+    def with_ends(marks, ends):
+        lines = F.transform(F.sequence(F.lit(0), F.size(ends)), lambda k: line(ends, k))
+        return bind(lines, lambda found: with_lines(marks, found))
+
+    def with_marks(marks):
+        return bind(F.filter(marks, lambda i: F.get(cores, i) == "\n"), lambda ends: with_ends(marks, ends))
+
+    places = F.sequence(F.lit(0), F.greatest(F.size(cores) - 1, F.lit(0)))
+    return bind(F.filter(places, is_mark), with_marks)
+
+
+class _Code:
+    """A scanned code under the draws of one rule. Tokens go by their number; an edit puts ``text`` in
+    the place of the tokens from ``at`` to before ``end``."""
+
+    def __init__(self, wholes, cores, found, seed: int, key: tuple):
+        self.wholes, self.cores = wholes, cores
+        self.numbers, self.operators = found["numbers"], found["operators"]
+        self.lines, self.starts = found["lines"], found["starts"]
+        self.tokens = found["tokens"]
         self.seed, self.key = seed, key
 
-    def core(self, offset: int = 0) -> Column:
-        return F.get(self.cores, self.i + offset)
+    def core(self, i) -> Column:
+        return F.get(self.cores, i)
+
+    def size(self) -> Column:
+        return F.size(self.cores)
+
+    def between(self, a, b) -> Column:
+        return F.slice(self.cores, a + 1, F.greatest(b - a, F.lit(0)))
+
+    def indent(self, i) -> Column:
+        return _indent(self.wholes, self.cores, i)
+
+    def draw(self, *what) -> Column:
+        return draw(self.seed, *self.key, *what)
 
     def chosen(self, p: float, at, name: str) -> Column:
         return chance(p, self.seed, *self.key, at, F.lit(name))
 
-    def coin(self) -> Column:
-        return draw(self.seed, *self.key, self.i, F.lit("coin")) % 2 == 0
+    def coin(self, i) -> Column:
+        return self.draw(i, F.lit("coin")) % 2 == 0
 
-    def number(self, low: int, high: int, at=None) -> Column:
-        value = draw(self.seed, *self.key, self.i if at is None else at, F.lit("number"))
-        return (value % (high - low + 1) + low).cast("string")
+    def number(self, i, low: int, high: int) -> Column:
+        return (self.draw(i, F.lit("number")) % (high - low + 1) + low).cast("string")
 
-    def line(self, use) -> Column:
-        """``use(start, end)`` with the numbers of the line's first token and of its end."""
-        steps = F.array(*[F.lit(1 << k) for k in range(MAX_LINE_BITS, -1, -1)])
+    def subscript(self, i) -> Column:
+        return (self.core(i - 1) == "[") & (self.core(i + 1) == "]") & _operand(self.core(i - 2))
 
-        def closer(below, step):
-            fits = F.coalesce(F.get(self.line_ends, below + step - 1) < self.i, F.lit(False))
-            return F.when(fits, below + step).otherwise(below)
+    def edit(self, i, new, end=None) -> Column:
+        """``new`` behind the blanks of token ``i`` instead of it, or of all up to ``end``."""
+        blanks = F.left(F.get(self.wholes, i), self.indent(i))
+        return F.struct(
+            i.alias("at"), (i + 1 if end is None else end).alias("end"), F.concat(blanks, new).alias("text")
+        )
 
-        def bounds(before):
-            start = F.coalesce(F.get(self.line_ends, before - 1), F.lit(-1)) + 1
-            end = F.coalesce(F.get(self.line_ends, before), F.size(self.cores))
-            return bind(F.struct(start.alias("a"), end.alias("b")), lambda s: use(s["a"], s["b"]))
+    def without_line(self, line) -> Column:
+        """``pass`` for a line that goes, but for a comment; null where a bracket stays open."""
+        end = F.when(F.startswith(self.core(line["end"] - 1), F.lit("#")), line["end"] - 1).otherwise(line["end"])
+        return F.when(_balanced(self.between(line["at"], line["end"])), self.edit(line["at"], F.lit("pass"), end))
 
-        return bind(F.aggregate(steps, F.lit(0), closer), bounds)
+    def text(self, a, b) -> Column:
+        return F.array_join(F.slice(self.tokens, a + 1, b - a), "")
 
-    def between(self, a, b) -> Column:
-        return F.slice(self.cores, a + 1, F.greatest(b - a, F.lit(0)))
+    def edited(self, edits, same) -> Column:
+        """The unmasked code with ``edits``, in ascending order; ``same`` is the code as it was."""
 
+        def piece(found, e, j):
+            return F.concat(self.text(F.coalesce(F.get(found, j - 1)["end"], F.lit(0)), e["at"]), e["text"])
 
-def _balanced(cores) -> Column:
-    opened = F.size(F.filter(cores, lambda c: c.isin("(", "[", "{")))
-    return opened == F.size(F.filter(cores, lambda c: c.isin(")", "]", "}")))
+        def spliced(found):
+            last = F.get(found, F.size(found) - 1)["end"]
+            pieces = F.array_join(F.transform(found, lambda e, j: piece(found, e, j)), "")
+            return F.when(F.size(found) > 0, F.concat(pieces, self.text(last, self.size()))).otherwise(same)
 
+        return bind(edits, spliced)
 
-def _subscript(p: _Place) -> Column:
-    return _is_number(p.core()) & (p.core(-1) == "[") & (p.core(1) == "]") & _operand(p.core(-2))
 
+def _off_by_one(c: _Code) -> Column:
+    def use(i):
+        in_range = (c.core(i - 1) == "(") & (c.core(i - 2) == "range") & (c.core(i - 3) == "in")
+        value = c.core(i).cast("long")
+        moved = F.when(c.coin(i), value + 1).otherwise(F.greatest(value - 1, F.lit(0))).cast("string")
+        return F.when((in_range & c.core(i + 1).isin(",", ")")) | c.subscript(i), c.edit(i, moved))
 
-def _off_by_one(p: _Place) -> Column:
-    in_range = (p.core(-1) == "(") & (p.core(-2) == "range") & (p.core(-3) == "in") & p.core(1).isin(",", ")")
-    value = p.core().cast("long")
-    moved = F.when(p.coin(), value + 1).otherwise(F.greatest(value - 1, F.lit(0))).cast("string")
-    return F.when(_is_number(p.core()) & (in_range | _subscript(p)), moved)
+    return _some(c.numbers, use)
 
 
-def _array_bounds(p: _Place) -> Column:
-    return F.when(_subscript(p), F.when(p.coin(), p.number(-10, -1)).otherwise(p.number(*FAR_INDEX)))
+def _array_bounds(c: _Code) -> Column:
+    def use(i):
+        moved = F.when(c.coin(i), c.number(i, -10, -1)).otherwise(c.number(i, *FAR_INDEX))
+        return F.when(c.subscript(i), c.edit(i, moved))
 
+    return _some(c.numbers, use)
 
-def _wrong_operator(p: _Place) -> Column:
-    fits = p.core().isin(*SWAPPED) & _operand(p.core(-1)) & p.chosen(OPERATOR_CHANCE, p.i, "operator")
-    swapped = reduce(lambda out, pair: out.when(p.core() == pair[0], pair[1]), SWAPPED.items(), F.when(F.lit(False), ""))
-    return F.when(fits, swapped)
 
+def _wrong_operator(c: _Code) -> Column:
+    def use(i):
+        fits = _operand(c.core(i - 1)) & c.chosen(OPERATOR_CHANCE, i, "operator")
+        return F.when(fits, c.edit(i, _swap(c.core(i), SWAPPED)))
 
-def _type_error(p: _Place) -> Column:
-    def binary(at: int):
-        return p.core(at).isin(*ARITHMETIC) & _operand(p.core(at - 1)) & p.chosen(TYPE_CHANCE, p.i + at, "type")
+    return _some(c.operators, use)
 
-    # The left side first; the right one only where the left is no number.
-    fits = _is_number(p.core()) & (binary(1) | (binary(-1) & ~F.coalesce(_is_number(p.core(-2)), F.lit(False))))
-    return F.when(fits, F.concat(F.lit('"error_'), p.core(), F.lit('"')))
 
+def _type_error(c: _Code) -> Column:
+    def binary(at):
+        return c.core(at).isin(*ARITHMETIC) & _operand(c.core(at - 1)) & c.chosen(TYPE_CHANCE, at, "type")
 
-def _logic_error(p: _Place) -> Column:
-    value = _is_number(p.core()) & (p.core(-1) == "=") & _ends_line(p.core(1)) & F.rlike(p.core(-2), F.lit("^[A-Za-z_]"))
-    first = F.coalesce(p.core(-3) == "\n", p.i == 2)
-    return F.when(value & first & p.chosen(LOGIC_CHANCE, p.i, "logic"), p.number(-SPREAD, SPREAD))
+    def use(i):
+        # The left side first; the right one only where the left is no number.
+        fits = binary(i + 1) | (binary(i - 1) & ~F.coalesce(_is_number(c.core(i - 2)), F.lit(False)))
+        return F.when(fits, c.edit(i, F.concat(F.lit('"error_'), c.core(i), F.lit('"'))))
 
+    return _some(c.numbers, use)
 
-def _without_line(p: _Place, a, b, gone) -> Column:
-    """``pass`` for the first token of a line that goes, nothing for the others but a comment."""
-    comment = F.startswith(p.core(), F.lit("#"))
-    whole = _balanced(p.between(a, b))
-    return F.when(gone & whole & (p.i < b) & ~comment, F.when(p.i == a, "pass").otherwise(""))
 
+def _logic_error(c: _Code) -> Column:
+    def use(i):
+        value = (c.core(i - 1) == "=") & _ends_line(c.core(i + 1)) & F.rlike(c.core(i - 2), F.lit("^[A-Za-z_]"))
+        first = F.coalesce(c.core(i - 3) == "\n", i == 2)
+        return F.when(value & first & c.chosen(LOGIC_CHANCE, i, "logic"), c.edit(i, c.number(i, -SPREAD, SPREAD)))
 
-def _missing_return(p: _Place) -> Column:
-    def in_line(a, b):
-        is_return = F.get(p.cores, a) == "return"
-        gone = p.chosen(RETURN_GONE, a, "gone")
-        number = (p.i == a + 1) & _is_number(p.core()) & _ends_line(p.core(1)) & p.chosen(RETURN_CHANGED, a, "changed")
-        changed = F.when(~gone & number, p.number(-SPREAD, SPREAD))
-        return F.when(is_return, F.coalesce(_without_line(p, a, b, gone), changed))
+    return _some(c.numbers, use)
 
-    return p.line(in_line)
 
+def _missing_return(c: _Code) -> Column:
+    def use(line):
+        a, i = line["at"], line["at"] + 1
+        number = _is_number(c.core(i)) & _ends_line(c.core(i + 1)) & c.chosen(RETURN_CHANGED, a, "changed")
+        changed = F.when(number, c.edit(i, c.number(i, -SPREAD, SPREAD)))
+        return F.when(c.chosen(RETURN_GONE, a, "gone"), c.without_line(line)).otherwise(changed)
 
-def _missing_initialisation(p: _Place) -> Column:
-    def in_line(a, b):
-        name = F.get(p.cores, a)
-        assigned = F.rlike(name, F.lit("^[A-Za-z_]")) & ~name.isin(*KEYWORDS) & (F.get(p.cores, a + 1) == "=")
-        return F.when(assigned, _without_line(p, a, b, p.chosen(ASSIGNMENT_GONE, a, "gone")))
+    return _some(F.filter(c.lines, lambda e: e["core"] == "return"), use)
 
-    return p.line(in_line)
 
+def _missing_initialisation(c: _Code) -> Column:
+    def use(line):
+        return F.when(c.chosen(ASSIGNMENT_GONE, line["at"], "gone"), c.without_line(line))
 
-def _wrong_condition(p: _Place) -> Column:
-    def in_line(a, b):
-        test = p.between(a + 1, b)
-        one = ~F.exists(test, lambda c: c.isin("and", "or", "not", "if", "lambda"))
-        fits = F.get(p.cores, a).isin("if", "elif") & one & _balanced(p.between(a, p.i))
-        return F.when(fits & p.chosen(CONDITION_CHANCE, a, "condition"), swapped)
+    return _some(F.filter(c.lines, lambda e: (c.core(e["at"] + 1) == "=") & _is_name(e["core"])), use)
 
-    swapped = reduce(
-        lambda out, pair: out.when(p.core() == pair[0], pair[1]), CONDITIONS.items(), F.when(F.lit(False), "")
-    )
-    return F.when(p.core().isin(*CONDITIONS), p.line(in_line))
 
+def _wrong_condition(c: _Code) -> Column:
+    def chosen(line):
+        one = ~F.exists(
+            c.between(line["at"] + 1, line["end"]), lambda x: x.isin("and", "or", "not", "if", "lambda")
+        )
+        return line["core"].isin("if", "elif") & c.chosen(CONDITION_CHANCE, line["at"], "condition") & one
 
-def _indent(token) -> Column:
-    return F.length(token["whole"]) - F.length(token["core"])
+    def in_line(line):
+        def use(core, j):
+            i = line["at"] + j
+            fits = core.isin(*CONDITIONS) & _balanced(c.between(line["at"], i))
+            return F.when(fits, c.edit(i, _swap(core, CONDITIONS)))
 
+        return _some(c.between(line["at"], line["end"]), use)
 
-def _line_starts(tokens) -> Column:
-    """(at, indent, core) of the first token of each line that has code."""
-    marked = F.transform(
-        tokens,
-        lambda t, i: F.when(
-            ((i == 0) | (F.get(tokens, i - 1)["core"] == "\n")) & ~_ends_line(t["core"]) & (t["core"] != ""),
-            F.struct(i.alias("at"), _indent(t).alias("indent"), t["core"].alias("core")),
-        ),
-    )
-    return F.filter(marked, lambda e: e.isNotNull())
+    return F.flatten(F.transform(F.filter(c.lines, chosen), in_line))
 
 
 def _first_after(starts, at, indent, same, size) -> Column:
@@ -230,118 +323,124 @@ def _first_after(starts, at, indent, same, size) -> Column:
     ends = F.filter(
         starts, lambda e: (e["at"] > at) & (e["indent"] <= indent) & ~((e["indent"] == indent) & e["core"].isin(*same))
     )
-    return F.coalesce(F.array_min(F.transform(ends, lambda e: e["at"])), size)
+    return F.coalesce(F.array_min(ends["at"]), size)
 
 
-def _missing_null_check(tokens, cores, line_ends, seed: int, key: tuple) -> Column:
+def _missing_null_check(c: _Code) -> Column:
     """An ``if`` whose test has ``is`` gives way to the first statement of its block, with the blanks
     of the ``if``. Inside such a block nothing else is drawn."""
-    size = F.size(cores)
 
-    def place(starts, e):
-        def with_end(line_end):
-            test = F.slice(cores, e["at"] + 1, line_end - e["at"])
+    def place(starts, e, k):
+        def with_body(b):
+            test = c.between(e["at"], e["end"])
             holds_is = F.exists(
-                F.transform(test, lambda c, j: (c == "is") & ~F.coalesce(F.get(test, j + 1) == "not", F.lit(False))), lambda x: x
+                F.transform(test, lambda x, j: (x == "is") & ~F.coalesce(F.get(test, j + 1) == "not", F.lit(False))), lambda x: x
             )
-            code = F.filter(test, lambda c: ~F.startswith(c, F.lit("#")))
+            code = F.filter(test, lambda x: ~F.startswith(x, F.lit("#")))
             ends = F.get(code, F.size(code) - 1) == ":"
-            body = F.get(F.filter(starts, lambda b: b["at"] > line_end), F.lit(0))
-            return bind(body, lambda b: F.when(holds_is & ends & (b["indent"] > e["indent"]), spans(b)))
+            return F.when((b["indent"] > e["indent"]) & holds_is & ends, spans(b))
 
         def spans(b):
-            last = _first_after(starts, b["at"] - 1, e["indent"], AFTER_IF, size)
-            first = F.least(last, _first_after(starts, b["at"], b["indent"], AFTER_FIRST, size))
+            last = _first_after(starts, b["at"] - 1, e["indent"], AFTER_IF, c.size())
+            first = F.least(last, _first_after(starts, b["at"], b["indent"], AFTER_FIRST, c.size()))
             return F.struct(
                 e["at"].alias("at"), b["at"].alias("body"), first.alias("after"), last.alias("last"),
                 (b["indent"] - e["indent"]).alias("deeper"),
             )
 
-        end = F.coalesce(F.array_min(F.filter(line_ends, lambda x: x > e["at"])), size)
-        is_if = (e["core"] == "if") & chance(NULL_CHECK_CHANCE, seed, *key, e["at"], F.lit("check"))
-        return F.when(is_if, bind(end, with_end))
+        is_if = (e["core"] == "if") & c.chosen(NULL_CHECK_CHANCE, e["at"], "check")
+        return F.when(is_if, bind(F.get(starts, k + 1), with_body))
 
     def whole_statement(s):
-        return _balanced(F.slice(cores, s["body"] + 1, s["after"] - s["body"])) & _balanced(
-            F.slice(cores, s["at"] + 1, s["last"] - s["at"])
-        )
-
-    def without(places):
-        outer = F.filter(
-            places, lambda s: ~F.exists(places, lambda o: (o["at"] < s["at"]) & (s["at"] < o["last"]))
-        )
-        return bind(outer, lambda chosen: F.array_join(F.transform(tokens, lambda t, i: kept(chosen, t, i)), ""))
+        return _balanced(c.between(s["body"], s["after"])) & _balanced(c.between(s["at"], s["last"]))
 
-    def kept(chosen, t, i):
-        inside = F.get(F.filter(chosen, lambda s: (i >= s["at"]) & (i < s["last"])), F.lit(0))
-        starts_line = (F.get(cores, i - 1) == "\n") & (_indent(t) > 0)
+    def edit(s):
+        def dedented(whole, j):
+            i = s["body"] + j
+            starts_line = (c.core(i - 1) == "\n") & (c.indent(i) > 0)
+            return F.when(starts_line, F.substr(whole, F.least(s["deeper"], c.indent(i)) + 1)).otherwise(whole)
 
-        def piece(s):
-            stays = (i >= s["body"]) & (i < s["after"])
-            dedented = F.substr(t["whole"], F.least(s["deeper"], _indent(t)) + 1)
-            return F.when(s.isNull(), t["whole"]).when(~stays, "").when(starts_line, dedented).otherwise(t["whole"])
+        kept = F.transform(F.slice(c.tokens, s["body"] + 1, s["after"] - s["body"]), dedented)
+        return F.struct(s["at"].alias("at"), s["last"].alias("end"), F.array_join(kept, "").alias("text"))
 
-        return bind(inside, piece)
+    def outer(places):
+        return F.filter(
+            places, lambda s: ~F.exists(places, lambda o: (o["at"] < s["at"]) & (s["at"] < o["last"]))
+        )
 
     def from_starts(starts):
-        found = F.filter(F.transform(starts, lambda e: place(starts, e)), lambda s: s.isNotNull())
-        return bind(F.filter(found, whole_statement), without)
+        found = _some(starts, lambda e, k: place(starts, e, k))
+        return F.transform(bind(F.filter(found, whole_statement), outer), edit)
 
-    return bind(_line_starts(tokens), from_starts)
+    return from_starts(c.starts)
 
 
-def _wrong_variable(tokens, cores, seed: int, key: tuple) -> Column:
+def _wrong_variable(c: _Code) -> Column:
     """In one function, or the whole code without any, one assigned name or parameter stands where
     another one did; names after a dot and of keyword arguments stay."""
 
-    def in_block(block):
-        def named(c, i):
-            first = (i == 0) | (F.get(cores, i - 1) == "\n")
-            follows = F.get(cores, i + 1)
-            assigned = first & (follows == "=")
-            parameter = (i < block["line_end"]) & F.get(cores, i - 1).isin("(", ",", "*", "**") & follows.isin(",", ")", "=", ":")
-            inside = (i >= block["at"]) & (i < block["last"])
-            return F.when(inside & F.rlike(c, F.lit("^[A-Za-z_]")) & ~c.isin(*KEYWORDS) & (assigned | parameter), c)
-
-        names = F.array_distinct(F.filter(F.transform(cores, named), lambda c: c.isNotNull()))
+    def in_block(starts, block):
+        def parameter(core, j):
+            i = block["at"] + j
+            fits = c.core(i - 1).isin("(", ",", "*", "**") & c.core(i + 1).isin(",", ")", "=", ":") & _is_name(core)
+            return F.when(fits, core)
+
+        def assigned(e):
+            inside = (e["at"] >= block["at"]) & (e["at"] < block["last"])
+            return inside & (c.core(e["at"] + 1) == "=") & _is_name(e["core"])
+
+        # By their first place: no line starts among the parameters but that of the block itself.
+        parameters = _some(c.between(block["at"], block["line_end"]), parameter)
+        names = bind(
+            F.filter(starts, assigned),
+            lambda found: F.array_distinct(F.concat(
+                F.filter(found, lambda e: e["at"] <= block["at"])["core"], parameters,
+                F.filter(found, lambda e: e["at"] > block["at"])["core"],
+            )),
+        )
         return bind(names, lambda found: renamed(block, found))
 
     def renamed(block, names):
         def drawn(which):
-            return F.get(names, (draw(seed, *key, F.lit(which)) % F.size(names)).cast("int"))
+            return F.get(names, (c.draw(F.lit(which)) % F.size(names)).cast("int"))
 
-        def one(old, new, t, i):
-            before, follows = F.get(cores, i - 1), F.get(cores, i + 1)
-            argument = (follows == "=") & before.isin("(", ",") & (i >= block["line_end"])
-            use = (t["core"] == old) & ~F.coalesce((before == ".") | argument, F.lit(False))
-            blanks = F.left(t["whole"], _indent(t))
-            return F.when((i >= block["at"]) & (i < block["last"]) & use, F.concat(blanks, new)).otherwise(t["whole"])
+        def fits(old, i):
+            before = c.core(i - 1)
+            argument = (c.core(i + 1) == "=") & before.isin("(", ",") & (i >= block["line_end"])
+            return (c.core(i) == old) & ~F.coalesce((before == ".") | argument, F.lit(False))
 
-        pair = F.struct(drawn("old").alias("old"), drawn("new").alias("new"))
-        every = F.array_join(F.transform(tokens, lambda t: t["whole"]), "")
-        out = bind(pair, lambda p: F.array_join(F.transform(tokens, lambda t, i: one(p["old"], p["new"], t, i)), ""))
-        return F.when(F.size(names) < 2, every).otherwise(out)
+        def with_old(old):
+            return F.filter(F.sequence(block["at"], block["last"] - 1), lambda i: fits(old, i))
+
+        def with_new(new):
+            return F.transform(bind(drawn("old"), with_old), lambda i: c.edit(i, new))
+
+        return F.when(F.size(names) >= 2, bind(unmasked(drawn("new")), with_new))
 
     def from_starts(starts):
-        size = F.size(cores)
         defs = F.filter(starts, lambda e: e["core"] == "def")
 
         def block(d):
-            line_end = F.array_min(F.filter(F.transform(starts, lambda e: e["at"]), lambda a: a > d["at"]))
-            last = _first_after(starts, d["at"], d["indent"], ("",), size)
+            line_end = F.array_min(F.filter(starts, lambda e: e["at"] > d["at"])["at"])
+            last = _first_after(starts, d["at"], d["indent"], ("",), c.size())
             return F.struct(
-                d["at"].alias("at"), F.coalesce(line_end, size).alias("line_end"), last.alias("last")
+                d["at"].alias("at"), F.coalesce(line_end, c.size()).alias("line_end"), last.alias("last")
             )
 
-        none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line_end"), size.alias("last"))
-        one = F.get(defs, (draw(seed, *key, F.lit("block")) % F.size(defs)).cast("int"))
-        return bind(F.when(F.size(defs) == 0, none).otherwise(bind(one, block)), in_block)
+        def with_defs(found):
+            none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line_end"), c.size().alias("last"))
+            one = F.get(found, (c.draw(F.lit("block")) % F.size(found)).cast("int"))
+            return F.when(F.size(found) == 0, none).otherwise(bind(one, block))
 
-    return bind(_line_starts(tokens), from_starts)
+        return bind(bind(defs, with_defs), lambda b: in_block(starts, b))
 
+    return from_starts(c.starts)
 
-_NEW_CORE = {
+
+_EDITS = {
     "off_by_one": _off_by_one,
+    "missing_null_check": _missing_null_check,
+    "wrong_variable": _wrong_variable,
     "wrong_operator": _wrong_operator,
     "missing_return": _missing_return,
     "wrong_condition": _wrong_condition,
@@ -355,35 +454,26 @@ _NEW_CORE = {
 def changed_by_each(rules, code: Column, seed: int, key_of) -> Column:
     """``code`` as each of ``rules`` alone changes it, as an array in their order; it is scanned once.
 
-    Every place of a rule is drawn; ``key_of(rule)`` names the draw.
+    Every place of a rule is drawn; ``key_of(rule)`` names the draw. A code that is null has null for each.
     """
 
-    def rebuilt(rule, key, tokens, cores, line_ends):
-        if rule == "missing_null_check":
-            return _missing_null_check(tokens, cores, line_ends, seed, key)
-        if rule == "wrong_variable":
-            return _wrong_variable(tokens, cores, seed, key)
-        new_core = _NEW_CORE[rule]
-
-        def one(token, i):
-            new = new_core(_Place(cores, line_ends, i, seed, key))
-            blanks = F.left(token["whole"], F.length(token["whole"]) - F.length(token["core"]))
-            # Nothing is left of a token that goes, its blanks neither.
-            return bind(new, lambda n: F.when(n.isNull(), token["whole"]).when(n == "", "").otherwise(F.concat(blanks, n)))
-
-        return F.array_join(F.transform(tokens, one), "")
-
-    def with_lines(tokens):
-        cores = F.transform(tokens, lambda t: t["core"])
-        ends = F.filter(F.transform(tokens, lambda t, i: F.when(t["core"] == "\n", i)), lambda i: i.isNotNull())
-        return bind(
-            F.struct(cores.alias("cores"), ends.alias("ends")),
-            lambda s: F.array(*[rebuilt(rule, key_of(rule), tokens, s["cores"], s["ends"]) for rule in rules]),
-        )
+    def with_found(wholes, cores, found):
+        def each(same):
+            scanned = {rule: _Code(wholes, cores, found, seed, key_of(rule)) for rule in rules}
+            return F.array(*[scanned[rule].edited(_EDITS[rule](scanned[rule]), same) for rule in rules])
+
+        return bind(F.array_join(found["tokens"], ""), each)
+
+    def with_cores(wholes, cores):
+        return _with_found(wholes, cores, lambda found: with_found(wholes, cores, found))
+
+    def scanned(text):
+        return bind(_wholes(text), lambda wholes: bind(_cores(text), lambda cores: with_cores(wholes, cores)))
 
-    holds = reduce(or_, [F.contains(code, F.lit(mark)) for _, mark in ESCAPES])
-    changed = F.transform(bind(tokens_of(masked(code)), with_lines), unmasked)
-    return F.when(holds, F.array_repeat(code, len(rules))).otherwise(changed)
+    marked = reduce(or_, [F.contains(code, F.lit(mark)) for _, mark in ESCAPES])
+    holds = (F.octet_length(code) > F.length(code)) & marked
+    stays = F.coalesce(holds, F.lit(True))
+    return F.when(stays, F.array_repeat(code, len(rules))).otherwise(bind(masked(code), scanned))
 
 
 def changed_by(rule: str, code: Column, seed: int, key: tuple) -> Column:

@@ -2,10 +2,12 @@
 
 import itertools
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from defectloom.functions.draws import chance, draw
 from defectloom.operators import lexed, variants
 from defectloom.plans import bindings
 from defectloom.plans.queries import QUERIES
@@ -112,3 +114,45 @@ def test_code_is_scanned_once_for_all_rules(spark):
     for row in rows.select(F.coalesce(each, F.array_repeat(F.lit(None).cast("string"), len(lexed.RULES))).alias("each"), alone.alias("alone")).collect():
         assert row["each"] == row["alone"]
     assert each._jc.toString().count("regexp_extract_all") == 2
+
+
+def test_long_lines_are_walked_once(spark):
+    """Each token of a line that went looked at the whole line, so the time grew with its square."""
+    code = "x = [" + "1 + a[2], " * 2500 + "0]\nreturn [" + "b < 3, " * 2500 + "0]\n"
+    df = spark.createDataFrame([(str(i), code) for i in range(40)], "id string, code string").repartition(8)
+    each = lexed.changed_by_each(lexed.RULES, F.col("code"), 1, lambda rule: (F.col("id"), F.lit(rule)))
+    start = time.monotonic()
+    made = [dict(zip(lexed.RULES, r["each"])) for r in df.select(each.alias("each")).collect()]
+    assert time.monotonic() - start < 30
+    second = code.index("return")
+    assert {m["missing_initialisation"] for m in made} == {code, "pass\n" + code[second:]}
+    assert {m["missing_return"] for m in made} == {code, code[:second] + "pass\n"}
+    assert all(m["wrong_operator"].count("1 - a") in range(500, 1000) for m in made)
+
+
+def test_rules_search_no_line_for_each_token(spark):
+    each = lexed.changed_by_each(lexed.RULES, F.col("code"), 1, lambda rule: (F.col("id"), F.lit(rule)))
+    assert "aggregate" not in each._jc.toString()
+
+
+def test_edits_at_both_ends_and_side_by_side(spark):
+    assert outcomes(spark, "wrong_operator", "a+b") == {"a+b", "a-b"}
+    assert outcomes(spark, "type_error", "1+2") == {"1+2", '"error_1"+2'}
+    assert outcomes(spark, "missing_return", "return 1") >= {"return 1", "pass"}
+    assert outcomes(spark, "missing_initialisation", "a = 1\nb = 2") == choices("{}\n{}", ("a = 1", "pass"), ("b = 2", "pass"))
+    assert outcomes(spark, "wrong_operator", "'\\'' + \"\\\\\"") == {"'\\'' + \"\\\\\"", "'\\'' - \"\\\\\""}
+
+
+def test_null_and_empty_codes(spark):
+    df = spark.createDataFrame([("1", None), (None, ""), (None, None)], "id string, code string")
+    each = lexed.changed_by_each(lexed.RULES, F.col("code"), 1, lambda rule: (F.col("id"), F.lit(rule)))
+    made = [r[0] for r in df.select(each).collect()]
+    assert made == [[None] * 10, [""] * 10, [None] * 10]
+
+
+@pytest.mark.parametrize("p", [0, 1e-9, 0.1, 0.3, 0.5, 0.999999, 1, 2])
+def test_chance_is_a_draw_below_its_share(spark, p):
+    key = (F.col("id"), F.lit("x"))
+    share = F.lit(int(p * 2**32))
+    wrong = spark.range(2000).where(~chance(p, 3, *key).eqNullSafe(draw(3, *key) < share)).count()
+    assert wrong == 0
